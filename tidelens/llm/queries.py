@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidelens.llm import minhash
+from tidelens.llm import anchors, bitslice, hdlang, imatch, linkgraph, minhash, mixing, tokenfile, toxicity, wfst
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,7 +15,59 @@ def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op1_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.judge_urls(read(spark, sf_dir, "pages"))
+
+
+def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_hd_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hdlang.identify(read(spark, sf_dir, "documents"))
+
+
+def op5_bit_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.search(read(spark, sf_dir, "embeddings"))
+
+
+def op6_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfile.tokenize(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op8_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anchors.remove_repeats(read(spark, sf_dir, "documents"))
+
+
+def op9_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return wfst.encode_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), ids=False)
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_link_graph": op1_link_graph,
+    "op2_pareto_mix": op2_pareto_mix,
     "op3_minhash": op3_minhash,
+    "op4_hd_language": op4_hd_language,
+    "op5_bit_slices": op5_bit_slices,
+    "op6_imatch": op6_imatch,
+    "op7_token_files": op7_token_files,
+    "op8_anchors": op8_anchors,
+    "op9_piece_transducer": op9_piece_transducer,
+    "op10_toxicity": op10_toxicity,
+}
+ORACLES: dict[str, str] = {
+    "op1_link_graph": linkgraph.judge_sql(),
+    "op2_pareto_mix": mixing.MIX_SQL,
 }
-ORACLES: dict[str, str] = {}

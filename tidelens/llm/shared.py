@@ -1,7 +1,10 @@
 """What the operators share: the cluster's shared folder, connected components, and words as arrays of hashes."""
 
+import sys
 import tempfile
+import types
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,14 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def kept(key: tuple, make: Callable):
+    """What a Python worker keeps from task to task: make() the first time, then the same."""
+    store = sys.modules.setdefault("_tidelens_kept", types.ModuleType("_tidelens_kept")).__dict__
+    if key not in store:
+        store[key] = make()
+    return store[key]
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that edges (a, b) reach, for each node of an edge.
 
