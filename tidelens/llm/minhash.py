@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidelens.llm.shared import Words, components, cut, mix, small_batches, table
 
-WIDTH, BANDS, ROWS, UNIVERSE = 5, 40, 5, 1 << 20
+WIDTH, BANDS, ROWS, UNIVERSE, SKETCH = 5, 40, 5, 1 << 20, 64
 
 
 def shingles(words: Words, width: int) -> Iterator[np.ndarray]:
@@ -37,10 +37,11 @@ def circulant(seed: int, universe: int, size: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, universe: int = UNIVERSE, seed: int = 1) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands) of docs (doc_id, text).
+    """(doc_id, n_shingles, set_a, set_b, sketch, bands) of docs (doc_id, text).
 
     set_a and set_b are two 64-bit sums over the set: with n_shingles they tell sets apart. bands: a hash of each
-    band of the signature, null for an empty set. The signature has bands * rows coordinates.
+    band of the signature, null for an empty set. The signature has bands * rows coordinates; sketch has the last
+    byte of the first SKETCH of them.
     """
 
     def run(batches):
@@ -58,10 +59,30 @@ def signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: in
                     least[d] = np.minimum(least[d], low) if k else low
             parts = mix((least.reshape(-1, bands, rows).astype(np.uint64) * odd).sum(axis=2, dtype=np.uint64) + salt).astype(np.int64)
             listed = pa.ListArray.from_arrays(np.arange(0, parts.size + 1, bands, dtype=np.int32), parts.ravel(), mask=pa.array(sums[:, 0] == 0))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, sums.T), listed], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
+            sketch = pa.array([x.tobytes() for x in least[:, :SKETCH].astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, sums.T), sketch, listed], ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "bands"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary, bands array<long>")
+
+
+def plausible(pairs: DataFrame, sketches: DataFrame, percent: int, slack: float = 0.35) -> DataFrame:
+    """Those of pairs (a, b) that sizes allow, and whose sketches agree in no less than percent less slack of their places.
+
+    With 64 places, a pair at the limit has fewer with a probability of about one in a thousand million.
+    """
+    least = percent / 100 - slack
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), -1) for c in ("s_a", "s_b"))
+            n_a, n_b = (b.column(c).to_numpy() for c in ("n_a", "n_b"))
+            good = ((x == y).mean(axis=1) >= least) & (np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent)
+            yield b.select(["a", "b"]).filter(pa.array(good))
+
+    for side in ("a", "b"):
+        pairs = pairs.join(sketches.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+    return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -94,29 +115,24 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
     is the document's own. A null text is empty. A row without doc_id takes no part and is kept. Rows that repeat a
     doc_id each get a row; their texts should agree. Other columns of docs are ignored.
 
-    Documents of equal sets first become one. In each bucket of a band the others are verified against the least
-    member, and components are formed; where a bucket then still holds more than one component, members of
+    Documents of equal sets first become one. In each bucket of a band the others are paired with the least
+    member; pairs that sizes and sketches don't rule out are verified, first each document's with its least partner, then, once
+    components are formed, those still between components. Where a bucket then still holds more than one component, members of
     different components are verified against one another: bucket by bucket against the next least member
     while the pairs left exceed spare times the documents, then all of them. So a bucket of one group, however large,
-    costs one pair a member, and no link between members of a bucket is lost.
+    costs one pair a member, and no link between members of a bucket is lost. Texts travel for verification only.
     """
     spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = table(signatures(docs, width, bands, rows, universe, seed), "signatures")
     known = signed.where("n_shingles > 0 and doc_id is not null")
     equal = known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     members = known.join(equal, ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep").distinct()
     one = known.join(equal.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    inside = table(one.select(F.explode("bands").alias("bucket"), "doc_id", F.col("n_shingles").alias("n")), "buckets")
-    sizes = known.select("doc_id", "n_shingles").distinct()
+    inside = table(one.select(F.explode("bands").alias("bucket"), "doc_id"), "buckets")
+    sketches = known.select("doc_id", "n_shingles", "sketch")
     n_docs = max(1, signed.count())
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b): those that sizes allow, verified."""
-        for side in ("a", "b"):
-            pairs = pairs.join(sizes.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}")), side)
-        pairs = pairs.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent).select("a", "b")
-        return verified(pairs, docs, width, percent)
-
     def hubs(inside: DataFrame) -> DataFrame:
         """Each bucket's least member, of those with other members."""
         return inside.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("m")).where("m > 1").select("bucket", "a")
@@ -124,10 +140,22 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
     def labels(links: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "node long, component long") if links.isEmpty() else cut(components(links))
 
+    def between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """Those of pairs (a, b) in different components."""
+        for side in ("a", "b"):
+            pairs = pairs.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
+        return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
+
     used = cut(hubs(inside))
-    tested = cut(inside.join(used, "bucket").where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct())
-    links = cut(linked(tested))
+    tested = cut(plausible(inside.join(used, "bucket").where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct(), sketches, percent))
+    ids = tested.select(F.col("a").alias("doc_id")).unionByName(tested.select(F.col("b").alias("doc_id"))).distinct()
+    texts = table(docs.join(ids, "doc_id", "left_semi"), "texts")
+    links = cut(verified(tested.groupBy("b").agg(F.min("a").alias("a")), texts, width, percent))
     parts = labels(links)
+    new = cut(between(tested, parts))
+    if not new.isEmpty():
+        links = cut(links.unionByName(verified(new, texts, width, percent)).distinct())
+        parts = labels(links)
     while True:
         labelled = inside.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
         several = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
@@ -143,10 +171,11 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
             used = cut(used.unionByName(new))
             x = x.join(new, ["bucket", "a"])
         y = rest.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("c_b"))
-        new = cut(x.join(y, "bucket").where("a < b and c_a != c_b").select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"))
-        links = cut(links.unionByName(linked(new)))
-        tested = cut(tested.unionByName(new))
-        parts = labels(links)
+        pairs = x.join(y, "bucket").where("c_a != c_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        new = cut(plausible(pairs, sketches, percent))
+        if not new.isEmpty():
+            links = cut(links.unionByName(verified(new, docs, width, percent)).distinct())
+            parts = labels(links)
         if left <= spare * n_docs:
             break
 
