@@ -79,13 +79,31 @@ def test_near_duplicates(docs, rows, none):
     assert sorted(r for r in got if r[0] is not None) == want
     assert [r for r in got if r[0] is None] == [(None, len(sets[None]), None, True)]
     assert len({w[2] for w in want}) < len(ids) - 10
-    # whatever the order of verification
-    assert sorted(tuple(r) for r in minhash.near_duplicates(docs.where("doc_id is not null"), spare=0).collect()) == want
     assert minhash.near_duplicates(none).count() == 0
     kept = minhash.keep_first(docs.sparkSession, docs, "").collect()
     assert {r.doc_id for r in kept} == {w[0] for w in want if w[3]} | {None}
 
 
+def test_compared_blocks(spark):
+    rnd = random.Random(1)
+    base = [bytes(rnd.randrange(256) for _ in range(64)) for _ in range(6)]
+    rows = []
+    for d in range(300):
+        sketch = bytearray(base[d % 6])
+        for k in rnd.sample(range(64), rnd.randrange(60)):
+            sketch[k] = rnd.randrange(256)
+        rows.append((d % 7 if d < 100 else 7, d, 0 if d % 3 else rnd.randrange(9), rnd.choice([90, 100, 130]), bytes(sketch)))
+    want = set()
+    for x in rows:
+        for y in rows:
+            if x[1] < y[1] and x[0] == y[0] and x[2] != y[2] and sum(p == q for p, q in zip(x[4], y[4])) >= 0.4 * 64 and min(x[3], y[3]) * 100 >= max(x[3], y[3]) * 75:
+                want.add((x[1], y[1]))
+    df = spark.createDataFrame(rows, "bucket long, doc_id long, component long, n_shingles long, sketch binary")
+    for sizes in ((4096, 65_536), (10, 30)):
+        assert {tuple(r) for r in minhash.compared(df, 75, 0.35, *sizes).collect()} == want
+    assert len(want) > 100
+
+
 @pytest.mark.parametrize("small", [False, True])
 def test_repeats(docs, rows, none, small):
     first, words = {}, [WORDS.findall(t or "") for _, t, *_ in rows]

@@ -85,6 +85,77 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int, slack: float
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
+def compared(rows: DataFrame, percent: int, slack: float = 0.35, active: int = 4096, block: int = 65_536) -> DataFrame:
+    """Pairs (a, b) of members of a bucket and different components that plausible() would leave.
+
+    rows: (bucket, doc_id, component, n_shingles, sketch). In each bucket all components but the largest are compared
+    with all members, in blocks of bounded size; only pairs that pass come out.
+    """
+    least = (percent / 100 - slack) * SKETCH
+    parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    sizes = parts.groupBy("bucket").agg(F.sum("k").alias("m"), F.max(F.struct("k", "component")).alias("main")).where("m > main.k")
+    sizes = sizes.select("bucket", F.col("main.component").alias("main"), F.ceil((F.col("m") - F.col("main.k")) / active).cast("int").alias("c_a"), F.ceil(F.col("m") / block).cast("int").alias("c_b"))
+    r = rows.join(sizes, "bucket").withColumn("own", F.col("component") != F.col("main"))
+    i, j = (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.col(c)).cast("int") for k, c in enumerate(("c_a", "c_b")))
+    spot = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
+    every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    spots = F.when((F.col("c_a") == 1) & (F.col("c_b") == 1), F.array(spot(F.lit(0), F.lit(0), 2))).otherwise(
+        F.concat(F.transform(every("c_a"), lambda x: spot(x, j, 1)), F.when(F.col("own"), F.transform(every("c_b"), lambda x: spot(i, x, 0))).otherwise(F.array().cast("array<struct<i:int,j:int,role:int>>")))
+    )
+    r = r.select("bucket", F.explode(spots).alias("s"), "doc_id", "component", "n_shingles", "sketch", "own").select("bucket", "s.*", "doc_id", "component", "n_shingles", "sketch", "own")
+
+    def near(n_a, n_b, s_a, s_b, c_a, c_b):
+        return ((s_a == s_b).sum(axis=-1) >= least) & (np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent) & (c_a != c_b)
+
+    def pairs_of(t: pa.Table) -> pa.RecordBatch:
+        """t: whole groups, in order."""
+        key = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")])
+        doc, comp, n, role, own = (t.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "n_shingles", "role", "own"))
+        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(doc), SKETCH)
+        first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
+        size = np.diff(np.append(first, len(doc)))
+        whole = role[first] == 2
+        a, b = [], []
+        for m in np.unique(size[whole & (size <= 32)]):
+            at = first[whole & (size == m)][:, None] + np.arange(m)
+            for p in range(m):
+                for q in range(p + 1, m):
+                    x, y = at[:, p], at[:, q]
+                    good = near(n[x], n[y], sketch[x], sketch[y], comp[x], comp[y])
+                    a.append(doc[x[good]])
+                    b.append(doc[y[good]])
+        for f, m in zip(first[~(whole & (size <= 32))], size[~(whole & (size <= 32))], strict=True):
+            group = np.arange(f, f + m)
+            others = group[role[group] > 0]
+            for x in group[(role[group] != 1) & own[group]]:
+                good = others[near(n[x], n[others], sketch[x], sketch[others], comp[x], comp[others])]
+                a.append(np.full(len(good), doc[x]))
+                b.append(doc[good])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b))
+        low, high = np.minimum(a, b), np.maximum(a, b)
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+
+    def run(batches):
+        waiting, rows_ = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            rows_ += len(batch)
+            if rows_ < 20_000:
+                continue
+            t = pa.Table.from_batches(waiting)
+            key = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")])
+            edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+            if len(edges):  # the last group may go on
+                yield pairs_of(t.slice(0, edges[-1]))
+                t = t.slice(edges[-1])
+            waiting, rows_ = t.to_batches(), 0 if len(t) < 20_000 else len(t) - 20_000
+        if waiting:
+            yield pairs_of(pa.Table.from_batches(waiting))
+
+    dealt = r.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets of shingles have 100 * intersection >= percent * union."""
 
@@ -106,7 +177,7 @@ def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Dat
     return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, bands: int = BANDS, rows: int = ROWS, universe: int = UNIVERSE, seed: int = 1, spare: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, bands: int = BANDS, rows: int = ROWS, universe: int = UNIVERSE, seed: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): groups of documents linked by near-equal sets of word shingles.
 
     Words are lower-cased (A-Z) runs of characters other than white space; a document's set holds its distinct runs
@@ -117,10 +188,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
 
     Documents of equal sets first become one. In each bucket of a band the others are paired with the least
     member; pairs that sizes and sketches don't rule out are verified, first each document's with its least partner, then, once
-    components are formed, those still between components. Where a bucket then still holds more than one component, members of
-    different components are verified against one another: bucket by bucket against the next least member
-    while the pairs left exceed spare times the documents, then all of them. So a bucket of one group, however large,
-    costs one pair a member, and no link between members of a bucket is lost. Texts travel for verification only.
+    components are formed, those still between components. Where a bucket then still holds more than one
+    component, members of different components are compared by size and sketch, in blocks, and what passes is verified. So a bucket of
+    one group, however large, costs one pair a member, and no link between members of a bucket is lost. Texts travel
+    for verification only.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -129,13 +200,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
     equal = known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
     members = known.join(equal, ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep").distinct()
     one = known.join(equal.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    inside = table(one.select(F.explode("bands").alias("bucket"), "doc_id"), "buckets")
+    inside = one.select(F.explode("bands").alias("bucket"), "doc_id")
+    heads = inside.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("m")).where("m > 1").select("bucket", "hub")
+    inside = table(inside.join(heads, "bucket"), "buckets")  # those with several members
     sketches = known.select("doc_id", "n_shingles", "sketch")
-    n_docs = max(1, signed.count())
-
-    def hubs(inside: DataFrame) -> DataFrame:
-        """Each bucket's least member, of those with other members."""
-        return inside.groupBy("bucket").agg(F.min("doc_id").alias("a"), F.count("*").alias("m")).where("m > 1").select("bucket", "a")
 
     def labels(links: DataFrame) -> DataFrame:
         return spark.createDataFrame([], "node long, component long") if links.isEmpty() else cut(components(links))
@@ -146,8 +214,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
             pairs = pairs.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
         return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
-    used = cut(hubs(inside))
-    tested = cut(plausible(inside.join(used, "bucket").where("doc_id != a").select("a", F.col("doc_id").alias("b")).distinct(), sketches, percent))
+    hubs = inside.where("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
+    tested = cut(plausible(hubs, sketches, percent))
     ids = tested.select(F.col("a").alias("doc_id")).unionByName(tested.select(F.col("b").alias("doc_id"))).distinct()
     texts = table(docs.join(ids, "doc_id", "left_semi"), "texts")
     links = cut(verified(tested.groupBy("b").agg(F.min("a").alias("a")), texts, width, percent))
@@ -156,28 +224,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
     if not new.isEmpty():
         links = cut(links.unionByName(verified(new, texts, width, percent)).distinct())
         parts = labels(links)
-    while True:
-        labelled = inside.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        several = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-        rest = labelled.join(several, "bucket", "left_semi").join(used.withColumnRenamed("a", "doc_id"), ["bucket", "doc_id"], "left_anti")
-        rest = cut(rest)
-        counts = rest.groupBy("bucket", "component").count().groupBy("bucket").agg(F.sum("count").alias("all"), F.sum(F.col("count") * F.col("count")).alias("own"))
-        left = counts.agg(F.sum((F.col("all") * F.col("all") - F.col("own")) / 2)).first()[0] or 0
-        if not left:
-            break
-        x = rest.select("bucket", F.col("doc_id").alias("a"), F.col("component").alias("c_a"))
-        if left > spare * n_docs:
-            new = cut(hubs(rest))
-            used = cut(used.unionByName(new))
-            x = x.join(new, ["bucket", "a"])
-        y = rest.select("bucket", F.col("doc_id").alias("b"), F.col("component").alias("c_b"))
-        pairs = x.join(y, "bucket").where("c_a != c_b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        new = cut(plausible(pairs, sketches, percent))
-        if not new.isEmpty():
-            links = cut(links.unionByName(verified(new, docs, width, percent)).distinct())
-            parts = labels(links)
-        if left <= spare * n_docs:
-            break
+    labelled = inside.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    several = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
+    rest = labelled.join(several, "bucket", "left_semi").join(sketches.dropDuplicates(["doc_id"]), "doc_id")
+    new = cut(compared(rest, percent).join(tested, ["a", "b"], "left_anti"))
+    if not new.isEmpty():
+        links = cut(links.unionByName(verified(new, docs, width, percent)).distinct())
+        parts = labels(links)
 
     found = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
