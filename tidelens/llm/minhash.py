@@ -85,8 +85,9 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int, slack: float
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
-def compared(rows: DataFrame, percent: int, slack: float = 0.35, active: int = 4096, block: int = 65_536) -> DataFrame:
-    """Pairs (a, b) of members of a bucket and different components that plausible() would leave.
+def compared(rows: DataFrame, percent: int, slack: float = 0.35, active: int = 4096, block: int = 65_536, best: bool = False) -> DataFrame:
+    """Pairs (a, b) of members of a bucket and different components that plausible() would leave; if best, only each member's with
+    the partner of the most similar sketch.
 
     rows: (bucket, doc_id, component, n_shingles, sketch). In each bucket all components but the largest are compared
     with all members, in blocks of bounded size; only pairs that pass come out.
@@ -105,7 +106,9 @@ def compared(rows: DataFrame, percent: int, slack: float = 0.35, active: int = 4
     r = r.select("bucket", F.explode(spots).alias("s"), "doc_id", "component", "n_shingles", "sketch", "own").select("bucket", "s.*", "doc_id", "component", "n_shingles", "sketch", "own")
 
     def near(n_a, n_b, s_a, s_b, c_a, c_b):
-        return ((s_a == s_b).sum(axis=-1) >= least) & (np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent) & (c_a != c_b)
+        """Places that agree, or 0 if the pair is ruled out."""
+        same = (s_a == s_b).sum(axis=-1)
+        return same * ((same >= least) & (np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent) & (c_a != c_b))
 
     def pairs_of(t: pa.Table) -> pa.RecordBatch:
         """t: whole groups, in order."""
@@ -114,26 +117,44 @@ def compared(rows: DataFrame, percent: int, slack: float = 0.35, active: int = 4
         sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(doc), SKETCH)
         first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
         size = np.diff(np.append(first, len(doc)))
-        whole = role[first] == 2
-        a, b = [], []
-        for m in np.unique(size[whole & (size <= 32)]):
-            at = first[whole & (size == m)][:, None] + np.arange(m)
+        small = (role[first] == 2) & (size <= 32)
+        a, b, places = [], [], []
+        top, partner = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
+
+        def found(x, y, same):
+            if best:
+                more = same > top[x]
+                top[x[more]], partner[x[more]] = same[more], doc[y[more]]
+            else:
+                good = same > 0
+                a.append(doc[x[good]])
+                b.append(doc[y[good]])
+                places.append(same[good])
+
+        for m in np.unique(size[small]):
+            at = first[small & (size == m)][:, None] + np.arange(m)
             for p in range(m):
                 for q in range(p + 1, m):
                     x, y = at[:, p], at[:, q]
-                    good = near(n[x], n[y], sketch[x], sketch[y], comp[x], comp[y])
-                    a.append(doc[x[good]])
-                    b.append(doc[y[good]])
-        for f, m in zip(first[~(whole & (size <= 32))], size[~(whole & (size <= 32))], strict=True):
+                    same = near(n[x], n[y], sketch[x], sketch[y], comp[x], comp[y])
+                    found(x, y, same)
+                    if best:
+                        found(y, x, same)
+        for f, m in zip(first[~small], size[~small], strict=True):
             group = np.arange(f, f + m)
             others = group[role[group] > 0]
             for x in group[(role[group] != 1) & own[group]]:
-                good = others[near(n[x], n[others], sketch[x], sketch[others], comp[x], comp[others])]
-                a.append(np.full(len(good), doc[x]))
-                b.append(doc[good])
-        a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b))
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+                same = near(n[x], n[others], sketch[x], sketch[others], comp[x], comp[others])
+                if best:
+                    k = int(np.argmax(same))
+                    top[x], partner[x] = same[k], doc[others[k]]
+                else:
+                    found(np.full(len(others), x), others, same)
+        if best:
+            got = top > 0
+            a, b, places = [doc[got]], [partner[got]], [top[got]]
+        columns = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b, places))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "places"])
 
     def run(batches):
         waiting, rows_ = [], 0
@@ -153,7 +174,10 @@ def compared(rows: DataFrame, percent: int, slack: float = 0.35, active: int = 4
             yield pairs_of(pa.Table.from_batches(waiting))
 
     dealt = r.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    out = dealt.mapInArrow(run, "a long, b long, places long")
+    if best:
+        out = out.groupBy("a").agg(F.max(F.struct("places", "b")).alias("best")).select("a", "best.b")
+    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -189,8 +213,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
     Documents of equal sets first become one. In each bucket of a band the others are paired with the least
     member; pairs that sizes and sketches don't rule out are verified, first each document's with its least partner, then, once
     components are formed, those still between components. Where a bucket then still holds more than one
-    component, members of different components are compared by size and sketch, in blocks, and what passes is verified. So a bucket of
-    one group, however large, costs one pair a member, and no link between members of a bucket is lost. Texts travel
+    component, members of different components are compared by size and sketch, in blocks: twice each is verified
+    with its most similar partner, which joins most of what belongs together, then all that passes. So a bucket of
+    one group, however large, costs a few pairs a member, and no link between members of a bucket is lost. Texts travel
     for verification only.
     """
     spark = docs.sparkSession
@@ -224,13 +249,15 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
     if not new.isEmpty():
         links = cut(links.unionByName(verified(new, texts, width, percent)).distinct())
         parts = labels(links)
-    labelled = inside.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    several = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-    rest = labelled.join(several, "bucket", "left_semi").join(sketches.dropDuplicates(["doc_id"]), "doc_id")
-    new = cut(compared(rest, percent).join(tested, ["a", "b"], "left_anti"))
-    if not new.isEmpty():
-        links = cut(links.unionByName(verified(new, docs, width, percent)).distinct())
-        parts = labels(links)
+    for best in (True, True, False):
+        labelled = inside.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        several = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
+        rest = labelled.join(several, "bucket", "left_semi").join(sketches.dropDuplicates(["doc_id"]), "doc_id")
+        new = cut(compared(rest, percent, best=best).join(tested, ["a", "b"], "left_anti"))
+        if not new.isEmpty():
+            links = cut(links.unionByName(verified(new, docs, width, percent)).distinct())
+            tested = cut(tested.unionByName(new))
+            parts = labels(links)
 
     found = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
