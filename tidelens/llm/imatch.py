@@ -35,12 +35,15 @@ def fingerprint(text: Column, lex: Column, slots: int, subsets: int, least: int)
     Terms are those of the lexicon, or all where fewer than least are in it. Subset k at level l holds a term with
     probability 2^-l, those of the next level being among them; the level makes one or two terms likely in a subset.
     """
-    all_ = term_hashes(text)
     word = lambda h: F.get(lex, F.shiftright(F.pmod(h, F.lit(slots)), 6).cast("int"))
-    inside = F.filter(all_, lambda h: F.getbit(word(h), F.pmod(h, F.lit(64)).cast("int")) == 1)
-    inside = F.array_distinct(inside)
-    terms = F.array_sort(F.when(F.size(inside) >= least, inside).otherwise(F.array_distinct(all_)))
-    return F.transform(F.array(terms), lambda t: _hashes(t, subsets))[0]
+    inside = lambda all_: F.array_distinct(F.filter(all_, lambda h: F.getbit(word(h), F.pmod(h, F.lit(64)).cast("int")) == 1))
+    terms = lambda all_, some: F.array_sort(F.when(F.size(some) >= least, some).otherwise(F.array_distinct(all_)))
+    return once(term_hashes(text), lambda all_: once(inside(all_), lambda some: once(terms(all_, some), lambda t: _hashes(t, subsets))))
+
+
+def once(value: Column, use) -> Column:
+    """use(value), value being evaluated one time however often use refers to it."""
+    return F.transform(F.array(value), use)[0]
 
 
 def _hashes(terms: Column, subsets: int) -> Column:
@@ -66,8 +69,9 @@ def likeness(a: Column, b: Column, subsets: int, draws: int = 4) -> Column:
     return F.when(a == b, 1.0).when(F.abs(gap) > 1, 0.0).when(F.size(full) == 0, 0.0).otherwise(1 - F.pow(1 - same, F.lit(draws)))
 
 
-def with_next(docs: DataFrame, range_mb: int = 16, ranges: int = 2000) -> DataFrame:
-    """docs (doc_id, text, fingerprint) with next_text and next_print: those of the next document by doc_id, the first's after the last.
+def with_next(docs: DataFrame, printed, range_mb: int = 16, ranges: int = 2000) -> DataFrame:
+    """docs (doc_id, text, key) with fingerprint, that printed adds, next_text and next_print: those of the next document by doc_id,
+    the first's after the last.
 
     Documents are dealt to ranges of doc_id, from quantiles of all ids; each range also gets the first document of the
     next one. One shuffle of the texts.
@@ -81,10 +85,10 @@ def with_next(docs: DataFrame, range_mb: int = 16, ranges: int = 2000) -> DataFr
     order = Window.orderBy("range")
     before = first.withColumn("to", F.coalesce(F.lag("range").over(order), F.last("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
     heads = docs.join(F.broadcast(before.select("range", "key", "to")), ["range", "key"])
-    heads = heads.groupBy("to").agg(F.min(F.struct("text", "fingerprint")).alias("h"), F.min("key").alias("key"))
-    heads = heads.select(F.lit(None).cast("long").alias("doc_id"), "h.text", "h.fingerprint", "key", F.col("to").alias("range"), F.lit(1).alias("extra"))
+    heads = heads.groupBy("to").agg(F.min("text").alias("text"), F.min("key").alias("key"))
+    heads = printed(heads.select(F.lit(None).cast("long").alias("doc_id"), "text", "key", F.col("to").alias("range"), F.lit(1).alias("extra")))
     w = Window.partitionBy("range").orderBy("extra", "key", "text")
-    both = docs.select(heads.columns).unionByName(heads)
+    both = printed(docs).select(heads.columns).unionByName(heads)
     return both.withColumns({"next_text": F.lead("text").over(w), "next_print": F.lead("fingerprint").over(w)}).where("extra = 0")
 
 
@@ -97,9 +101,9 @@ def fingerprints(docs: DataFrame, slots: int = 1 << 20, min_idf: float = 3.0, ma
     """
     d = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     lex = lexicon(d, slots, min_idf, max_idf)
-    d = d.withColumn("lex", lex).withColumn("fingerprint", fingerprint(F.col("text"), F.col("lex"), slots, subsets, least))
-    d = d.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)).cast("long"))).drop("lex")
-    e = with_next(d).withColumn("n_chars", F.length("text").cast("long"))
+    printed = lambda x: x.withColumn("lex", lex).withColumn("fingerprint", fingerprint(F.col("text"), F.col("lex"), slots, subsets, least)).drop("lex")
+    d = d.withColumn("key", F.coalesce("doc_id", F.lit(-(2**63)).cast("long")))
+    e = with_next(d, printed).withColumn("n_chars", F.length("text").cast("long"))
     cut_ = F.floor(F.col("n_chars") / 4).cast("int")
     e = e.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - cut_).cast("int")), F.substring("next_text", F.lit(1), cut_)))
     e = e.withColumn("lex", lex).withColumn("edited_fingerprint", fingerprint(F.col("edited"), F.col("lex"), slots, subsets, least))
