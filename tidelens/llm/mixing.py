@@ -12,6 +12,13 @@ def uniform(seed: int, key: Column) -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
 
 
+def per_source(rows: DataFrame, facts: DataFrame, how: str = "inner", spread: int = 64) -> DataFrame:
+    """rows (c) joined with their source's row of facts (s); each source is dealt by hashes of doc_id, so that a large one is not one task's."""
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(spread)).cast("int"))
+    return dealt.alias("c").join(salted.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")) & (F.col("c.salt") == F.col("s.salt")), how)
+
+
 def targets(sizes: DataFrame, cycle: int = 3, most: int = 3) -> DataFrame:
     """sizes (source, source_size) with target: a share of all sizes by weight, no more than most times source_size.
 
@@ -71,7 +78,7 @@ def mix_sources(docs: DataFrame, most: int = 3, cycle: int = 3, seed: int = 7, b
     facts = facts.alias("s").join(counts.alias("c"), same).select("s.*", F.greatest(F.lit(bins), F.ceil(F.col("n_docs") / per_bin) * 16).cast("long").alias("n_bins"))
     facts = table(facts, "sources")
 
-    e = d.alias("c").join(facts.alias("s"), same).select("c.doc_id", "s.source", "size", "bits", "source_size", "target", "rate", "n_bins")
+    e = per_source(d, facts).select("c.doc_id", "s.source", "size", "bits", "source_size", "target", "rate", "n_bins")
     expected = F.when(F.col("size") > 0, F.least(F.lit(float(most)), F.col("rate") * (F.col("bits") + 1))).otherwise(F.lit(0.0))
     e = e.withColumn("expected", expected).withColumn("whole", F.floor("expected")).withColumn("p", F.col("expected") - F.col("whole"))
     u = uniform(seed, F.col("doc_id"))
@@ -86,7 +93,8 @@ def mix_sources(docs: DataFrame, most: int = 3, cycle: int = 3, seed: int = 7, b
     edge = sums.where("before < wanted and before + words >= wanted").groupBy("source").agg(F.min("bin").alias("edge"), F.min("before").alias("before"), F.min("wanted").alias("wanted"))
     last = sums.groupBy("source").agg(F.max("wanted").alias("all_wanted"), F.max(F.col("before") + F.col("words")).alias("all_words"))
     plan = last.alias("s").join(edge.alias("c"), same, "left").select("s.source", "before", "wanted", F.coalesce("edge", F.when(F.col("all_words") < F.col("all_wanted"), F.lit(2**62)).otherwise(F.lit(-1))).alias("edge"))
-    e = e.alias("c").join(plan.alias("s"), same, "left").select("c.*", "edge", "before", "wanted")
+    named = [f"c.{c}" for c in e.columns]
+    e = per_source(e, table(plan, "plan"), "left").select(*named, "edge", "before", "wanted")
     at_edge = e.where("bin = edge")
     ranked = at_edge.withColumn("sum", F.sum("size").over(Window.partitionBy("source").orderBy("rank", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before"))
     ranked = ranked.withColumn("more", (F.col("sum") - F.col("size") / 2 <= F.col("wanted")).cast("long"))
