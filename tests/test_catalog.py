@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelens.functions import values as V
+from tidelens.operators import places as P
 from tidelens.operators import tables as T
 from tidelens.plans import catalog, places  # noqa: F401
 
@@ -74,3 +75,10 @@ def test_geometry(spark):
     assert tuple(got) == (100.0, 40.0, True, False)
     n = [F.lit(float(v)) for v in (-5, 5, 15, 5, 0, 0, 10, 10)]
     assert spark.range(1).select(V.clipped_length(*n), V.segment_distance(F.lit(3.0), F.lit(4.0), *n[:4])).first() == (10.0, 1.0)
+
+
+def test_nearest_at_any_distance(spark):
+    points = spark.createDataFrame([(1, 0.0, 0.0), (2, 9e4, 0.0), (3, None, 1.0), (4, float("nan"), 1.0), (5, 5.0, 0.0)], "p int, x double, y double")
+    others = spark.createDataFrame([(7, 0.0, 1.0), (8, 10.0, 0.0), (9, 10.0, 0.0), (6, None, 0.0)], "o int, x double, y double")
+    assert {r.p: r.other for r in P.nearest_any(points, others, 4.0, "p", "o").collect()} == {1: 7, 2: 8, 3: None, 4: None, 5: 8}
+    assert {r.p: r.other for r in P.nearest_any(points, others.limit(0), 4.0, "p", "o").collect()} == dict.fromkeys(range(1, 6))

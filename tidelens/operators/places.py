@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions import values as V
-from tidelens.operators.tables import nearest
+from tidelens.operators.tables import held, nearest
 
 
 def buckets(rows: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> DataFrame:
@@ -16,20 +16,22 @@ def buckets(rows: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, siz
 def nearest_any(points: DataFrame, others: DataFrame, size: float, point_id: str, other_id: str) -> DataFrame:
     """(point_id, other, d): each point's nearest other at any distance, ties by id; none if there are no others.
 
-    Buckets double until every point has a match; only points without one go on.
+    Buckets double until every point has a match; only points without one go on. Points without finite
+    coordinates match none, others without them are not matched.
     """
-    others = others.select(other_id, "x", "y").checkpoint()
-    out, left = None, points.select(point_id, "x", "y").checkpoint()
+    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
+    others = held(others.select(other_id, "x", "y").where(placed))
+    points = points.select(point_id, "x", "y")
+    none = [F.lit(None).cast(others.schema[other_id].dataType).alias("other"), F.lit(None).cast("double").alias("d")]
     if others.isEmpty():
-        return left.select(point_id, F.lit(None).cast(others.schema[other_id].dataType).alias("other"), F.lit(None).cast("double").alias("d"))
-    while True:
-        found = nearest(left, others, size, point_id, other_id).checkpoint()
-        some = found.where("other is not null")
-        out = some if out is None else out.unionByName(some)
-        left = left.join(found.where("other is null"), point_id, "left_semi").checkpoint()
-        if left.isEmpty():
-            return out
+        return points.select(point_id, *none)
+    out, left = points.where(~F.coalesce(placed, F.lit(False))).select(point_id, *none), held(points.where(placed))
+    while not left.isEmpty():
+        found = held(nearest(left, others, size, point_id, other_id))
+        out = out.unionByName(found.where("other is not null"))
+        left = held(left.join(found.where("other is null"), point_id, "left_semi"))
         size *= 2
+    return out
 
 
 def inside(points: DataFrame, rings: DataFrame, size: float, point_id: str, ring_id: str) -> DataFrame:

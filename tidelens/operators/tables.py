@@ -1,11 +1,21 @@
 """Operators on whole tables: joins, groupings, windows. Every one is a function from DataFrames to a DataFrame."""
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions import values as V
 
 
+def held(rows: DataFrame) -> DataFrame:
+    """rows without their lineage, in the cluster's checkpoint folder (a temporary one where none is set, as in tests)."""
+    context = rows.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidelens-"))
+    return rows.checkpoint()
+
+
 def reconcile(cells: DataFrame, controls: DataFrame, group: str, weight: str, total: str) -> DataFrame:
     """cells with weight scaled so that each group meets its control total; groups without one stay."""
     sums = cells.groupBy(group).agg(F.sum(weight).alias("_now"))
@@ -197,15 +207,15 @@ def distances(edges: DataFrame, sources: DataFrame, cutoff: float, per_job: int
     Frontier relaxation: only nodes whose cost fell go on, several steps a job, the state checkpointed in the shared folder.
     """
     both = edges.select(F.col("u").alias("node"), F.col("v").alias("to"), "cost").unionByName(edges.select(F.col("v").alias("node"), F.col("u").alias("to"), "cost"))
-    both = both.groupBy("node", "to").agg(F.min("cost").alias("cost")).checkpoint()
-    best = sources.select("source", "node", F.lit(0.0).alias("cost"), F.lit(True).alias("fresh")).checkpoint()
+    both = held(both.groupBy("node", "to").agg(F.min("cost").alias("cost")))
+    best = held(sources.select("source", "node", F.lit(0.0).alias("cost"), F.lit(True).alias("fresh")))
     for _ in range(0, most, per_job):
         for _ in range(per_job):
             moved = best.where("fresh").alias("a").join(both.alias("b"), "node").select("a.source", F.col("b.to").alias("node"), (F.col("a.cost") + F.col("b.cost")).alias("cost"), F.lit(True).alias("fresh")).where(F.col("cost") <= cutoff)
             all_ = best.withColumn("old", F.col("cost")).withColumn("fresh", F.lit(False)).unionByName(moved.withColumn("old", F.lit(None).cast("double")))
             best = all_.groupBy("source", "node").agg(F.min("cost").alias("cost"), F.min("old").alias("old"))
             best = best.select("source", "node", "cost", (F.col("old").isNull() | (F.col("cost") < F.col("old"))).alias("fresh"))
-        best = best.checkpoint()
+        best = held(best)
         if best.where("fresh").isEmpty():
             break
     return best.select("source", "node", "cost")
@@ -213,13 +223,13 @@ def distances(edges: DataFrame, sources: DataFrame, cutoff: float, per_job: int
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): least node reached along edges (u, v), by minimum labels and jumps to the label's own label."""
-    both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    label = both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("component")).checkpoint()
+    both = held(edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    label = held(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.min("u")).alias("component")))
     while True:
         near = both.join(label, both.v == label.node).groupBy("u").agg(F.min("component").alias("c"))
         new = label.join(near.withColumnRenamed("u", "node"), "node").select("node", F.least("component", "c").alias("component"), F.col("component").alias("old"))
         jump = label.select(F.col("node").alias("component"), F.col("component").alias("c2"))
-        new = new.join(jump, "component", "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component"), "old").checkpoint()
+        new = held(new.join(jump, "component", "left").select("node", F.least("component", F.coalesce("c2", "component")).alias("component"), "old"))
         label = new.select("node", "component")
         if new.where("component != old").isEmpty():
             return label
