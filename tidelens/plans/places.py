@@ -80,8 +80,8 @@ query("x50_class_speed", "select edge_id, case highway when 'residential' then 8
 # --- filters ----------------------------------------------------------------------------------------------------------
 query("f02_usable", "select id from {tags} where height_text <> 'no' and level_text is not null")(lambda t: t.tags.where("height_text <> 'no' and level_text is not null").select("id"))
 query("f03_segments", "select edge_id from {edges} where length_m >= 60 and u <> v")(lambda t: t.edges.where("length_m >= 60 and u <> v").select("edge_id"))
-query("f05_area_clip", "select person_id from {persons} where abs(lon - 100.5203::double) + abs(lat - 13.7202::double) < 0.0105::double")(
-    lambda t: t.persons.where(V.in_ring(C("lon"), C("lat"), F.array(*(F.struct(L(100.5203 + a).alias("x"), L(13.7202 + b).alias("y")) for a, b in ((0.0105, 0), (0, 0.0105), (-0.0105, 0), (0, -0.0105), (0.0105, 0)))))).select("person_id"))
+query("f05_area_clip", "select person_id from {persons} where abs(lon - 100.5203::double) + abs(lat - 13.7202::double) < 0.0103::double")(
+    lambda t: t.persons.where(V.in_ring(C("lon"), C("lat"), F.array(*(F.struct(L(100.5203 + a).alias("x"), L(13.7202 + b).alias("y")) for a, b in ((0.0103, 0), (0, 0.0103), (-0.0103, 0), (0, -0.0103), (0.0103, 0)))))).select("person_id"))
 WATER = "(select year, px_row, round(count(*) filter (code >= 2) / nullif(count(*) filter (code <> 0), 0), 6) as share from {pixels} group by 1, 2)"
 for _name, _least in (("f10_least_share", 0.7), ("f10_share_of_none", 1.5)):
     query(_name, f"select * from {WATER} where share >= {_least} or not exists (select 1 from {WATER} where share >= {_least})")(
