@@ -85,25 +85,32 @@ def plausible(pairs: DataFrame, sketches: DataFrame, percent: int, slack: float
     return pairs.mapInArrow(run, "a long, b long").distinct()
 
 
-def compared(rows: DataFrame, percent: int, slack: float = 0.35, active: int = 4096, block: int = 65_536, best: bool = False) -> DataFrame:
+def uneven(rows: DataFrame) -> DataFrame:
+    """Those of rows (bucket, doc_id, component) whose bucket holds several components, with its largest (main), the number of
+    its members (m) and how many of them are of other components (others)."""
+    parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("k"))
+    sizes = parts.groupBy("bucket").agg(F.sum("k").alias("m"), F.max(F.struct("k", "component")).alias("main")).where("m > main.k")
+    return rows.join(sizes.select("bucket", F.col("main.component").alias("main"), "m", (F.col("m") - F.col("main.k")).alias("others")), "bucket")
+
+
+def compared(rows: DataFrame, sketches: DataFrame, percent: int, slack: float = 0.35, active: int = 4096, block: int = 65_536, best: bool = False) -> DataFrame:
     """Pairs (a, b) of members of a bucket and different components that plausible() would leave; if best, only each member's with
     the partner of the most similar sketch.
 
-    rows: (bucket, doc_id, component, n_shingles, sketch). In each bucket all components but the largest are compared
-    with all members, in blocks of bounded size; only pairs that pass come out.
+    rows: as uneven() gives them; sketches: (doc_id, n_shingles, sketch), a row a document. In each bucket all components but
+    the largest are compared with all members, in blocks of bounded size; only pairs that pass come out. Sketches join
+    once rows are dealt to blocks, so they are shuffled once.
     """
     least = (percent / 100 - slack) * SKETCH
-    parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-    sizes = parts.groupBy("bucket").agg(F.sum("k").alias("m"), F.max(F.struct("k", "component")).alias("main")).where("m > main.k")
-    sizes = sizes.select("bucket", F.col("main.component").alias("main"), F.ceil((F.col("m") - F.col("main.k")) / active).cast("int").alias("c_a"), F.ceil(F.col("m") / block).cast("int").alias("c_b"))
-    r = rows.join(sizes, "bucket").withColumn("own", F.col("component") != F.col("main"))
+    r = rows.withColumns({"own": F.col("component") != F.col("main"), "c_a": F.ceil(F.col("others") / active).cast("int"), "c_b": F.ceil(F.col("m") / block).cast("int")})
     i, j = (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.col(c)).cast("int") for k, c in enumerate(("c_a", "c_b")))
     spot = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
     every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
     spots = F.when((F.col("c_a") == 1) & (F.col("c_b") == 1), F.array(spot(F.lit(0), F.lit(0), 2))).otherwise(
         F.concat(F.transform(every("c_a"), lambda x: spot(x, j, 1)), F.when(F.col("own"), F.transform(every("c_b"), lambda x: spot(i, x, 0))).otherwise(F.array().cast("array<struct<i:int,j:int,role:int>>")))
     )
-    r = r.select("bucket", F.explode(spots).alias("s"), "doc_id", "component", "n_shingles", "sketch", "own").select("bucket", "s.*", "doc_id", "component", "n_shingles", "sketch", "own")
+    r = r.select("bucket", F.explode(spots).alias("s"), "doc_id", "component", "own").select("bucket", "s.*", "doc_id", "component", "own")
+    r = r.join(sketches, "doc_id")
 
     def near(n_a, n_b, s_a, s_b, c_a, c_b):
         """Places that agree, or 0 if the pair is ruled out."""
@@ -250,10 +257,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
         links = cut(links.unionByName(verified(new, texts, width, percent)).distinct())
         parts = labels(links)
     for best in (True, True, False):
-        labelled = inside.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        several = labelled.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("bucket")
-        rest = labelled.join(several, "bucket", "left_semi").join(sketches.dropDuplicates(["doc_id"]), "doc_id")
-        new = cut(compared(rest, percent, best=best).join(tested, ["a", "b"], "left_anti"))
+        labelled = inside.select("bucket", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+        inside = table(uneven(labelled), "rest")  # components only grow, so no other bucket matters later
+        new = cut(compared(inside, sketches.dropDuplicates(["doc_id"]), percent, best=best).join(tested, ["a", "b"], "left_anti"))
         if not new.isEmpty():
             links = cut(links.unionByName(verified(new, docs, width, percent)).distinct())
             tested = cut(tested.unionByName(new))
