@@ -187,6 +187,19 @@ def compared(rows: DataFrame, sketches: DataFrame, percent: int, slack: float =
     return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def among(docs: DataFrame, ids: DataFrame, slots: int = 1 << 22) -> DataFrame:
+    """Those of docs whose doc_id is one of ids (doc_id), and a few others: those whose hash falls in a slot of one of them.
+
+    The table of slots has a fixed size (a bit each), so any scan can hold it, and a join that follows shuffles few texts;
+    where ids are many more than slots it lets all through, and the join alone decides.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
+    held = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
+    every = docs.sparkSession.range(slots // 64).join(held, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    row = table(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits")), "slots")
+    return docs.where(F.getbit(F.get(row.scalar(), F.shiftright(slot, 6).cast("int")), F.pmod(slot, F.lit(64)).cast("int")) == 1)
+
+
 def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of pairs (a, b) whose full sets of shingles have 100 * intersection >= percent * union."""
 
@@ -246,10 +259,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
             pairs = pairs.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
         return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
 
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        return table(among(docs, ids).join(ids, "doc_id", "left_semi"), "texts")
+
     hubs = inside.where("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
     tested = cut(plausible(hubs, sketches, percent))
-    ids = tested.select(F.col("a").alias("doc_id")).unionByName(tested.select(F.col("b").alias("doc_id"))).distinct()
-    texts = table(docs.join(ids, "doc_id", "left_semi"), "texts")
+    texts = texts_of(tested)
     links = cut(verified(tested.groupBy("b").agg(F.min("a").alias("a")), texts, width, percent))
     parts = labels(links)
     new = cut(between(tested, parts))
@@ -261,7 +277,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
         inside = table(uneven(labelled), "rest")  # components only grow, so no other bucket matters later
         new = cut(compared(inside, sketches.dropDuplicates(["doc_id"]), percent, best=best).join(tested, ["a", "b"], "left_anti"))
         if not new.isEmpty():
-            links = cut(links.unionByName(verified(new, docs, width, percent)).distinct())
+            links = cut(links.unionByName(verified(new, texts_of(new), width, percent)).distinct())
             tested = cut(tested.unionByName(new))
             parts = labels(links)
 
