@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidelens.functions import values as V
 from tidelens.operators import places as P
 from tidelens.operators import tables as T
-from tidelens.plans import catalog, places  # noqa: F401
+from tidelens.plans import catalog, places, runs  # noqa: F401
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
