@@ -100,7 +100,8 @@ def test_compared_blocks(spark):
                 want.add((x[1], y[1]))
     df = spark.createDataFrame(rows, "bucket long, doc_id long, component long, n_shingles long, sketch binary")
     for sizes in ((4096, 65_536), (10, 30)):
-        assert {tuple(r) for r in minhash.compared(df, 75, 0.35, *sizes).collect()} == want
+        uneven = minhash.uneven(df.select("bucket", "doc_id", "component"))
+        assert {tuple(r) for r in minhash.compared(uneven, df.select("doc_id", "n_shingles", "sketch"), 75, 0.35, *sizes).collect()} == want
     assert len(want) > 100
 
 
