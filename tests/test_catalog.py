@@ -82,3 +82,28 @@ def test_nearest_at_any_distance(spark):
     others = spark.createDataFrame([(7, 0.0, 1.0), (8, 10.0, 0.0), (9, 10.0, 0.0), (6, None, 0.0)], "o int, x double, y double")
     assert {r.p: r.other for r in P.nearest_any(points, others, 4.0, "p", "o").collect()} == {1: 7, 2: 8, 3: None, 4: None, 5: 8}
     assert {r.p: r.other for r in P.nearest_any(points, others.limit(0), 4.0, "p", "o").collect()} == dict.fromkeys(range(1, 6))
+
+
+def test_rain_of_all_gauges_at_all_blocks(spark):
+    """Of brute force at every block, from every gauge."""
+    got = {(r.bi, r.bj): r.rain for r in catalog.QUERIES["j22_idw_rain"](spark, DATA).collect()}
+    blocks = [(int(r.p_partkey) % 50, int(r.p_partkey) // 50) for r in spark.read.parquet(f"{DATA}/part.parquet").collect()]
+    gauges = [(500.0 * (r.s_suppkey % 10), 500.0 * (r.s_suppkey // 10), abs(float(r.s_acctbal)) / 100) for r in spark.read.parquet(f"{DATA}/supplier.parquet").collect()]
+    assert got.keys() == set(blocks)
+    for (bi, bj), rain in got.items():
+        near = [(math.hypot(100 * bi - x, 100 * bj - y), t) for x, y, t in gauges]
+        on = [t for d, t in near if d <= 1e-6]
+        want = sum(on) / len(on) if on else sum(t / d**2 for d, t in near) / sum(1 / d**2 for d, _ in near)
+        assert abs(rain - want) < 2e-6
+
+
+def test_rain_by_small_groups(spark):
+    gauges = [(float(7 * k % 40), float(11 * k % 30), float(k)) for k in range(90)] + [(3.5, None, 9.0), (4.5, 1.5, None), (float("nan"), 1.0, 9.0)]
+    points = [(k, k * 0.75, k * 0.5) for k in range(40)] + [(99, None, 1.0)]
+    g = spark.createDataFrame(gauges, "x double, y double, total double")
+    got = {r.k: r.rain for r in T.idw(spark.createDataFrame(points, "k int, x double, y double"), g, size=16).collect()}
+    assert got[99] is None and len(got) == 41
+    for k, x, y in points[:40]:
+        near = [(math.hypot(x - a, y - b), t) for a, b, t in gauges[:90]]
+        on = [t for d, t in near if d <= 1e-6]
+        assert abs(got[k] - (sum(on) / len(on) if on else sum(t / d**2 for d, t in near) / sum(1 / d**2 for d, _ in near))) < 1e-9

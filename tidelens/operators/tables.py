@@ -2,6 +2,8 @@
 
 import tempfile
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,13 +145,38 @@ def sensor_label(tally: DataFrame, wet: float = 0.15) -> DataFrame:
     return tally.withColumn("label", F.when(F.col("peak") >= wet, "wet").when(F.col("arrived") * 10 >= F.col("scheduled") * 9, "dry").otherwise("unknown"))
 
 
-def idw(points: DataFrame, gauges: DataFrame, power: int = 2) -> DataFrame:
-    """Inverse-distance mean of gauges at each point; a gauge at the point wins. gauges: a station list, small by nature."""
-    d = F.hypot(F.col("x") - F.col("gx"), F.col("y") - F.col("gy"))
-    g = gauges.agg(F.collect_list(F.struct("x", "y", "total")).alias("g"))
-    rows = points.withColumn("g", F.explode(g.scalar())).select(*points.columns, F.col("g.x").alias("gx"), F.col("g.y").alias("gy"), F.col("g.total").alias("total")).withColumn("d", d)
-    w = 1 / F.pow(F.when(F.col("d") > 1e-6, F.col("d")), F.lit(power))
-    return rows.groupBy(*points.columns).agg(F.coalesce(F.avg(F.when(F.col("d") <= 1e-6, F.col("total"))), F.sum(w * F.col("total")) / F.sum(w)).alias("rain"))
+def idw(points: DataFrame, gauges: DataFrame, power: int = 2, size: int = 1024) -> DataFrame:
+    """points with rain, the inverse-distance mean of all complete gauges (x, y, total); gauges at a point win.
+
+    Points and gauges are dealt by hashes to groups of about size rows. Each pair of groups gives its points partial sums,
+    which are added by point: no task holds more than two groups, however many gauges there are. A gauge without place
+    or total is left out; a point without place, or with no gauge to weigh, has null rain. Rows that repeat a point count once.
+    """
+    whole = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    points = points.distinct()
+    gauges = gauges.select(*(F.col(c).cast("double").alias(c) for c in ("x", "y", "total"))).where(whole("x") & whole("y") & whole("total"))
+    n_p, n_g = (max(1, -(-df.count() // size)) for df in (points, gauges))
+    deal = lambda df, n: F.pmod(F.xxhash64(*df.columns), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    p = points.withColumn("_p", deal(points, n_p)).withColumn("_g", each(n_g))
+    g = gauges.withColumn("_g", deal(gauges, n_g)).withColumn("_p", each(n_p))
+
+    def sums(at, of):
+        x, y = (at.column(c).cast("double").to_numpy(zero_copy_only=False) for c in ("x", "y"))
+        order = of.sort_by([("x", "ascending"), ("y", "ascending"), ("total", "ascending")])
+        gx, gy, total = (order.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "total"))
+        d = np.hypot(x[:, None] - gx, y[:, None] - gy)
+        on = d <= 1e-6
+        w = np.where(d > 1e-6, 1 / np.where(d > 1e-6, d, 1.0) ** power, 0.0)
+        out = at.drop_columns(["_p", "_g"])
+        for name, v in (("_w", w.sum(axis=1)), ("_wt", w @ total), ("_n", on.sum(axis=1).astype(float)), ("_nt", on @ total)):
+            out = out.append_column(name, pa.array(v, pa.float64()))
+        return out
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in points.schema] + [f"{c} double" for c in ("_w", "_wt", "_n", "_nt")])
+    parts = p.groupBy("_p", "_g").cogroup(g.groupBy("_p", "_g")).applyInArrow(sums, schema)
+    rain = F.coalesce(V.ratio(F.sum("_nt"), F.sum("_n")), V.ratio(F.sum("_wt"), F.sum("_w")))
+    return parts.groupBy(*points.columns).agg(rain.alias("rain"))
 
 
 def nearest(points: DataFrame, others: DataFrame, size: float, point_id: str, other_id: str) -> DataFrame:

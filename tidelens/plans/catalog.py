@@ -150,7 +150,7 @@ query("j08_nearest_within", "select s_suppkey, arg_min(gauge_id, (d, gauge_id))
 query("j21_outside_domain", "select user_id, count(*) as n from events where user_id not in (select s_suppkey from supplier) group by 1")(
     lambda t: t.events.join(t.supplier, C("user_id") == C("s_suppkey"), "left_anti").groupBy("user_id").agg(F.count("*").alias("n")))
 query("j22_idw_rain", "select bi, bj, round(coalesce(avg(total) filter (d <= 1e-6), sum(total / (d * d)) filter (d > 1e-6) / sum(1 / (d * d)) filter (d > 1e-6)), 6) as rain from (select bi, bj, total, sqrt((bi * 100 - g.x) ** 2 + (bj * 100 - g.y) ** 2) as d from {blocks}, {gauges} g where bi % 5 = 0 and bj % 5 = 0 and gauge_id < 50) group by 1, 2")(
-    lambda t: T.idw(t.blocks.where("bi % 5 = 0 and bj % 5 = 0").select("bi", "bj", (C("bi") * 100).cast("double").alias("x"), (C("bj") * 100).cast("double").alias("y")), t.gauges.where("gauge_id < 50").select(C("x").cast("double").alias("x"), C("y").cast("double").alias("y"), "total")).select("bi", "bj", r6(C("rain"), "rain")))
+    lambda t: T.idw(t.blocks.select("bi", "bj", (C("bi") * 100).cast("double").alias("x"), (C("bj") * 100).cast("double").alias("y")), t.gauges.select(C("x").cast("double").alias("x"), C("y").cast("double").alias("y"), "total")).select("bi", "bj", r6(C("rain"), "rain")))
 query("j27_outcome_compare", "select coalesce(a.o_orderkey, b.o_orderkey) as k, a.o_totalprice is not distinct from b.p or abs(a.o_totalprice - b.p) <= 1e-6 as same from orders a full join (select o_orderkey, case when o_orderkey % 10 = 0 then o_totalprice + 1 else o_totalprice end as p from orders where o_orderkey % 7 <> 0) b using (o_orderkey)")(
     lambda t: t.orders.select(C("o_orderkey").alias("k"), "o_totalprice").join(t.orders.where("o_orderkey % 7 <> 0").select(C("o_orderkey").alias("k"), F.when(C("o_orderkey") % 10 == 0, C("o_totalprice") + 1).otherwise(C("o_totalprice")).alias("p")), "k", "full").select("k", (C("o_totalprice").eqNullSafe(C("p")) | (F.abs(C("o_totalprice") - C("p")) <= 1e-6)).alias("same")))
 query("j29_same_rows", "select (select count(*) from (select person_id, weight from {persons} except all select person_id, weight from {persons} where k % 9 <> 0)) as only_first, 0::bigint as only_second")(
