@@ -213,3 +213,14 @@ def test_urls(spark):
     assert got[11] == ("c.info", "/", None, "block")
     assert got[12][3] == "allow"  # trusted host links to it
     assert linkgraph.judge_urls(df.limit(0)).count() == 0
+
+
+def test_urls_far_from_a_blocked_host(spark):
+    """Along a chain h0 -> ... -> h19 -> a blocked host, distrust is 0.15 * 0.85^k: above 0.01 up to k = 16; trust on a cycle in full."""
+    pages = [(k, f"x://h{k}.info/", f'<a href="//h{k + 1}.info/">') for k in range(19)] + [(19, "x://h19.info/", '<a href="//bad.org/">'), (20, "x://bad.org/es/", "")]
+    got = {r.page_id: r.verdict for r in linkgraph.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {**{k: "block" if 20 - k <= 16 else "allow" for k in range(20)}, 20: "block"}
+    seeds = spark.createDataFrame([("a", 1.0, 0.0)], "host string, trust double, distrust double")
+    edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
+    got = {r.host: r.trust for r in linkgraph.propagate(seeds, edges).collect()}
+    assert abs(got["a"] - 0.15 / (1 - 0.85**2)) < 1e-5 and abs(got["b"] - 0.15 * 0.85 / (1 - 0.85**2)) < 1e-5

@@ -40,10 +40,12 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return links.where("dst != '' and dst != src").groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds: int = 8) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, bound: float = 1e-5) -> DataFrame:
     """(host, trust, distrust) from seeds (host, trust, distrust) along edges (src, dst, n).
 
-    Personalised PageRank: each round a host gets (1 - damping) of its seed and damping of what reaches it.
+    Personalised PageRank: a host gets (1 - damping) of its seed and damping of what reaches it. A round moves on what
+    the last one added. Rounds end when all that is still to come, to all hosts together, is below bound: a round adds at most
+    damping of what the last one added, in all. The number of rounds grows with the logarithm of the number of hosts.
     Trust follows links in proportion to their number; distrust goes back from a host to those that link to it. Edges are one row a
     pair of hosts, so a round moves as many rows as there are such pairs; a host with many is a skewed key of a
     join that adaptive execution splits, before a sum that is pre-aggregated.
@@ -54,20 +56,22 @@ def propagate(seeds: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     steps = cut(steps.unionByName(edges.join(back, "dst").select(F.lit("distrust").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), (F.col("n") / F.col("all")).alias("w"))))
     start = seeds.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed")).where("seed > 0")
     start = cut(start.select("host", "kind", (F.col("seed") * (1 - damping)).alias("rank")))
-    rank = start
-    if not steps.isEmpty():
-        for _ in range(rounds):
-            moved = rank.join(steps, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("rank") * F.col("w") * damping).alias("rank"))
-            rank = cut(moved.unionByName(start).groupBy("host", "kind").agg(F.sum("rank").alias("rank")))
+    rank = start.withColumn("new", F.col("rank"))
+    while not steps.isEmpty():
+        moved = rank.where("new > 0").join(steps, ["host", "kind"]).select(F.col("to").alias("host"), "kind", (F.col("new") * F.col("w") * damping).alias("rank"))
+        both = moved.withColumn("new", F.col("rank")).unionByName(rank.withColumn("new", F.lit(0.0)))
+        rank = cut(both.groupBy("host", "kind").agg(F.sum("rank").alias("rank"), F.sum("new").alias("new")))
+        if (rank.agg(F.sum("new")).first()[0] or 0.0) * damping / (1 - damping) < bound:
+            break
     return rank.groupBy("host").agg(*(F.sum(F.when(F.col("kind") == k, F.col("rank")).otherwise(0.0)).alias(k) for k in ("trust", "distrust")))
 
 
-def judge_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int = 8, margin: float = 0.01) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, margin: float = 0.01) -> DataFrame:
     """(page_id, host, path, rule, verdict) of each of pages (page_id, url, html).
 
     verdict: that of the longest rule that fits. Where none does, the host's: block if its distrust exceeds its trust by
     more than margin, else allow. Seeds of trust and distrust are the shares of a host's pages that rules allow and block;
-    both are propagated over links between hosts. Null urls and those without :// have an empty host and path,
+    both are propagated over links between hosts until what is still to come is below a thousandth of margin. Null urls and those without :// have an empty host and path,
     no rule and no links, and are allowed. Null html has no links. Rows that repeat a page count as often. Other columns are ignored.
     """
     p = pages.select("page_id", "url", "html").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "html")
@@ -78,7 +82,7 @@ def judge_urls(pages: DataFrame, rules=RULES, damping: float = 0.85, rounds: int
     p = p.withColumn("given", given)
     share = lambda v: F.avg(F.when(F.col("given") == v, 1.0).otherwise(0.0))
     seeds = p.where("host != ''").groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
-    scores = propagate(seeds, host_edges(p), damping, rounds)
+    scores = propagate(seeds, host_edges(p), damping, margin / 1000)
     doomed = scores.where(F.col("distrust") - F.col("trust") > margin).select("host", F.lit("block").alias("doom"))
     out = p.select("page_id", "host", "path", "rule", "given").join(doomed, "host", "left")
     return out.select("page_id", "host", "path", "rule", F.coalesce("given", "doom", F.lit("allow")).alias("verdict"))
