@@ -71,6 +71,20 @@ def test_languages(spark, docs):
     assert hdlang.identify(docs.limit(0)).count() == 0
 
 
+def test_noise_has_no_language(spark):
+    rnd = random.Random(6)
+    parts = {"en": ["the", "ing", "th", "er", "and"], "de": ["sch", "ung", "ß", "ei", "und"]}
+    rows = [(k, " ".join("".join(rnd.choices(parts[x], k=3)) for _ in range(rnd.randint(4, 200))), x, None) for k in range(200) for x in [rnd.choice(["en", "de"])]]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for n in (20, 100, 1000, 10_000, 60_000):
+        rows.append((1000 + n, "".join(rnd.choices(letters + " ", k=n)), None, None))
+        rows.append((1001 + n, "".join(rnd.choices(letters + letters.upper() + "0123456789+/", k=n)), None, None))
+        rows.append((1002 + n, "".join(rnd.choices("абвгдежзиклмнопрст ", k=n)), None, None))
+    rows += [(900, "12 !?", "en", None), (901, None, "en", None)]
+    kept = [r.doc_id for r in hdlang.keep_languages(spark, spark.createDataFrame(rows, SCHEMA), "").collect()]
+    assert sorted(kept) == list(range(200))
+
+
 def test_toxicity(spark, docs):
     rnd = random.Random(5)
     clean = ["river", "stone", "light", "garden", "winter", "paper", "cloud", "mirror"]

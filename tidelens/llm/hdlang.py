@@ -84,6 +84,13 @@ def identify(docs: DataFrame, dims: int = 1024, symbols: int = 40, seed: int = 5
     could be learned, is `und` with score 0. Rows that repeat a document count as often. Rows without doc_id are not held out.
     Other columns are ignored.
     """
+    return compared(docs, dims, symbols, seed).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def compared(docs: DataFrame, dims: int = 1024, symbols: int = 40, seed: int = 5) -> DataFrame:
+    """identify() with lang, likeness and size: the cosine with the prototype of lang_pred, nothing subtracted, rounded to
+    three places, and the whole part of the binary logarithm of the number of distinct trigrams. Both are null for `und`.
+    """
     small_batches(docs.sparkSession)
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"), held_out(F.col("doc_id").cast("long")).alias("held_out"))
     learned = learn(d.where("not held_out"), dims, symbols, seed)
@@ -96,25 +103,60 @@ def identify(docs: DataFrame, dims: int = 1024, symbols: int = 40, seed: int = 5
     def run(batches):
         space = Space(dims, symbols, seed)
         for batch in batches:
-            best, scores = [], []
+            best, scores, likeness, sizes = [], [], [], []
             for at, n in space.counts(batch.column("text")):
                 if not len(at) or not names:
                     best.append(UNDETERMINED)
                     scores.append(0.0)
+                    likeness.append(None)
+                    sizes.append(None)
                     continue
-                v = space.bundle(at, n).astype(np.float64)
-                v = v / max(np.linalg.norm(v), 1e-9) - middle
+                whole = space.bundle(at, n).astype(np.float64)
+                whole /= max(np.linalg.norm(whole), 1e-9)
+                v = whole - middle
                 cosines = centred @ (v / max(np.linalg.norm(v), 1e-9))
                 k = int(np.argmax(np.round(cosines, 9)))
                 best.append(names[k])
                 scores.append(float(np.clip((1 + cosines[k]) / 2, 0, 1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(best, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+                likeness.append(round(float(unit[k] @ whole), 3))
+                sizes.append(len(at).bit_length() - 1)
+            out = [batch.column("doc_id"), batch.column("held_out"), batch.column("lang"), pa.array(best, pa.string()), pa.array(scores, pa.float64()), pa.array(likeness, pa.float64()), pa.array(sizes, pa.int32())]
+            yield pa.RecordBatch.from_arrays(out, ["doc_id", "held_out", "lang", "lang_pred", "score", "likeness", "size"])
+
+    return d.select("doc_id", "text", "held_out", "lang").mapInArrow(run, "doc_id long, held_out boolean, lang string, lang_pred string, score double, likeness double, size int")
 
-    return d.select("doc_id", "text", "held_out").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
+def limits(found: DataFrame, quantile: float, slack: float) -> DataFrame:
+    """(lang_pred, size, least): slack times a low quantile of the likeness of labelled documents, by language and size.
 
-def keep_languages(spark, docs: DataFrame, sf_dir: str, least: float = 0.5) -> DataFrame:
-    """docs whose language can be told: not those without letters, nor those no more like any prototype than unlike."""
-    found = identify(docs.where("doc_id is not null").dropDuplicates(["doc_id"]))
-    bad = found.where((F.col("lang_pred") == UNDETERMINED) | (F.col("score") < least)).select("doc_id")
+    Only documents that are not held out and are taken for the language of their label count. Sizes without any take the
+    limit of the next smaller one; those below all others the limit of the smallest, less by the square root of the ratio of
+    sizes, as likeness grows with the number of distinct trigrams. Likeness has three places, so a group has few distinct values.
+    """
+    told = found.where("not held_out and lang = lang_pred and size is not null")
+    rows = told.groupBy("lang_pred", "size").agg((F.percentile("likeness", F.lit(quantile)) * slack).alias("least")).collect()  # languages times sizes
+    by: dict[str, dict[int, float]] = {}
+    for r in rows:
+        by.setdefault(r.lang_pred, {})[r.size] = r.least
+    full = []
+    for lang, known in sorted(by.items()):
+        low = min(known)
+        now = known[low]
+        for size in range(40):
+            now = known.get(size, now)
+            full.append((lang, size, now if size >= low else known[low] * 2 ** ((size - low) / 2)))
+    return found.sparkSession.createDataFrame(full, "lang_pred string, size int, least double")
+
+
+def keep_languages(spark, docs: DataFrame, sf_dir: str, quantile: float = 0.01, slack: float = 0.6) -> DataFrame:
+    """docs whose language can be told: not those without letters, nor those too unlike the language they are taken for.
+
+    Too unlike: a likeness below slack times the quantile of labelled documents of that language with about as many distinct trigrams, so
+    letter noise, encoded data and languages not learned go. Where more than the quantile of the labelled documents are
+    themselves such texts, the limit is no longer one between the two. A language without labelled documents that are
+    recognised has no limit.
+    """
+    found = cut(compared(docs.where("doc_id is not null").dropDuplicates(["doc_id"])))
+    least = F.broadcast(limits(found, quantile, slack))
+    bad = found.join(least, ["lang_pred", "size"], "left").where((F.col("lang_pred") == UNDETERMINED) | (F.col("likeness") < F.col("least"))).select("doc_id")
     return docs.join(cut(bad), "doc_id", "left_anti").select(docs.columns)
