@@ -12,6 +12,7 @@ from tidelens.functions import values as V
 from tidelens.operators import places as P
 from tidelens.operators import tables as T
 from tidelens.plans import catalog, places, runs  # noqa: F401
+from tidelens.sources.derived import Tables
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -107,3 +108,35 @@ def test_rain_by_small_groups(spark):
         near = [(math.hypot(x - a, y - b), t) for a, b, t in gauges[:90]]
         on = [t for d, t in near if d <= 1e-6]
         assert abs(got[k] - (sum(on) / len(on) if on else sum(t / d**2 for d, t in near) / sum(1 / d**2 for d, _ in near))) < 1e-9
+
+
+def test_cut_off_reasons(spark):
+    open_ = spark.createDataFrame([(1, 2), (2, 3), (7, 8)], "u long, v long")
+    trips = spark.createDataFrame([(1, 1, 3), (2, 1, 8), (3, 5, 1), (4, 1, 5), (5, 5, 6), (6, 7, 7), (7, None, 1)], "trip_id long, a long, b long")
+    got = {r.trip_id: r.reason for r in P.cut_off(trips, open_, "a", "b").collect()}
+    assert got == {1: None, 2: "no_path", 3: "origin", 4: "destination", 5: "origin", 6: None, 7: "origin"}
+
+
+def test_trips_over_all_nodes(spark):
+    """Of a union of open edges by hand, from every node."""
+    t = Tables(spark, DATA)
+    closed = {r.edge_id for r in t.edge_depths.collect() if r.max_depth_m >= 0.5}
+    edges = t.edges.collect()
+    root = {}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for e in edges:
+        if e.walk_allowed and e.edge_id not in closed:
+            u, v = (find(root.setdefault(n, n)) for n in (e.u, e.v))
+            root[max(u, v)] = min(u, v)
+    last = max(max(e.u, e.v) for e in edges) + 1
+    want = {}
+    for r in t.trips.collect():
+        a, b = r.person % last, r.trip_id % last
+        want[r.trip_id] = "origin" if a not in root else "destination" if b not in root else "no_path" if find(a) != find(b) else None
+    assert "no_path" in want.values()
+    assert {r.trip_id: r.reason for r in catalog.QUERIES["n08_cut_off_reason"](spark, DATA).collect()} == want

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions import values as V
-from tidelens.operators.tables import held, nearest
+from tidelens.operators.tables import components, held, nearest
 
 
 def buckets(rows: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> DataFrame:
@@ -101,3 +101,14 @@ def public_columns(rows: DataFrame, names: set[str], parts: tuple[str, ...]) ->
 def rectangle(x: Column, y: Column, w: Column, h: Column) -> Column:
     """The closed ring of a rectangle."""
     return F.array(*(F.struct((x + a * w).cast("double").alias("x"), (y + b * h).cast("double").alias("y")) for a, b in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))))
+
+
+def cut_off(trips: DataFrame, open_: DataFrame, origin: str, destination: str) -> DataFrame:
+    """trips with reason: origin or destination where no open edge (u, v) meets that node, no_path where both lie in different
+    components of the open edges, else null. Trips with a null node have no open edge there.
+    """
+    of = components(open_)
+    side = lambda name: of.select(F.col("node").alias(name), F.col("component").alias(f"_{name}"))
+    j = trips.join(side(origin), origin, "left").join(side(destination), destination, "left")
+    a, b = F.col(f"_{origin}"), F.col(f"_{destination}")
+    return j.withColumn("reason", F.when(a.isNull(), "origin").when(b.isNull(), "destination").when(a != b, "no_path")).drop(f"_{origin}", f"_{destination}")
