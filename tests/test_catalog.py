@@ -1,5 +1,6 @@
 """Every registered query against DuckDB on the smallest tables, and small cases by hand."""
 
+import heapq
 import math
 import os
 from collections import Counter
@@ -140,3 +141,42 @@ def test_trips_over_all_nodes(spark):
         want[r.trip_id] = "origin" if a not in root else "destination" if b not in root else "no_path" if find(a) != find(b) else None
     assert "no_path" in want.values()
     assert {r.trip_id: r.reason for r in catalog.QUERIES["n08_cut_off_reason"](spark, DATA).collect()} == want
+
+
+def test_travel_times_of_all_gauges(spark):
+    """Of Dijkstra by hand from the node nearest to each gauge, on all edges open on foot."""
+    t = Tables(spark, DATA)
+    near = {}
+    for e in t.edges.where("walk_allowed").collect():
+        for a, b in ((e.u, e.v), (e.v, e.u)):
+            near.setdefault(a, []).append((b, e.length_m / 1.25, e.edge_id))
+    want = {}
+    for g in t.gauges.collect():
+        start = min(near, key=lambda n: (math.hypot(50 * (n % 50) - g.x, 50 * (n // 50) - float(g.y)), n))
+        cost, todo = {start: 0.0}, [(0.0, start)]
+        while todo:
+            c, n = heapq.heappop(todo)
+            for b, step, _ in near[n] if c <= cost[n] else ():
+                if c + step <= 1200 and c + step < cost.get(b, math.inf):
+                    cost[b] = c + step
+                    heapq.heappush(todo, (c + step, b))
+        want |= {(start, n): c for n, c in cost.items()}
+    got = {(r.source, r.node): r for r in catalog.QUERIES["n03_travel_times"](spark, DATA).collect()}
+    assert got.keys() == want.keys() and len({s for s, _ in got}) > 1
+    for (s, n), r in got.items():
+        assert abs(r.cost - want[s, n]) < 1e-6
+        assert r.prev_edge is None if s == n else any(e == r.prev_edge and abs(want.get((s, b), math.inf) + step - r.cost) < 1e-6 for b, step, e in near[n])
+
+
+def test_components_of_all_edges_on_foot(spark):
+    root = {}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for e in Tables(spark, DATA).edges.where("walk_allowed").collect():
+        u, v = (find(root.setdefault(n, n)) for n in (e.u, e.v))
+        root[max(u, v)] = min(u, v)
+    assert {r.node: r.component for r in catalog.QUERIES["n06_components"](spark, DATA).collect()} == {n: find(n) for n in root}
