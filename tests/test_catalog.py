@@ -3,6 +3,8 @@
 import heapq
 import math
 import os
+import random
+import statistics
 from collections import Counter
 
 import duckdb
@@ -180,3 +182,54 @@ def test_components_of_all_edges_on_foot(spark):
         u, v = (find(root.setdefault(n, n)) for n in (e.u, e.v))
         root[max(u, v)] = min(u, v)
     assert {r.node: r.component for r in catalog.QUERIES["n06_components"](spark, DATA).collect()} == {n: find(n) for n in root}
+
+
+def area(pairs):
+    pos, neg = ([s for s, y in pairs if y == k] for k in (1, 0))
+    return sum((a > b) + (a == b) / 2 for a in pos for b in neg) / (len(pos) * len(neg)) if pos and neg else None
+
+
+@pytest.mark.parametrize("n", [99_999, 9])
+def test_shift_null(spark, n):
+    """Of brute force on a small torus: of all shifts, and of a draw of some."""
+    rnd = random.Random(3)
+    cells = {(i, j): (float(rnd.randrange(6)), rnd.choice([1, 0, 0, -1])) for i in range(2, 7) for j in range(6) if (i, j) != (4, 4)}
+    cells |= {(2, 0): (5.0, 1), (6, 5): (0.0, 0)}
+    df = spark.createDataFrame([(i, j, *v) for (i, j), v in cells.items()], "bi long, bj long, score double, label int")
+    r = T.shift_null(df, "score", "label", n=n, seed=7).first()
+    known = {c: v for c, v in cells.items() if v[1] >= 0}
+    observed, values = area(list(known.values())), []
+    for di in range(5):
+        for dj in range(6):
+            land = [(known[to][0], y) for (i, j), (_, y) in known.items() for to in [((i - 2 + di) % 5 + 2, (j + dj) % 6)] if to in known]
+            values += [(area(land), len(land))] if (di or dj) else []
+    assert abs(r.auc - observed) < 1e-12 and r.n == min(n, 29)
+    if n > 29:
+        done = [v for v, _ in values if v is not None]
+        k = sum(v >= observed - 1e-12 for v in done)
+        assert (r.n_undefined, r.p_ge_observed, r.share_ge_observed) == (29 - len(done), (1 + k) / (1 + len(done)), k / len(done))
+        assert (r.evaluable_low, r.evaluable_high) == (min(m for v, m in values if v is not None), max(m for v, m in values if v is not None))
+    assert T.shift_null(df, "score", "label", n=n, seed=7).first() == r
+
+
+def test_shift_null_query(spark):
+    r = catalog.QUERIES["a50_shift_null"](spark, DATA).first()
+    assert r.n >= 190 and 0 < r.p_ge_observed <= 1
+
+
+def test_correlogram(spark):
+    """Every lag up to half the shorter side, none below 30 pairs, and the first of at most 0.05."""
+    rnd = random.Random(4)
+    rows = {(i, j): i // 3 + rnd.random() for i in range(12) for j in range(30)}
+    got = {r.lag: r for r in T.correlogram(spark.createDataFrame([(*c, v) for c, v in rows.items()], "bi long, bj long, v double"), "v").collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5, 6]
+    first = None
+    for h in sorted(got):
+        pairs = [(v, rows[to]) for (i, j), v in rows.items() for to in ((i + h, j), (i, j + h)) if to in rows]
+        x, y = zip(*pairs)
+        corr = statistics.correlation(x, y)
+        assert got[h].pairs == len(pairs) and abs(got[h].corr - corr) < 1e-9
+        first = h if first is None and corr <= 0.05 else first
+    assert {r.range_lag for r in got.values()} == {first}
+    few = T.correlogram(spark.createDataFrame([(i, j, float(i * j % 5)) for i in range(4) for j in range(4)], "bi long, bj long, v double"), "v").collect()
+    assert [(r.lag, r.pairs, r.corr, r.range_lag) for r in sorted(few)] == [(1, 24, None, None), (2, 16, None, None)]

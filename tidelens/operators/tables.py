@@ -126,12 +126,51 @@ def contingency(rows: DataFrame, declared: Column, observed: Column) -> DataFram
     return c.withColumns({"hit_rate": V.ratio(h, h + m), "far": V.ratio(f, h + f), "csi": V.ratio(h, h + m + f), "csi_random": V.ratio(chance, h + m + h + f - chance), "bias": V.ratio(h + f, h + m)})
 
 
-def correlogram(rows: DataFrame, value: str, lags: list[int]) -> DataFrame:
-    """Correlation of neighbours at each lag along both axes, with the number of pairs."""
-    a = rows.select("bi", "bj", F.col(value).alias("v"))
-    steps = F.explode(F.array(*(F.struct(F.lit(h).alias("lag"), F.lit(h * d).alias("di"), F.lit(h * (1 - d)).alias("dj")) for h in lags for d in (0, 1)))).alias("s")
-    b = a.select("*", steps).select((F.col("bi") + F.col("s.di")).alias("bi"), (F.col("bj") + F.col("s.dj")).alias("bj"), F.col("s.lag").alias("lag"), F.col("v").alias("w"))
-    return a.join(b, ["bi", "bj"]).groupBy("lag").agg(F.count("*").alias("pairs"), F.corr("v", "w").alias("corr"))
+def sides(rows: DataFrame) -> tuple[int, int, int, int]:
+    """Least bi and bj of blocks, and the sides of the grid between the least and the greatest; 0 without blocks."""
+    r = rows.agg(F.min("bi").alias("i"), F.min("bj").alias("j"), (F.max("bi") - F.min("bi") + 1).alias("nx"), (F.max("bj") - F.min("bj") + 1).alias("ny")).first()
+    return r.i or 0, r.j or 0, r.nx or 0, r.ny or 0
+
+
+def shift_null(blocks: DataFrame, score: str, label: str, n: int = 999, seed: int = 1) -> DataFrame:
+    """One row: the AUC of blocks (bi, bj) and its null of up to n shifts of the labels round the grid's torus; scores stay.
+
+    Shifts (di, dj) are drawn without repetition from all but the zero shift, by hashes of seed. A shifted label counts where it
+    lands on an evaluated block (label 0 or 1). Shifts that leave a class out are undefined. k shifts reach the
+    observed AUC: p_ge_observed = (1 + k) / (1 + defined shifts), share_ge_observed = k / defined shifts. Both and auc are null if the observed
+    AUC is undefined or no shift is defined. Also the ranges of prevalence and of the evaluated blocks over the defined shifts.
+    """
+    i0, j0, nx, ny = sides(blocks)
+    known = held(blocks.where(F.col(label).isin(0, 1)).select((F.col("bi") - i0).alias("i"), (F.col("bj") - j0).alias("j"), F.col(score).alias("score"), F.col(label).alias("label")))
+    draws = blocks.sparkSession.range(1, max(nx * ny, 1)).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n)
+    draws = held(draws.select(F.col("id").alias("shift"), F.floor(F.col("id") / max(ny, 1)).alias("di"), (F.col("id") % max(ny, 1)).alias("dj")))
+    moved = known.select("i", "j", "label").crossJoin(F.broadcast(draws)).select(F.pmod(F.col("i") + F.col("di"), F.lit(max(nx, 1))).alias("i"), F.pmod(F.col("j") + F.col("dj"), F.lit(max(ny, 1))).alias("j"), "shift", "label")
+    null = auc(moved.join(known.select("i", "j", "score"), ["i", "j"]), ["shift"], "score", "label").where("auc is not null")
+    observed = auc(known.withColumn("one", F.lit(1)), ["one"], "score", "label").select(F.col("auc").alias("observed"))
+    all_ = F.col("n_pos") + F.col("n_neg")
+    of = null.crossJoin(F.broadcast(observed)).agg(
+        F.count("*").alias("defined"), F.count_if(F.col("auc") >= F.col("observed") - 1e-12).alias("k"),
+        F.min(F.col("n_pos") / all_).alias("prevalence_low"), F.max(F.col("n_pos") / all_).alias("prevalence_high"), F.min(all_.cast("long")).alias("evaluable_low"), F.max(all_.cast("long")).alias("evaluable_high"))
+    able = (F.col("defined") > 0) & F.col("auc").isNotNull()
+    return of.crossJoin(observed.agg(F.max("observed").alias("auc"))).select(
+        "auc", F.lit(seed).alias("seed"), F.lit(draws.count()).cast("long").alias("n"), (F.lit(draws.count()) - F.col("defined")).alias("n_undefined"),
+        F.when(able, (1 + F.col("k")) / (1 + F.col("defined"))).alias("p_ge_observed"), F.when(able, V.ratio(F.col("k"), F.col("defined"))).alias("share_ge_observed"),
+        "prevalence_low", "prevalence_high", "evaluable_low", "evaluable_high")
+
+
+def correlogram(rows: DataFrame, value: str, least: int = 30, level: float = 0.05) -> DataFrame:
+    """Correlation of neighbours at each lag along both axes, from 1 to half the shorter side of the grid, with the number of pairs.
+
+    corr is null below least pairs. range_lag, the same in all rows: the first lag whose corr is at or below level; null if none is.
+    """
+    _, _, nx, ny = sides(rows)
+    lags = rows.sparkSession.range(1, min(nx, ny) // 2 + 1).select(F.col("id").alias("lag"))
+    a = rows.where(F.col(value).isNotNull()).select("bi", "bj", F.col(value).alias("v"))
+    steps = lags.select("lag", F.explode(F.array(*(F.struct((F.col("lag") * d).alias("di"), (F.col("lag") * (1 - d)).alias("dj")) for d in (0, 1)))).alias("s"))
+    b = a.crossJoin(F.broadcast(steps)).select((F.col("bi") + F.col("s.di")).alias("bi"), (F.col("bj") + F.col("s.dj")).alias("bj"), "lag", F.col("v").alias("w"))
+    found = a.join(b, ["bi", "bj"]).groupBy("lag").agg(F.count("*").alias("pairs"), F.corr("v", "w").alias("corr"))
+    out = lags.join(found, "lag", "left").select("lag", F.coalesce("pairs", F.lit(0)).alias("pairs"), F.when(F.col("pairs") >= least, F.when(~F.isnan("corr"), F.col("corr"))).alias("corr"))
+    return out.crossJoin(F.broadcast(out.agg(F.min(F.when(F.col("corr") <= level, F.col("lag"))).alias("range_lag"))))
 
 
 def window_tally(readings: DataFrame, schedule: DataFrame, key: str, value: str, inside: Column) -> DataFrame:

@@ -239,13 +239,11 @@ query("a49_contingency", "with c as (select count(*) filter (d and o) as hits, c
 
 @query("a50_shift_null", "select s as shift, round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) as auc from (select *, sum(neg) over (partition by s order by score) - neg as below from (select s, b.score, sum(a.label)::double as pos, sum(1 - a.label)::double as neg from {blocks} a cross join range(1, 50, 7) r(s) join {blocks} b on b.bi = (a.bi + s) % 50 and b.bj = a.bj where a.label >= 0 group by 1, 2)) group by 1")
 def _(t):
-    shifts = F.explode(F.sequence(L(1).cast("long"), L(49).cast("long"), L(7).cast("long"))).alias("shift")
-    a = t.blocks.where("label >= 0").select("bi", "bj", "label", shifts).select(F.pmod(C("bi") + C("shift"), L(50)).alias("bi"), "bj", "label", "shift")
-    return T.auc(a.join(t.blocks.select("bi", "bj", "score"), ["bi", "bj"]), ["shift"], "score", "label").select("shift", r6(C("auc"), "auc"))
+    return T.shift_null(t.blocks, "score", "label")
 
 
 query("a52_correlogram", "select h as lag, count(*) as pairs, round(corr(a.score, b.score), 6) as corr from {blocks} a cross join (values (1), (2), (5)) l(h) join {blocks} b on (b.bi = a.bi + h and b.bj = a.bj) or (b.bi = a.bi and b.bj = a.bj + h) group by 1")(
-    lambda t: T.correlogram(t.blocks, "score", [1, 2, 5]).select("lag", "pairs", r6(C("corr"), "corr")))
+    lambda t: T.correlogram(t.blocks, "score").select("lag", "pairs", r6(C("corr"), "corr"), "range_lag"))
 query("a53_class_medians", "select label, quantile_cont(score, 0.5) as median from {blocks} group by 1")(lambda t: t.blocks.groupBy("label").agg(F.percentile("score", 0.5).alias("median")))
 query("a58_destinations", "select p_brand, count(*) as n from part group by 1")(lambda t: t.part.groupBy("p_brand").agg(F.count("*").alias("n")))
 query("a59_pair_deltas", "select state, sum(case when person % 2 = 0 then weight else 0 end) - sum(case when person % 2 = 1 then weight else 0 end) as delta from {states} group by 1")(
