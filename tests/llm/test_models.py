@@ -104,3 +104,28 @@ def test_toxicity(spark, docs):
     none = toxicity.score_toxicity(d, y.limit(0)).collect()
     assert {r.score for r in none} == {0.0}
     assert toxicity.score_toxicity(docs.limit(0), y).count() == 0
+
+
+def test_toxic_word_after_many_letters(spark):
+    rnd = random.Random(5)
+    clean = ["river", "stone", "light", "garden", "winter", "paper", "cloud", "mirror"]
+    rows, labels = [], []
+    for k in range(240):
+        words = rnd.choices(clean, k=20)
+        if k % 3 == 0:
+            words[rnd.randrange(20)] = rnd.choice(["zonker", "zonkers", "zonkery", "blarf", "blarfs"])
+        rows.append((k, " ".join(words), "en", "x"))
+        labels.append((k, 0, int(k % 3 == 0)))
+    run = "".join(rnd.choices(clean, k=22))[:100]
+    rows += [(900, run, "en", "x"), (901, run + "zonkerszonkersblarfs", "en", "x")]
+    got = {r.doc_id: r for r in toxicity.score_toxicity(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert got[901].score > got[900].score
+
+
+@pytest.mark.parametrize("n", [0, 1, 4, 39, 40, 41, 44, 45, 76, 77, 100, 2000])
+def test_pieces_of_long_words(n):
+    word = "".join(random.Random(n).choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    got = toxicity.pieces(word)
+    assert all(len(p) <= 40 for p in got) and (n > 40 or got == [word])
+    for k in (3, 4, 5):
+        assert {word[i : i + k] for i in range(n - k + 1)} == {p[i : i + k] for p in got for i in range(len(p) - k + 1)}

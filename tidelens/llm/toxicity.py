@@ -11,12 +11,20 @@ from pyspark.sql import functions as F
 from tidelens.llm.hdlang import held_out
 from tidelens.llm.shared import kept, small_batches
 
+LONGEST = 40
 WORDS = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 
 
+def pieces(word: str) -> list[str]:
+    """A run of letters in pieces of at most LONGEST characters, each beginning with the last 4 of the one before, so that no
+    run of 3 to 5 characters is lost.
+    """
+    return [word[k : k + LONGEST] for k in range(0, max(len(word) - 4, 1), LONGEST - 4)]
+
+
 def subwords(word: str, buckets: int) -> list[int]:
     """Rows of the embedding table for a lower-case word: itself and its runs of 3 to 5 characters, ends marked."""
-    w = f"<{word[:40]}>".encode("utf-8", "replace").decode("latin-1")
+    w = f"<{word}>".encode("utf-8", "replace").decode("latin-1")
     out = [_row(w, buckets)]
     for n in (3, 4, 5):
         out += [_row(w[k : k + n], buckets) for k in range(len(w) - n + 1)]
@@ -31,8 +39,8 @@ def _row(text: str, buckets: int) -> int:
 
 
 def parts_of(text: str | None, span: int) -> list[list[str]]:
-    """The words of a text in stretches of span words; the last may be shorter."""
-    words = WORDS.findall((text or "").lower())
+    """The words of a text in stretches of span words; the last may be shorter. Pieces of long words count as words."""
+    words = [p for w in WORDS.findall((text or "").lower()) for p in pieces(w)]
     return [words[k : k + span] for k in range(0, len(words), span)]
 
 
@@ -107,7 +115,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 3000, bucke
 
     A word is an average of rows of a table of embeddings, one for itself and each of its character runs, so a misspelling
     shares most of a word's rows. A stretch of span words averages the rows of its words; a linear softmax gives its log
-    odds; a text scores as its highest stretch, whole texts being read. An empty or null text scores as an empty average.
+    odds; a text scores as its highest stretch, whole texts being read: words of
+    more than 40 characters in overlapping pieces. An empty or null text scores as an empty average.
 
     The classifier is fitted on a bounded sample of the labelled rows not held out: as many toxic as other ones, sample in
     all, those of least hash of doc_id, leaving out texts of more than most_chars characters. Labels that are
