@@ -233,3 +233,11 @@ def test_correlogram(spark):
     assert {r.range_lag for r in got.values()} == {first}
     few = T.correlogram(spark.createDataFrame([(i, j, float(i * j % 5)) for i in range(4) for j in range(4)], "bi long, bj long, v double"), "v").collect()
     assert [(r.lag, r.pairs, r.corr, r.range_lag) for r in sorted(few)] == [(1, 24, None, None), (2, 16, None, None)]
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.25, 0.9, 1.0])
+def test_least_share(spark, share):
+    rnd = random.Random(8)
+    rows = [(k, rnd.choice([0.0, 0.25, 0.5, rnd.random()])) for k in range(500)]
+    got = T.least_share(spark.createDataFrame(rows, "k long, u double"), "u", "k", share, size=20)
+    assert sorted(r.k for r in got.collect()) == sorted(k for k, _ in sorted(rows, key=lambda r: (r[1], r[0]))[: int(500 * share + 0.5)])

@@ -173,6 +173,22 @@ def correlogram(rows: DataFrame, value: str, least: int = 30, level: float = 0.0
     return out.crossJoin(F.broadcast(out.agg(F.min(F.when(F.col("corr") <= level, F.col("lag"))).alias("range_lag"))))
 
 
+def least_share(rows: DataFrame, draw: str, key: str, share: float, size: int = 10_000) -> DataFrame:
+    """The share of rows of least draw, in [0, 1), ties by key. Draws are counted in bins of about size rows; bins below the
+    last one needed are kept whole, and only that one is put in order.
+    """
+    total = rows.count()
+    bins = max(1, -(-total // size))
+    at = F.floor(F.col(draw) * bins)
+    left, edge = int(total * share + 0.5), -1
+    for r in sorted(rows.groupBy(at.alias("at")).count().collect(), key=lambda r: r["at"]):  # a number for each size rows
+        edge = r["at"]
+        if r["count"] >= left:
+            break
+        left -= r["count"]
+    return rows.where(at < edge).unionByName(rows.where(at == edge).orderBy(draw, key).limit(left))
+
+
 def window_tally(readings: DataFrame, schedule: DataFrame, key: str, value: str, inside: Column) -> DataFrame:
     """Readings that arrived in a window for each scheduled id: count, max, sum; none counts 0."""
     got = readings.where(inside & F.col(value).isNotNull()).groupBy(key).agg(F.count("*").alias("arrived"), F.max(value).alias("peak"), F.sum(value).alias("total"))

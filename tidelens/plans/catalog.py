@@ -272,7 +272,7 @@ query("w13_chain_whole", "select l_orderkey, count(*) as n, min(l_linenumber) as
 query("w14_first_impact", "select l_orderkey, arg_min(l_partkey, (case when l_returnflag = 'R' then 0 else 1 end, l_linenumber, l_partkey)) as edge from lineitem where l_returnflag in ('R', 'A') group by 1")(
     lambda t: t.lineitem.where(C("l_returnflag").isin("R", "A")).groupBy("l_orderkey").agg(F.min_by("l_partkey", F.struct(C("l_returnflag") != "R", "l_linenumber", "l_partkey")).alias("edge")))
 query("w16_closure_prefix", "select edge_id from (select edge_id, row_number() over (order by u, edge_id) as r, count(*) over () as n from (select edge_id, ('0x' || substr(sha256(concat_ws('|', '3', 'closure', edge_id)), 1, 13))::bigint::double / 4503599627370496 as u from {edges})) where r <= round(n * 0.25)")(
-    lambda t: t.edges.select("edge_id", V.uniform(3, "closure", C("edge_id")).alias("u")).orderBy("u", "edge_id").limit(int(t.edges.count() * 0.25 + 0.5)).select("edge_id"))
+    lambda t: T.least_share(t.edges.select("edge_id", V.uniform(3, "closure", C("edge_id")).alias("u")), "u", "edge_id", 0.25).select("edge_id"))
 query("w17_cell_size", "select min(d) as spacing_m from (select x - lag(x) over (order by x) as d from (select distinct x from {slices}))")(
     lambda t: t.slices.select("x").distinct().select((C("x") - F.lag("x").over(Window.orderBy("x"))).alias("d")).agg(F.min("d").alias("spacing_m")))
 query("w18_sample", "select person_id, weight from (select *, ('0x' || substr(sha256(concat_ws('|', '5', 'sample', person_id)), 1, 13))::bigint::double / 4503599627370496 as u from {persons}) order by u, person_id limit 100")(
