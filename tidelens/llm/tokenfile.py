@@ -2,11 +2,12 @@
 
 import json
 import os
+import re
 import zlib
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,109 +17,128 @@ from tidelens.llm.shared import kept, scratch, small_batches
 PART = "path string, bucket int, n_docs long, n_ids long"
 
 
-def encoder(path: str, dtype: str):
-    """A function from texts to their ids as bytes, by the tokenizers library.
+#: Fixed values of byte-level BPE: how it cuts a text, and white space of Unicode.
+CUT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPACES = r"\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 
-    The pre-tokenizer of this byte-level BPE always begins a token at a space before a word. So each distinct piece of
-    a text from one such space to the next goes through the pre-tokenizer and the model once. Texts where a space is followed by
-    other white space, or ends the text, are encoded whole.
+
+class Encoder:
+    """Texts to their ids, by the tokenizers library.
+
+    A byte-level BPE begins a token at a space before a word. So where each space is followed by something else, each distinct piece of a
+    batch, from one such space to the next, is cut by the tokenizer's pattern once, and each distinct part goes through the
+    library's model once; ids are then gathered by offsets. Texts in which a space is followed by white space or ends the text, that
+    hold an added token, or control characters, go through the library whole, and so do all where the tokenizer is of another kind.
     """
-    import re
-
-    from tokenizers import Tokenizer
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
-    pre_tokenize, tokenize = tokenizer.pre_tokenizer.pre_tokenize_str, tokenizer.model.tokenize
-    known: dict[str, bytes] = {}
-    parts: dict[str, bytes] = {}
-    odd = re.compile(r" (?:\s|$)|[\x1c-\x1f\x85\ufeff\0]")
-
-    def part(x: str) -> bytes:
-        if (ids := parts.get(x)) is None:
-            ids = np.array([t.id for t in tokenize(x)], dtype).tobytes()
-            if len(x) < 6:
-                parts[x] = ids
+
+    def __init__(self, path: str, dtype: str):
+        import regex
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        cut = kind.get("pre_tokenizer") or {}
+        self.pieces = cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space") and cut.get("use_regex", True) and not kind.get("normalizer")
+        added = "|".join(re.escape(t["content"]) for t in kind.get("added_tokens") or [])
+        self.odd = f" (?:[{SPACES}]|$)|[\\x1c-\\x1f\\x{{85}}\\x{{feff}}\\x00]" + (f"|{added}" if added else "")
+        self.findall = regex.compile(CUT).findall
+        # bytes as the characters that the model's vocabulary writes for them: printable ones as they are, the rest from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: b for b in shown} | {b: 256 + k for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+        self.coded = [k.to_bytes(self.dtype.itemsize, "little") for k in range(self.tokenizer.get_vocab_size())]
+        self.known: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def part(self, x: str) -> bytes:
+        if (ids := self.parts.get(x)) is None:
+            found = self.tokenizer.model.tokenize(x.encode().decode("latin-1").translate(self.shown))
+            coded = self.coded
+            ids = self.parts[x] = b"".join([coded[t.id] for t in found])
         return ids
 
-    def encode(texts: list[str]) -> Iterator[bytes]:
-        pieces = [None if odd.search(t) else t.replace(" ", "\0 ").split("\0") for t in texts]
-        if len(known) > 800_000:
-            known.clear()
-        for p in {p for ps in pieces if ps for p in ps} - known.keys():
-            known[p] = b"".join([part(x) for x, _ in pre_tokenize(p)])
-        for t, ps in zip(texts, pieces, strict=True):
-            yield b"".join(map(known.__getitem__, ps)) if ps else np.array(tokenizer.encode(t, add_special_tokens=False).ids, dtype).tobytes()
+    def piece(self, x: str) -> bytes:
+        if (ids := self.known.get(x)) is None:
+            ids = self.known[x] = b"".join(map(self.part, self.findall(x)))
+        return ids
 
-    return encode
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+
+    def encode(self, texts: pa.Array) -> pa.Array:
+        """The ids of each text as bytes. texts: without nulls."""
+        odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False) if self.pieces else np.ones(len(texts), bool)
+        if max(len(self.known), len(self.parts)) > 1_000_000:
+            self.known.clear()
+            self.parts.clear()
+        plain = pc.if_else(pa.array(odd), "", texts)
+        lists = pc.split_pattern(pc.replace_substring(plain, " ", "\0 "), "\0")
+        pieces = lists.flatten().dictionary_encode()
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        ids = [self.piece(x) for x in pieces.dictionary.to_pylist()]
+        whole = {int(k): self.whole(texts[int(k)].as_py()) for k in np.flatnonzero(odd)}
+        ids += whole.values()  # an odd text is one piece of its own
+        index = pieces.indices.to_numpy().astype(np.int64)
+        for j, k in enumerate(whole):
+            index[at[k]] = len(ids) - len(whole) + j
+        _, offsets, data = pa.array(ids, pa.large_binary()).take(pa.array(index)).buffers()
+        ends = np.frombuffer(offsets, np.int64)[at]
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(ends.tobytes()), data])
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri if "://" in uri or uri.startswith("file:") else f"file://{os.path.abspath(uri)}")
 
 
-def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, dtype: str = "<u2", part_mb: int = 32, most_parts: int = 20_000) -> DataFrame:
+def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, dtype: str = "<u2", part_mb: int = 32) -> DataFrame:
     """Writes the ids of docs (doc_id, text), each text's and then end_id, in ascending order of doc_id; returns the table of parts.
 
     Part files: NAME.ids, flat unsigned little-endian integers of dtype; NAME.off, 64-bit offsets of its documents within
     the part and their end; NAME.doc, 64-bit doc_ids. The table of parts (path, bucket, n_docs, n_ids, base) is in order; base, the
     prefix sum of n_ids, is added to offsets; it is also written as parts.json. A null text is empty. Rows without doc_id
-    come first, as doc_id -2^63; rows of one doc_id are ordered by text. Other columns are ignored.
+    come first, as doc_id -2^63; rows of one doc_id are ordered by a hash of their text, then by text. An empty table has no part; very
+    long texts are encoded whole. Other columns are ignored, whatever their names.
 
-    Documents are dealt to parts by quantiles of doc_id. A task encodes and writes a part under a name of its own
-    attempt, and its row tells which attempt counts, so a repeated task does no harm.
+    Texts are range-partitioned by doc_id and that hash into parts of about part_mb, so one doc_id may fill many parts. A task encodes and
+    writes its part under a name of its own attempt, and its row tells which attempt counts, so a repeated task does no harm.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2048)
     d = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     size = d.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = int(min(most_parts, max(1, size // (part_mb << 20))))
-    bounds = d.select("doc_id").stat.approxQuantile("doc_id", [k / n for k in range(1, n)], 0.1 / n) if n > 1 else []
-    bounds = sorted({int(b) for b in bounds})
-    at = F.size(F.filter(F.lit(bounds).cast("array<bigint>"), lambda b: b <= F.col("doc_id"))) if bounds else F.lit(0)
-
-    def encoded(batches):
-        encode = kept((tokenizer, dtype), lambda: encoder(tokenizer, dtype))
-        for b in batches:
-            ids = pa.array(list(encode(b.column("text").to_pylist())), pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("bucket"), b.column("doc_id"), ids], ["bucket", "doc_id", "ids"])
+    n = max(1, size // (part_mb << 20))
 
     def saved(batches):
         import uuid
 
-        store, top = open_fs(out)
-        store.create_dir(top, recursive=True)
-        now, name, stream, lengths, docs_ = None, None, None, [], []
-        tail = np.array([end_id], dtype).tobytes()
+        from pyspark import TaskContext
 
-        def close():
+        encoder = kept((tokenizer, dtype), lambda: Encoder(tokenizer, dtype))
+        bucket = TaskContext.get().partitionId()
+        store, top = open_fs(out)
+        tail, stream, lengths, docs_ = np.array([end_id], dtype), None, [], []
+        for b in batches:
+            if stream is None:
+                store.create_dir(top, recursive=True)
+                name = f"part-{bucket:05d}-{uuid.uuid4().hex}"
+                stream = store.open_output_stream(f"{top}/{name}.ids", buffer_size=1 << 20)
+            ids = encoder.encode(b.column("text"))
+            at = np.frombuffer(ids.buffers()[1], np.int64) // tail.itemsize
+            data = np.frombuffer(ids.buffers()[2] or b"", tail.dtype)[: at[-1]]
+            stream.write(np.insert(data, at[1:], tail[0]).tobytes())
+            lengths.append(np.diff(at) + 1)
+            docs_.append(b.column("doc_id").to_numpy())
+        if stream is not None:
             stream.close()
-            offsets = np.concatenate([[0], np.cumsum(lengths)]).astype("<u8")
-            for kind, data in (("off", offsets), ("doc", np.array(docs_, "<i8"))):
+            offsets = np.concatenate([[0], np.cumsum(np.concatenate(lengths))]).astype("<u8")
+            for kind, numbers in (("off", offsets), ("doc", np.concatenate(docs_).astype("<i8"))):
                 with store.open_output_stream(f"{top}/{name}.{kind}") as f:
-                    f.write(data.tobytes())
-            return pa.RecordBatch.from_pylist([{"path": name, "bucket": now, "n_docs": len(docs_), "n_ids": int(offsets[-1])}], schema=part_schema)
+                    f.write(numbers.tobytes())
+            yield pa.RecordBatch.from_pylist([{"path": name, "bucket": bucket, "n_docs": len(offsets) - 1, "n_ids": int(offsets[-1])}], schema=pa.schema([("path", pa.string()), ("bucket", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
-        part_schema = pa.schema([("path", pa.string()), ("bucket", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
-        for b in batches:
-            for bucket, doc, ids in zip(b.column("bucket").to_pylist(), b.column("doc_id").to_pylist(), b.column("ids"), strict=True):
-                if bucket != now:
-                    if stream:
-                        yield close()
-                    now, name, lengths, docs_ = bucket, f"part-{bucket:05d}-{uuid.uuid4().hex}", [], []
-                    stream = store.open_output_stream(f"{top}/{name}.ids", buffer_size=1 << 20)
-                data = ids.as_buffer()
-                stream.write(data)
-                stream.write(tail)
-                lengths.append((data.size + len(tail)) // len(tail))
-                docs_.append(doc)
-        if stream:
-            yield close()
-
-    rows = d.withColumn("bucket", at).select("bucket", "doc_id", "text").mapInArrow(encoded, "bucket int, doc_id long, ids binary")
-    rows = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "doc_id", "ids")
-    parts = sorted(rows.mapInArrow(saved, PART).collect())  # one row a part file
+    rows = d.withColumn("h", F.xxhash64("text")).repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
+    parts = sorted(rows.select("doc_id", "text").mapInArrow(saved, PART).collect(), key=lambda p: p.bucket)  # one row a part file
     base, table = 0, []
     for p in parts:
         table.append((*p, base))
@@ -131,7 +151,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, dtype: str
 
 
 def mapped(store: fs.FileSystem, path: str, dtype: str) -> np.ndarray:
-    """A file's numbers, memory-mapped if it is local."""
+    """A file's numbers, memory-mapped if it is local; from other stores, which can't be mapped, the file is read (a part is of bounded size)."""
     if isinstance(store, fs.LocalFileSystem):
         return np.memmap(path, dtype, "r") if os.path.getsize(path) else np.zeros(0, dtype)
     with store.open_input_file(path) as f:
