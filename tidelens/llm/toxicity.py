@@ -22,26 +22,39 @@ def pieces(word: str) -> list[str]:
     return [word[k : k + LONGEST] for k in range(0, max(len(word) - 4, 1), LONGEST - 4)]
 
 
-def subwords(word: str, buckets: int) -> list[int]:
-    """Rows of the embedding table for a lower-case word: itself and its runs of 3 to 5 characters, ends marked."""
-    w = f"<{word}>".encode("utf-8", "replace").decode("latin-1")
-    out = [_row(w, buckets)]
+def subwords(words: list[str], buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the embedding table for lower-case words, one word after the other, and how many each has: one for itself and one
+    for each of its runs of 3 to 5 bytes of UTF-8, its ends marked. A row is a hash (FNV-1a) of the bytes.
+    """
+    marked = [f"<{w}>".encode("utf-8", "replace") for w in words]
+    data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+    size = np.array([len(m) for m in marked], np.int64)
+    start = np.cumsum(size) - size
+    basis, prime = np.uint64(0xCBF29CE484222325), np.uint64(0x100000001B3)
+    whole, j, left = np.full(len(words), basis), 0, np.arange(len(words))
+    while len(left):
+        whole[left] = (whole[left] ^ data[start[left] + j]) * prime
+        j += 1
+        left = left[size[left] > j]
+    owners, hashes = [np.arange(len(words))], [whole]
     for n in (3, 4, 5):
-        out += [_row(w[k : k + n], buckets) for k in range(len(w) - n + 1)]
-    return out
-
-
-def _row(text: str, buckets: int) -> int:
-    h = 0xCBF29CE484222325
-    for c in text:
-        h = (h ^ ord(c)) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return (h ^ h >> 29) % buckets
+        count = np.maximum(size - n + 1, 0)
+        owner = np.repeat(np.arange(len(words)), count)
+        at = np.arange(len(owner)) + np.repeat(start - (np.cumsum(count) - count), count)
+        h = np.full(len(at), basis)
+        for k in range(n):
+            h = (h ^ data[at + k]) * prime
+        owners.append(owner)
+        hashes.append(h)
+    owner, h = np.concatenate(owners), np.concatenate(hashes)
+    rows = ((h ^ h >> np.uint64(29)) % np.uint64(buckets)).astype(np.int64)
+    return rows[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(words))
 
 
-def parts_of(text: str | None, span: int) -> list[list[str]]:
-    """The words of a text in stretches of span words; the last may be shorter. Pieces of long words count as words."""
-    words = [p for w in WORDS.findall((text or "").lower()) for p in pieces(w)]
-    return [words[k : k + span] for k in range(0, len(words), span)]
+def words_of(text: str | None) -> list[str]:
+    """The words of a text in lower case; pieces of long words count as words."""
+    words = WORDS.findall((text or "").lower())
+    return words if max(map(len, words), default=0) <= LONGEST else [p for w in words for p in pieces(w)]
 
 
 class Bags:
@@ -53,8 +66,8 @@ class Bags:
         self.weights = np.zeros((dims, 2), np.float32)
         self.bias = np.zeros(2, np.float32)
 
-    def train(self, docs: list[tuple[list[list[int]], int]], epochs: int, blind: int, rate: float, seed: int) -> None:
-        """Each document is a list of stretches, each a list of rows, and a label.
+    def train(self, docs: list[tuple[list[np.ndarray], int]], epochs: int, blind: int, rate: float, seed: int) -> None:
+        """Each document is a list of stretches, each an array of rows, and a label.
 
         A document counts by one stretch an epoch: any at first (blind epochs), then the one that scores highest, as a
         toxic document is to have such a stretch and another none. That stretch's average moves table and softmax together
@@ -66,7 +79,7 @@ class Bags:
         self.weights[:, 1] = rnd.normal(0, 0.1, len(self.weights))
         self.weights[:, 0] = -self.weights[:, 1]
         size = np.array([len(s) for d, _ in docs for s in d], np.int64)
-        rows = np.fromiter((r for d, _ in docs for s in d for r in s), np.int32, int(size.sum()))
+        rows = np.concatenate([s for d, _ in docs for s in d]).astype(np.int32)
         first = np.concatenate([[0], np.cumsum(size)])
         n = np.array([len(d) for d, _ in docs], np.int64)
         begin = np.concatenate([[0], np.cumsum(n)])
@@ -110,68 +123,91 @@ class Bags:
         return self.table @ w, float(self.bias[1] - self.bias[0])
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 3000, buckets: int = 1 << 16, dims: int = 16, span: int = 8, epochs: int = 14, blind: int = 6, rate: float = 0.2, most_chars: int = 8000, seed: int = 3) -> DataFrame:
+class Scorer:
+    """What each word adds to the log odds, looked up by word, and the scores of texts by it."""
+
+    def __init__(self, lean: np.ndarray, constant: float, span: int, most: int = 500_000):
+        self.lean, self.constant, self.span, self.most = lean, constant, span, most
+        self.place: dict[str, int] = {}
+        self.sums, self.sizes = np.zeros(0), np.zeros(0, np.int64)
+
+    def _add(self, words: list[str]) -> None:
+        rows, n = subwords(words, len(self.lean))
+        self.place.update(zip(words, range(len(self.sums), len(self.sums) + len(words)), strict=True))
+        self.sums = np.concatenate([self.sums, np.add.reduceat(self.lean[rows], np.cumsum(n) - n)])
+        self.sizes = np.concatenate([self.sizes, n])
+
+    def scores(self, texts: list[str | None]) -> list[float]:
+        """The probability of class 1 of each text's highest stretch; without words, that of the constant."""
+        if len(self.place) > self.most:
+            self.__init__(self.lean, self.constant, self.span, self.most)
+        split = [words_of(t) for t in texts]
+        new = {w for words in split for w in words}.difference(self.place)
+        if new:
+            self._add(list(new))
+        out = []
+        for words in split:
+            at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
+            first = np.arange(0, len(at), self.span)
+            best = (np.add.reduceat(self.sums[at], first) / np.add.reduceat(self.sizes[at], first)).max() if len(at) else 0.0
+            out.append(float(best) + self.constant)
+        return (1 / (1 + np.exp(-np.clip(out, -60, 60)))).tolist()
+
+
+def drawn(docs: DataFrame, labels: DataFrame, sample: int) -> list:
+    """(doc_id, text, toxic) of at most sample labelled documents not held out, half of them toxic: those of least hash of doc_id.
+
+    Ids are drawn first, without texts; the few that are drawn are broadcast to one scan of docs. Where rows of docs repeat a doc_id, the
+    first of them by text is taken.
+    """
+    y = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(~held_out(F.col("doc_id")))
+    y = y.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    y = y.join(docs.where("text is not null and text != ''").select("doc_id"), "doc_id", "left_semi")
+    first = [y.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2) for k in (0, 1)]
+    ids = {r.doc_id: r.toxic for r in first[0].unionByName(first[1]).collect()}  # at most sample rows
+    chosen = docs.sparkSession.createDataFrame(list(ids.items()), "doc_id long, toxic int")
+    return docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).collect()
+
+
+def fit(rows: list, buckets: int, dims: int, span: int, epochs: int, blind: int, rate: float, seed: int) -> Bags | None:
+    """The classifier of labelled rows (doc_id, text, toxic), or None without rows of both kinds."""
+    split = [(words_of(r.text), r.toxic) for r in sorted(rows, key=lambda r: (r.doc_id, r.text))]
+    vocabulary = sorted({w for words, _ in split for w in words})
+    at, n = subwords(vocabulary, buckets)
+    own = dict(zip(vocabulary, np.split(at, np.cumsum(n)[:-1]) if vocabulary else [], strict=True))
+    docs = [([np.concatenate([own[w] for w in words[k : k + span]]) for k in range(0, len(words), span)], y) for words, y in split if words]
+    if len({y for _, y in docs}) < 2:
+        return None
+    model = Bags(buckets, dims, seed)
+    model.train(docs, epochs, blind, rate, seed)
+    return model
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 3000, buckets: int = 1 << 16, dims: int = 16, span: int = 8, epochs: int = 14, blind: int = 6, rate: float = 0.2, seed: int = 3) -> DataFrame:
     """(doc_id, held_out, score, predicted) of docs (doc_id, text) for toxicity, learned from labels (doc_id, toxic).
 
     A word is an average of rows of a table of embeddings, one for itself and each of its character runs, so a misspelling
     shares most of a word's rows. A stretch of span words averages the rows of its words; a linear softmax gives its log
-    odds; a text scores as its highest stretch, whole texts being read: words of
-    more than 40 characters in overlapping pieces. An empty or null text scores as an empty average.
+    odds; a text scores as its highest stretch, whole texts being read: words of more than 40 characters in overlapping
+    pieces. An empty or null text scores as an empty average; of equal stretches any gives the score.
 
     The classifier is fitted on a bounded sample of the labelled rows not held out: as many toxic as other ones, sample in
-    all, those of least hash of doc_id, leaving out texts of more than most_chars characters. Labels that are
-    null take no part. Without labels of both kinds all scores are 0. Rows that repeat a doc_id count as often. Other columns
-    are ignored.
+    all, those of least hash of doc_id, their texts whole. Labels that are null take no part; of several labels of a doc_id the toxic one
+    counts. Without labels of both kinds all scores are 0. Rows that repeat a doc_id are scored each by its own text. An empty table gives an
+    empty result. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     small_batches(spark)
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    y = labels.where("toxic in (0, 1) and doc_id is not null").select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).where(~held_out(F.col("doc_id")))
-    y = y.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    y = d.where(F.length("text").between(1, most_chars)).join(y, "doc_id")
-    first = [y.where(f"toxic = {k}").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample // 2) for k in (0, 1)]
-    rows = first[0].unionByName(first[1]).collect()  # at most sample rows of most_chars characters
-    fit = []
-    known: dict[str, list[int]] = {}
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.text)):
-        stretches = []
-        for part in parts_of(r.text, span):
-            for w in part:
-                if w not in known:
-                    known[w] = subwords(w, buckets)
-            stretches.append([i for w in part for i in known[w]])
-        if stretches:
-            fit.append((stretches, r.toxic))
-    able = len({t for _, t in fit}) == 2
-    model = Bags(buckets, dims, seed)
-    if able:
-        model.train(fit, epochs, blind, rate, seed)
-    lean, constant = model.lean()
-    lean = spark.sparkContext.broadcast((lean, constant, able))
+    model = fit(drawn(d, labels, sample), buckets, dims, span, epochs, blind, rate, seed)
+    shared = spark.sparkContext.broadcast(model and model.lean())
     key = uuid.uuid4().hex
 
     def run(batches):
-        lean_, constant_, able_ = lean.value
-        words = kept(("toxicity", key), dict)
+        scorer = kept(("toxicity", key), lambda: Scorer(*shared.value, span)) if shared.value else None
         for b in batches:
-            scores = []
-            if len(words) > 500_000:
-                words.clear()
-            for text in b.column("text").to_pylist():
-                best = None
-                for part in parts_of(text, span):
-                    total, n = 0.0, 0
-                    for w in part:
-                        x = words.get(w)
-                        if x is None:
-                            at = subwords(w, len(lean_))
-                            x = words[w] = (float(lean_[at].sum()), len(at))
-                        total += x[0]
-                        n += x[1]
-                    if best is None or total / n > best:
-                        best = total / n
-                scores.append(float(1 / (1 + np.exp(-np.clip((best or 0.0) + constant_, -60, 60)))) if able_ else 0.0)
-            s = pa.array(scores, pa.float64())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), s, pa.array([int(x >= 0.5) for x in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
+            scores = scorer.scores(b.column("text").to_pylist()) if scorer else [0.0] * len(b)
+            columns = [b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 
     return d.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
