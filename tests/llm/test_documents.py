@@ -1,10 +1,12 @@
 """Near duplicates, repeated passages, mixing and fingerprints against plain Python on small tables."""
 
 import hashlib
+import math
 import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidelens.llm import anchors, imatch, linkgraph, minhash, mixing
 
@@ -84,25 +86,52 @@ def test_near_duplicates(docs, rows, none):
     assert {r.doc_id for r in kept} == {w[0] for w in want if w[3]} | {None}
 
 
-def test_compared_blocks(spark):
+def test_blocks_join_components(spark):
+    """Members of one bucket: whatever the blocks, the links that come out join the components that all near pairs join."""
     rnd = random.Random(1)
-    base = [bytes(rnd.randrange(256) for _ in range(64)) for _ in range(6)]
-    rows = []
+    base = [rnd.choices(range(10_000), k=60) for _ in range(6)]
+    texts = []
     for d in range(300):
-        sketch = bytearray(base[d % 6])
-        for k in rnd.sample(range(64), rnd.randrange(60)):
-            sketch[k] = rnd.randrange(256)
-        rows.append((d % 7 if d < 100 else 7, d, 0 if d % 3 else rnd.randrange(9), rnd.choice([90, 100, 130]), bytes(sketch)))
-    want = set()
-    for x in rows:
-        for y in rows:
-            if x[1] < y[1] and x[0] == y[0] and x[2] != y[2] and sum(p == q for p, q in zip(x[4], y[4])) >= 0.4 * 64 and min(x[3], y[3]) * 100 >= max(x[3], y[3]) * 75:
-                want.add((x[1], y[1]))
-    df = spark.createDataFrame(rows, "bucket long, doc_id long, component long, n_shingles long, sketch binary")
-    for sizes in ((4096, 65_536), (10, 30)):
-        uneven = minhash.uneven(df.select("bucket", "doc_id", "component"))
-        assert {tuple(r) for r in minhash.compared(uneven, df.select("doc_id", "n_shingles", "sketch"), 75, 0.35, *sizes).collect()} == want
-    assert len(want) > 100
+        words = list(base[d % 6])
+        for k in rnd.sample(range(60), rnd.randrange(8)):
+            words[k] = rnd.randrange(10_000)
+        texts.append(words)
+    sets = [{tuple(w[k : k + 5]) for k in range(56)} for w in texts]
+    rows = [(d % 7 if d < 100 else 7, d, 56, d if d % 3 else 300 + d % 4) for d in range(300)]
+
+    def joined(pairs):
+        up = {c: c for c in {r[3] for r in rows}}
+        for a, b in pairs:
+            x, y = rows[a][3], rows[b][3]
+            while up[x] != x:
+                x = up[x]
+            while up[y] != y:
+                y = up[y]
+            up[max(x, y)] = min(x, y)
+
+        def root(x):
+            return x if up[x] == x else root(up[x])
+
+        return [root(r[3]) for r in rows]
+
+    want = joined([(a, b) for a in range(300) for b in range(a) if rows[a][0] == rows[b][0] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])])
+    uneven = minhash.uneven(spark.createDataFrame(rows, "bucket long, doc_id long, n long, component long"))
+    known = spark.createDataFrame([(d, " ".join(map(str, w))) for d, w in enumerate(texts)], "doc_id long, text string")
+    for sizes in ((1_000_000, 2_000_000), (700, 1500)):
+        got = [tuple(r) for r in minhash.between_components(uneven, known, 5, 75, *sizes).collect()]
+        assert joined(got) == want and len(got) < 3 * len(rows) * (1 if sizes[0] > 700 else 8)
+    assert len(set(want)) < 250
+
+
+def test_one_doc_id_with_several_texts(spark, none):
+    words = [" ".join(f"w{k}_{j}" for j in range(30)) for k in range(4)]
+    rows = [(1, words[0]), (2, words[1]), (2, words[2]), (3, words[2]), (4, words[3]), (4, words[3]), (5, ""), (5, words[0] + " x"), (6, None)]
+    df = spark.createDataFrame([(*r, "a", 1) for r in rows], "doc_id long, text string, component_id string, kept int")
+    got = sorted(tuple(r) for r in minhash.near_duplicates(df).collect())
+    assert got == [(1, 26, 1, True), (2, 26, 2, True), (2, 26, 2, True), (3, 26, 2, False), (4, 26, 4, True), (4, 26, 4, True), (5, 0, 1, False), (5, 27, 1, False), (6, 0, 6, True)]
+    kept = minhash.keep_first(spark, df, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 2, 4, 4, 6] and kept.columns == df.columns
+    assert minhash.keep_first(spark, none, "").count() == 0
 
 
 @pytest.mark.parametrize("small", [False, True])
@@ -130,6 +159,19 @@ def test_repeats(docs, rows, none, small):
     out = anchors.strip_repeats(docs.sparkSession, docs, "").collect()
     assert {r.doc_id for r in out} == {w[1] for w in want if not 0 < w[2] == w[3]} | {None}
     assert out[0].__fields__ == docs.columns
+    assert anchors.strip_repeats(docs.sparkSession, none, "").count() == 0
+
+
+def test_repeats_of_one_doc_id(spark):
+    """Each row keeps what is left of its own text; clashing names stay."""
+    passage = " ".join(f"p{k}" for k in range(20))
+    rows = [(1, passage), (2, f"head {passage} tail"), (2, "unrelated words stay here"), (3, f"{passage} end"), (None, passage), (4, None), (5, passage)]
+    df = spark.createDataFrame([(*r, len(r[1] or ""), 7, "k", "b", "r") for r in rows], "doc_id long, text string, n_chars int, n_removed int, kept_text string, batch string, row string")
+    out = anchors.strip_repeats(spark, df, "")
+    assert out.columns == df.columns and out.schema["n_chars"].dataType == df.schema["n_chars"].dataType
+    got = sorted(((r.doc_id or 0, r.text or "", r.n_chars) for r in out.collect()))
+    assert got == [(0, passage, len(passage)), (1, passage, len(passage)), (2, "head tail", 9), (2, "unrelated words stay here", 25), (3, "end", 3), (4, "", 0)]
+    assert {tuple(r)[3:] for r in out.collect()} == {(7, "k", "b", "r")}
 
 
 def test_mix(docs, rows, none):
@@ -161,15 +203,20 @@ def test_mix(docs, rows, none):
     assert sorted(map(str, again)) == sorted(map(str, got))
     assert mixing.mix_sources(none).count() == 0
     assert mixing.mix_sources(docs).count() == docs.count()
-    staged = mixing.mix_stage(docs.sparkSession, docs.where("doc_id is not null and doc_id != 2"), "")
-    assert staged.columns == docs.columns
+    clash = plain.selectExpr("*", "'c' as copies", "'d' as copy", "0 as row", "1 as rank", "2 as edge")
+    staged = mixing.mix_stage(docs.sparkSession, clash, "")
+    assert staged.columns == clash.columns
     copies = {r.doc_id: r["count"] for r in staged.groupBy("doc_id").count().collect()}
-    assert max(copies.values()) <= 3
+    assert copies == {r.doc_id: r.copies for r in got if r.copies}
+    assert {(r.copies, r.copy, r.row, r.rank, r.edge) for r in staged.collect()} == {("c", "d", 0, 1, 2)}
+    assert mixing.mix_stage(docs.sparkSession, none, "").count() == 0
+    assert mixing.mix_stage(docs.sparkSession, docs, "").where("doc_id = 2").count() % 2 == 0
 
 
 def test_fingerprints(docs, rows, none):
     got = imatch.fingerprints(docs).collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    hashes = {r.text: r.h for r in docs.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
     want = []
     for (d, t, *_), nxt in zip(order, order[1:] + order[:1]):
         t, n = t or "", nxt[1] or ""
@@ -186,6 +233,55 @@ def test_fingerprints(docs, rows, none):
     assert imatch.fingerprints(none).count() == 0
 
 
+def test_fingerprints_by_definition(spark):
+    """Terms of the band, levels, subsets, digests and likenesses in plain Python, from Spark's hashes of terms; in many ranges."""
+    rnd = random.Random(11)
+    vocab = [f"t{k}" for k in range(400)]
+    rows = [(k, " ".join(rnd.choices(vocab[: rnd.choice([5, 100, 400])], k=rnd.randrange(120)))) for k in range(150)] + [(7, "Straße STRASSE ... x"), (7, ""), (None, "a b"), (None, None), (500, "word " * 30_000)]
+    df = spark.createDataFrame([(*r, "f", 1) for r in rows], "doc_id long, text string, fingerprint string, range int")
+    text = F.coalesce("text", F.lit(""))
+    one = [(r.doc_id, r.text, r.terms, r.h) for r in df.select("doc_id", text.alias("text"), imatch.term_hashes(text).alias("terms"), F.xxhash64(text).alias("h")).collect()]
+    seen = {}
+    for *_, terms, _ in one:
+        for t in set(terms):
+            seen[t] = seen.get(t, 0) + 1
+    slots = 1 << 22
+    band = {t % slots for t, n in seen.items() if n > 1 and 1.0 <= math.log(len(one) / n) <= 4.0}
+
+    def digest(terms):
+        frame = spark.createDataFrame([(k, t) for k, t in enumerate(terms)], "k int, t array<long>")
+        return [r.d for r in frame.select("k", F.right(F.lpad(F.hex(F.xxhash64("t")), 16, "0"), F.lit(6)).alias("d")).orderBy("k").collect()]
+
+    parts, levels = [], []
+    for *_, terms, _ in one:
+        some = sorted({t for t in terms if t % slots in band})
+        used = some if len(some) >= 4 else sorted(set(terms))
+        level = min(max(math.ceil(math.log2(len(used))) - 1, 2), 13)
+        levels.append(level)
+        for up in (0, 1):
+            for turn in range(4):
+                for group in range(4):
+                    parts.append([t for t in used if (t >> 16 * turn) % 2 ** (level + up) == group])
+    made = digest(parts)
+    prints = [f"{level};{','.join(made[32 * k : 32 * k + 32])}" for k, level in enumerate(levels)]
+    order = sorted(range(len(one)), key=lambda k: (-(2**63) if one[k][0] is None else one[k][0], one[k][3], one[k][1]))
+    want = sorted((one[k][0] or -1, prints[k], prints[j]) for k, j in zip(order, order[1:] + order[:1]))
+    d = df.select("doc_id", text.alias("text")).withColumn("key", F.struct(F.coalesce("doc_id", F.lit(-(2**63)).cast("long")).alias("doc_id"), F.xxhash64("text").alias("h")))
+    lex = imatch.lexicon(d, slots, 1.0, 4.0)
+    printed = lambda x: x.withColumn("lex", lex).withColumn("fingerprint", imatch.fingerprint(F.col("text"), F.col("lex"), slots, 4)).drop("lex")
+    got = sorted((r.doc_id or -1, r.fingerprint, r.next_print) for r in imatch.with_next(d, printed, 16 / 2**10).collect())
+    assert got == want
+    out = imatch.fingerprints(df, min_idf=1.0, max_idf=4.0).collect()
+    assert sorted((r.doc_id or -1, r.fingerprint) for r in out) == sorted(w[:2] for w in want)
+    for r in out:
+        a, b = (x.split(";") for x in (r.fingerprint, r.edited_fingerprint))
+        x, y, gap = a[1].split(","), b[1].split(","), int(b[0]) - int(a[0])
+        pairs = list(zip(x, y)) if gap == 0 else list(zip(x[16:], y[:16])) if gap == 1 else list(zip(x[:16], y[16:])) if gap == -1 else []
+        full = [p for p in pairs if p != ("00002A", "00002A")]
+        likely = 1.0 if a == b else 1 - (1 - sum(p == q for p, q in full) / len(full)) ** 4 if full else 0.0
+        assert abs(r.near_edited - likely) < 1e-9
+
+
 def test_urls(spark):
     pages = [
         (1, "http://WWW.Example.COM/en/7x?q#f", '<a href="https://Other.org/x">'),

@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.shared import Words, components, cut, mix, small_batches, table
+from tidelens.llm.shared import Words, components, cut, kept, mix, small_batches, split_by_ids, table
 
-WIDTH, BANDS, ROWS, UNIVERSE, SKETCH = 5, 40, 5, 1 << 20, 64
+WIDTH, BANDS, ROWS, UNIVERSE = 5, 40, 5, 1 << 20
 
 
 def shingles(words: Words, width: int) -> Iterator[np.ndarray]:
@@ -21,204 +21,174 @@ def shingles(words: Words, width: int) -> Iterator[np.ndarray]:
             yield np.unique(h[edge[d] : edge[d + 1]])
         elif b > a:
             whole = words.hashes[a:b] * np.uint64(3)
-            yield np.array([mix(np.bitwise_xor.reduce(mix(whole, 7) * (2 * np.arange(b - a, dtype=np.uint64) + np.uint64(1))) + np.uint64(b - a), 11)], np.uint64)
+            one = np.bitwise_xor.reduce(mix(whole, 7) * (2 * np.arange(b - a, dtype=np.uint64) + np.uint64(1)), keepdims=True)
+            yield mix(one + np.uint64(b - a), 11)
         else:
             yield np.zeros(0, np.uint64)
 
 
+def permuted(hashes: np.ndarray, seed: int, universe: int) -> np.ndarray:
+    """The first permutation: a bijection of all 64-bit integers, whose upper bits give each shingle's position in the circle."""
+    bits = universe.bit_length() - 1
+    return (mix(hashes, seed + 2) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def circulant(seed: int, universe: int, size: int) -> np.ndarray:
-    """Row i holds what the second permutation gives position i under each of so many shifts.
+    """Row i holds what the second permutation, of the circle's positions, gives position i under each of so many shifts.
 
     Shift k of the permutation maps i to its value at i + k, so a position's values under all shifts lie side by
-    side in the permutation. (The first permutation is the mixing of the hashes, which deals shingles to positions.)
+    side in the permutation.
     """
     values = np.random.default_rng(seed).permutation(universe).astype(np.int32)
     return np.lib.stride_tricks.sliding_window_view(np.concatenate([values, values[: size - 1]]), size)
 
 
 def signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int = ROWS, universe: int = UNIVERSE, seed: int = 1) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, sketch, bands) of docs (doc_id, text).
+    """(doc_id, n_shingles, set_a, set_b, bands) of docs (doc_id, text).
 
     set_a and set_b are two 64-bit sums over the set: with n_shingles they tell sets apart. bands: a hash of each
-    band of the signature, null for an empty set. The signature has bands * rows coordinates; sketch has the last
-    byte of the first SKETCH of them.
+    band of the signature, null for an empty set. The signature has bands * rows coordinates: coordinate k is the least value of the
+    second permutation, shifted by k, over the positions that the first one gives. Where a text has so many shingles that
+    several share a position, its sketch is that of the set of positions; the full sets are verified all the same.
     """
 
     def run(batches):
-        shifts = circulant(seed, universe, bands * rows)
+        shifts = kept(("circulant", seed, universe, bands * rows), lambda: circulant(seed, universe, bands * rows))
         salt = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        odd = (2 * np.arange(rows, dtype=np.uint64) + np.uint64(1)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        odd = mix(np.arange(rows, dtype=np.uint64), 5) | np.uint64(1)  # multipliers without a common factor
         for batch in batches:
             sets = list(shingles(Words(batch.column("text"), lower=True), width))
             sums = np.array([[len(s), mix(s, 1).sum(), mix(s, 2).sum()] for s in sets], np.uint64).reshape(-1, 3).astype(np.int64)
             least = np.zeros((len(sets), bands * rows), np.int32)
             for d, s in enumerate(sets):
-                places = (mix(s, 3) % np.uint64(universe)).astype(np.int64)
+                places = permuted(s, seed, universe)
                 for k in range(0, len(places), 8192):
                     low = shifts[places[k : k + 8192]].min(axis=0)
                     least[d] = np.minimum(least[d], low) if k else low
             parts = mix((least.reshape(-1, bands, rows).astype(np.uint64) * odd).sum(axis=2, dtype=np.uint64) + salt).astype(np.int64)
             listed = pa.ListArray.from_arrays(np.arange(0, parts.size + 1, bands, dtype=np.int32), parts.ravel(), mask=pa.array(sums[:, 0] == 0))
-            sketch = pa.array([x.tobytes() for x in least[:, :SKETCH].astype(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, sums.T), sketch, listed], ["doc_id", "n_shingles", "set_a", "set_b", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, sums.T), listed], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, sketch binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+
 
+def near(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    if min(len(x), len(y)) * 100 < percent * max(len(x), len(y)):
+        return False
+    both = np.intersect1d(x, y, assume_unique=True).size
+    return 100 * both >= percent * (len(x) + len(y) - both)
 
-def plausible(pairs: DataFrame, sketches: DataFrame, percent: int, slack: float = 0.35) -> DataFrame:
-    """Those of pairs (a, b) that sizes allow, and whose sketches agree in no less than percent less slack of their places.
 
-    With 64 places, a pair at the limit has fewer with a probability of about one in a thousand million.
+def like_hub(pairs: DataFrame, texts: DataFrame, width: int, percent: int, chunk: int = 512) -> DataFrame:
+    """Those of pairs (a, b) whose full sets of shingles are near. texts: (doc_id, text); with several texts of a doc_id, any will do.
+
+    The partners of a hub a are dealt to chunks of about so many rows; the hub's text goes to each chunk once.
     """
-    least = percent / 100 - slack
 
     def run(batches):
-        for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(len(b), -1) for c in ("s_a", "s_b"))
-            n_a, n_b = (b.column(c).to_numpy() for c in ("n_a", "n_b"))
-            good = ((x == y).mean(axis=1) >= least) & (np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent)
-            yield b.select(["a", "b"]).filter(pa.array(good))
+        hub, sets = None, []
+        for batch in batches:
+            key = list(zip(batch.column("a").to_pylist(), batch.column("part").to_pylist(), strict=True))
+            own, good = batch.column("own").to_pylist(), []
+            for k, right in enumerate(shingles(Words(batch.column("text"), lower=True), width)):
+                if key[k] != hub:
+                    hub, sets = key[k], []
+                if own[k] == 0:
+                    sets.append(right)
+                good.append(own[k] == 1 and any(near(left, right, percent) for left in sets))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    for side in ("a", "b"):
-        pairs = pairs.join(sketches.select(F.col("doc_id").alias(side), F.col("n_shingles").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
-    return pairs.mapInArrow(run, "a long, b long").distinct()
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / chunk).cast("int").alias("parts"))
+    dealt = pairs.join(sizes, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"))
+    hubs = sizes.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    rows = dealt.withColumn("own", F.lit(1)).unionByName(hubs.withColumn("own", F.lit(0)))
+    rows = rows.join(texts.withColumnRenamed("doc_id", "b"), "b").repartition("a", "part").sortWithinPartitions("a", "part", "own")
+    return rows.select("a", "b", "part", "own", "text").mapInArrow(run, "a long, b long").distinct()
 
 
 def uneven(rows: DataFrame) -> DataFrame:
-    """Those of rows (bucket, doc_id, component) whose bucket holds several components, with its largest (main), the number of
-    its members (m) and how many of them are of other components (others)."""
-    parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("k"))
-    sizes = parts.groupBy("bucket").agg(F.sum("k").alias("m"), F.max(F.struct("k", "component")).alias("main")).where("m > main.k")
-    return rows.join(sizes.select("bucket", F.col("main.component").alias("main"), "m", (F.col("m") - F.col("main.k")).alias("others")), "bucket")
+    """Those of rows (bucket, doc_id, n, component) whose bucket holds several components, with its largest by members (main) and the
+    sums of n of all members (all_n) and of those of other components (others_n)."""
+    parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.sum("n").alias("n"))
+    sizes = parts.groupBy("bucket").agg(F.count("*").alias("c"), F.sum("n").alias("all_n"), F.max(F.struct("k", "component", "n")).alias("top")).where("c > 1")
+    return rows.join(sizes.select("bucket", F.col("top.component").alias("main"), "all_n", (F.col("all_n") - F.col("top.n")).alias("others_n")), "bucket")
 
 
-def compared(rows: DataFrame, sketches: DataFrame, percent: int, slack: float = 0.35, active: int = 4096, block: int = 65_536, best: bool = False) -> DataFrame:
-    """Pairs (a, b) of members of a bucket and different components that plausible() would leave; if best, only each member's with
-    the partner of the most similar sketch.
+def joined(active: list[int], others: list[int], label: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (x, y), x of active and y of others, whose sets are near, as many as join what is not yet of one label: label[x] is
+    the component of x.
 
-    rows: as uneven() gives them; sketches: (doc_id, n_shingles, sketch), a row a document. In each bucket all components but
-    the largest are compared with all members, in blocks of bounded size; only pairs that pass come out. Sketches join
-    once rows are dealt to blocks, so they are shuffled once.
+    A set of n shingles that is near another shares one of any n - ceil(n * percent / 100) + 1 of its shingles with it,
+    so only those are looked up that fewest of the others have.
+    """
+    up: dict[int, int] = {}
+
+    def root(c):
+        while c in up:
+            c = up[c]
+        return c
+
+    values = np.concatenate([sets[y] for y in others])
+    owner = np.repeat(np.array(others), [len(sets[y]) for y in others])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    out = []
+    for x in active:
+        s = sets[x]
+        low, high = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
+        rare = np.argsort(high - low, kind="stable")[: len(s) - -(-len(s) * percent // 100) + 1]
+        found = {int(y) for a, b in zip(low[rare].tolist(), high[rare].tolist(), strict=True) for y in owner[a:b].tolist()}
+        for y in sorted(found):
+            a, b = root(label[x]), root(label[y])
+            if a != b and near(s, sets[y], percent):
+                up[a] = b
+                out.append((x, y))
+    return out
+
+
+def between_components(rows: DataFrame, texts: DataFrame, width: int, percent: int, active: int = 1_000_000, block: int = 2_000_000) -> DataFrame:
+    """Links (a, b) between members of a bucket that are of different components: enough of them to join all that are near.
+
+    rows: as uneven() gives them. In each bucket the members of all components but the largest are compared with all
+    members on full sets, in blocks of bounded size (so many shingles each); a block puts out fewer links than
+    it has members. Members are dealt to blocks first, and then joined with their texts.
     """
-    least = (percent / 100 - slack) * SKETCH
-    r = rows.withColumns({"own": F.col("component") != F.col("main"), "c_a": F.ceil(F.col("others") / active).cast("int"), "c_b": F.ceil(F.col("m") / block).cast("int")})
+    r = rows.withColumns({"own": F.col("component") != F.col("main"), "c_a": F.ceil(F.col("others_n") / active).cast("int"), "c_b": F.ceil(F.col("all_n") / block).cast("int")})
     i, j = (F.pmod(F.xxhash64("doc_id", F.lit(k)), F.col(c)).cast("int") for k, c in enumerate(("c_a", "c_b")))
     spot = lambda i, j, role: F.struct(i.alias("i"), j.alias("j"), F.lit(role).alias("role"))
     every = lambda c: F.sequence(F.lit(0), F.col(c) - 1)
+    none = F.array().cast("array<struct<i:int,j:int,role:int>>")
     spots = F.when((F.col("c_a") == 1) & (F.col("c_b") == 1), F.array(spot(F.lit(0), F.lit(0), 2))).otherwise(
-        F.concat(F.transform(every("c_a"), lambda x: spot(x, j, 1)), F.when(F.col("own"), F.transform(every("c_b"), lambda x: spot(i, x, 0))).otherwise(F.array().cast("array<struct<i:int,j:int,role:int>>")))
+        F.concat(F.transform(every("c_a"), lambda x: spot(x, j, 1)), F.when(F.col("own"), F.transform(every("c_b"), lambda x: spot(i, x, 0))).otherwise(none))
     )
     r = r.select("bucket", F.explode(spots).alias("s"), "doc_id", "component", "own").select("bucket", "s.*", "doc_id", "component", "own")
-    r = r.join(sketches, "doc_id")
-
-    def near(n_a, n_b, s_a, s_b, c_a, c_b):
-        """Places that agree, or 0 if the pair is ruled out."""
-        same = (s_a == s_b).sum(axis=-1)
-        return same * ((same >= least) & (np.minimum(n_a, n_b) * 100 >= np.maximum(n_a, n_b) * percent) & (c_a != c_b))
-
-    def pairs_of(t: pa.Table) -> pa.RecordBatch:
-        """t: whole groups, in order."""
-        key = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")])
-        doc, comp, n, role, own = (t.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "component", "n_shingles", "role", "own"))
-        sketch = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(doc), SKETCH)
-        first = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(axis=0)]))
-        size = np.diff(np.append(first, len(doc)))
-        small = (role[first] == 2) & (size <= 32)
-        a, b, places = [], [], []
-        top, partner = np.zeros(len(doc), np.int64), np.zeros(len(doc), np.int64)
-
-        def found(x, y, same):
-            if best:
-                more = same > top[x]
-                top[x[more]], partner[x[more]] = same[more], doc[y[more]]
-            else:
-                good = same > 0
-                a.append(doc[x[good]])
-                b.append(doc[y[good]])
-                places.append(same[good])
-
-        for m in np.unique(size[small]):
-            at = first[small & (size == m)][:, None] + np.arange(m)
-            for p in range(m):
-                for q in range(p + 1, m):
-                    x, y = at[:, p], at[:, q]
-                    same = near(n[x], n[y], sketch[x], sketch[y], comp[x], comp[y])
-                    found(x, y, same)
-                    if best:
-                        found(y, x, same)
-        for f, m in zip(first[~small], size[~small], strict=True):
-            group = np.arange(f, f + m)
-            others = group[role[group] > 0]
-            for x in group[(role[group] != 1) & own[group]]:
-                same = near(n[x], n[others], sketch[x], sketch[others], comp[x], comp[others])
-                if best:
-                    k = int(np.argmax(same))
-                    top[x], partner[x] = same[k], doc[others[k]]
-                else:
-                    found(np.full(len(others), x), others, same)
-        if best:
-            got = top > 0
-            a, b, places = [doc[got]], [partner[got]], [top[got]]
-        columns = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (a, b, places))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "places"])
 
     def run(batches):
-        waiting, rows_ = [], 0
-        for batch in batches:
-            waiting.append(batch)
-            rows_ += len(batch)
-            if rows_ < 20_000:
-                continue
-            t = pa.Table.from_batches(waiting)
-            key = np.stack([t.column(c).to_numpy() for c in ("bucket", "i", "j")])
-            edges = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
-            if len(edges):  # the last group may go on
-                yield pairs_of(t.slice(0, edges[-1]))
-                t = t.slice(edges[-1])
-            waiting, rows_ = t.to_batches(), 0 if len(t) < 20_000 else len(t) - 20_000
-        if waiting:
-            yield pairs_of(pa.Table.from_batches(waiting))
-
-    dealt = r.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    out = dealt.mapInArrow(run, "a long, b long, places long")
-    if best:
-        out = out.groupBy("a").agg(F.max(F.struct("places", "b")).alias("best")).select("a", "best.b")
-    return out.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def among(docs: DataFrame, ids: DataFrame, slots: int = 1 << 22) -> DataFrame:
-    """Those of docs whose doc_id is one of ids (doc_id), and a few others: those whose hash falls in a slot of one of them.
-
-    The table of slots has a fixed size (a bit each), so any scan can hold it, and a join that follows shuffles few texts;
-    where ids are many more than slots it lets all through, and the join alone decides.
-    """
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots))
-    held = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
-    every = docs.sparkSession.range(slots // 64).join(held, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
-    row = table(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits")), "slots")
-    return docs.where(F.getbit(F.get(row.scalar(), F.shiftright(slot, 6).cast("int")), F.pmod(slot, F.lit(64)).cast("int")) == 1)
-
+        now, group = None, []
 
-def verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of pairs (a, b) whose full sets of shingles have 100 * intersection >= percent * union."""
+        def links():
+            doc, label, role, own, sets = zip(*group, strict=True)
+            first = [k for k in range(len(doc)) if role[k] != 1 and own[k] and len(sets[k])]
+            second = [k for k in range(len(doc)) if role[k] > 0 and len(sets[k])]
+            found = joined(first, second, label, sets, percent) if first and second else []
+            return [(doc[x], doc[y]) for x, y in found]
 
-    def run(batches):
-        kept = (None, None)
         for batch in batches:
-            sets = shingles(Words(batch.column("text_b"), lower=True), width)
-            a, text_a, good = batch.column("a").to_pylist(), batch.column("text_a"), []
-            for k, right in enumerate(sets):
-                if kept[0] != a[k]:
-                    kept = (a[k], next(shingles(Words(text_a.slice(k, 1), lower=True), width)))
-                left = kept[1]
-                both = np.intersect1d(left, right, assume_unique=True).size
-                good.append(100 * both >= percent * (left.size + right.size - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            columns = (batch.column(c).to_pylist() for c in ("bucket", "i", "j", "doc_id", "component", "role", "own"))
+            out = []
+            for *key, doc, label, role, own, s in zip(*columns, shingles(Words(batch.column("text"), lower=True), width), strict=True):
+                if key != now:
+                    out += links() if group else []
+                    now, group = key, []
+                group.append((doc, label, role, own, s))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+        if group:
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links()], pa.int64()) for k in (0, 1)], ["a", "b"])
 
-    text = docs.select(F.col("doc_id").cast("long").alias("a"), F.col("text").cast("string").alias("text_a"))
-    rows = pairs.join(text.withColumnsRenamed({"a": "b", "text_a": "text_b"}), "b").join(text, "a")
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
+    dealt = r.join(texts, "doc_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
+    return dealt.select("bucket", "i", "j", "doc_id", "component", "role", "own", "text").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, bands: int = BANDS, rows: int = ROWS, universe: int = UNIVERSE, seed: int = 1) -> DataFrame:
@@ -228,66 +198,58 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, band
     of width words (fewer words: all of them as one; none: empty, linked with nothing). Documents are linked if
     100 * intersection >= percent * union on full sets. component_id: the least doc_id that links reach; kept: it
     is the document's own. A null text is empty. A row without doc_id takes no part and is kept. Rows that repeat a
-    doc_id each get a row; their texts should agree. Other columns of docs are ignored.
-
-    Documents of equal sets first become one. In each bucket of a band the others are paired with the least
-    member; pairs that sizes and sketches don't rule out are verified, first each document's with its least partner, then, once
-    components are formed, those still between components. Where a bucket then still holds more than one
-    component, members of different components are compared by size and sketch, in blocks: twice each is verified
-    with its most similar partner, which joins most of what belongs together, then all that passes. So a bucket of
-    one group, however large, costs a few pairs a member, and no link between members of a bucket is lost. Texts travel
-    for verification only.
+    doc_id get a row each, with the size of their own set; they are one document, linked by any of its texts. An empty table gives an
+    empty result; very long texts are read whole. Other columns of docs are ignored, whatever their names.
+
+    Documents of equal sets first become one. In each bucket of a band all members are verified against the least one, a
+    pair a member at most. Where a bucket then still holds more than one component, the members outside its largest are
+    compared with all members on full sets, in blocks of bounded size, which put out only links that join components.
+    So no link between members of a bucket is lost, and what comes out grows with the members. Texts travel for verification only,
+    those of documents that share a bucket with another.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = table(signatures(docs, width, bands, rows, universe, seed), "signatures")
     known = signed.where("n_shingles > 0 and doc_id is not null")
     equal = known.groupBy("set_a", "set_b", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    members = known.join(equal, ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep").distinct()
-    one = known.join(equal.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    inside = one.select(F.explode("bands").alias("bucket"), "doc_id")
-    heads = inside.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.count("*").alias("m")).where("m > 1").select("bucket", "hub")
+    members = table(known.select("doc_id", "set_a", "set_b", "n_shingles").join(equal, ["set_a", "set_b", "n_shingles"]).select("doc_id", "rep").distinct(), "members")
+    one = known.join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").dropDuplicates(["doc_id", "set_a", "set_b", "n_shingles"])
+    inside = one.select(F.explode("bands").alias("bucket"), "doc_id", F.col("n_shingles").alias("n"))
+    heads = inside.groupBy("bucket").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).where("hub < last").select("bucket", "hub")
     inside = table(inside.join(heads, "bucket"), "buckets")  # those with several members
-    sketches = known.select("doc_id", "n_shingles", "sketch")
-
-    def labels(links: DataFrame) -> DataFrame:
-        return spark.createDataFrame([], "node long, component long") if links.isEmpty() else cut(components(links))
+    ids = inside.select("doc_id").distinct()
+    texts = table(split_by_ids(docs, ids)[0].join(ids, "doc_id", "left_semi").distinct(), "texts")
 
-    def between(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-        """Those of pairs (a, b) in different components."""
-        for side in ("a", "b"):
-            pairs = pairs.join(parts.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}")), side, "left")
-        return pairs.where(F.coalesce("c_a", "a") != F.coalesce("c_b", "b")).select("a", "b")
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        return table(among(docs, ids).join(ids, "doc_id", "left_semi"), "texts")
+    # texts of one doc_id that equal other documents' tie those together
+    several = members.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a < z").select("doc_id", "a")
+    ties = members.join(several, "doc_id").where("rep != a").select("a", F.col("rep").alias("b"))
 
     hubs = inside.where("doc_id != hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    tested = cut(plausible(hubs, sketches, percent))
-    texts = texts_of(tested)
-    links = cut(verified(tested.groupBy("b").agg(F.min("a").alias("a")), texts, width, percent))
+    links = cut(like_hub(hubs, texts, width, percent).unionByName(ties).distinct())
     parts = labels(links)
-    new = cut(between(tested, parts))
-    if not new.isEmpty():
-        links = cut(links.unionByName(verified(new, texts, width, percent)).distinct())
-        parts = labels(links)
-    for best in (True, True, False):
-        labelled = inside.select("bucket", "doc_id").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        inside = table(uneven(labelled), "rest")  # components only grow, so no other bucket matters later
-        new = cut(compared(inside, sketches.dropDuplicates(["doc_id"]), percent, best=best).join(tested, ["a", "b"], "left_anti"))
-        if not new.isEmpty():
-            links = cut(links.unionByName(verified(new, texts_of(new), width, percent)).distinct())
-            tested = cut(tested.unionByName(new))
-            parts = labels(links)
-
-    found = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("component", "rep").alias("component"))
+    labelled = inside.select("bucket", "doc_id", "n").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    more = cut(between_components(uneven(labelled), texts, width, percent))
+    if not more.isEmpty():
+        parts = labels(links.unionByName(more))
+
+    found = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component"))
     out = signed.select("doc_id", "n_shingles").join(found, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def labels(links: DataFrame) -> DataFrame:
+    """(node, component) of links (a, b), in the shared folder."""
+    return links.sparkSession.createDataFrame([], "node long, component long") if links.isEmpty() else cut(components(links))
+
+
 def keep_first(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without the copies: of each group of near duplicates the document of least doc_id stays."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
+    """docs without the copies: of each group of near duplicates the document of least doc_id stays, with all rows of that doc_id.
+
+    Rows without doc_id stay. An empty table stays empty. Extra columns, whatever their names, stay as they are. Only rows whose doc_id
+    may be among those that go are joined with these.
+    """
+    gone = table(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "gone")
+    maybe, sure = split_by_ids(docs, gone)
+    gone = gone.withColumnRenamed("doc_id", "__gone")
+    return sure.unionByName(maybe.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti"))

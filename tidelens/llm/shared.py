@@ -1,5 +1,6 @@
 """What the operators share: the cluster's shared folder, connected components, and words as arrays of hashes."""
 
+import re
 import sys
 import tempfile
 import types
@@ -16,10 +17,12 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode, else an error."""
     context = spark.sparkContext
     path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is to name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="tidelens-")
         context.setCheckpointDir(path)
     return path
@@ -44,7 +47,8 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, as texts may be long."""
+    """Arrow batches of few rows, as texts may be long; Spark bounds their bytes (spark.sql.execution.arrow.maxBytesPerBatch). The session
+    keeps the setting, as it is read when a query runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -56,6 +60,22 @@ def kept(key: tuple, make: Callable):
     return store[key]
 
 
+def split_by_ids(docs: DataFrame, ids: DataFrame, slots: int = 1 << 22) -> tuple[DataFrame, DataFrame]:
+    """Two parts of docs: rows that may have a doc_id of ids (doc_id), and rows that surely don't.
+
+    A row belongs to the first if its hash falls in a slot of one of ids. The table of slots has a fixed size (a bit each), so
+    any scan can hold it, and a join that follows shuffles few rows; where ids are many more than slots all rows are
+    in the first part, and the join alone decides.
+    """
+    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(slots))
+    held = ids.select(slot.alias("slot")).groupBy(F.shiftright("slot", 6).alias("id")).agg(F.expr("bit_or(shiftleft(1L, cast(slot & 63 as int)))").alias("bits"))
+    every = docs.sparkSession.range(slots // 64).join(held, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    row = table(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "bits"))), lambda x: x["bits"]).alias("bits")), "slots")
+    hit = F.getbit(F.get(row.scalar(), F.shiftright(slot, 6).cast("int")), F.pmod(slot, F.lit(64)).cast("int")) == 1
+    known = F.col("doc_id").isNotNull()
+    return docs.where(known & hit), docs.where(~(known & hit))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that edges (a, b) reach, for each node of an edge.
 
