@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidelens.llm.shared import Words, mix
 
@@ -52,13 +53,14 @@ def rows_of(rows: list, schema: pa.Schema) -> pa.Table:
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, block: int | None = None, batch_mb: float = 12, shard_words: int = 4_000_000, texts: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256) of docs (doc_id, text); with texts, also kept_text.
+    """(doc_id, n_words, n_removed, kept_sha256) of docs (doc_id, text); with texts, also kept_text and row, the row of docs but for its text.
 
     Words are runs of characters other than white space, unchanged. A word goes if it lies in a window of so many
     words whose sequence also starts in a document of smaller doc_id; windows are judged on the input.
-    kept_sha256: of the kept words joined by one space. kept_text: null if nothing was removed, else those words. A
+    kept_sha256: of the kept words joined by one space. kept_text: those words, or the text as it is if nothing was removed. A
     null text has no words. Rows without doc_id are judged against all others and remove nothing. Rows that repeat
-    a doc_id are judged alike and don't remove each other. Other columns of docs are ignored.
+    a doc_id, with the same text or others, are judged each by its own text and don't remove each other. An empty table gives an empty
+    result; very long texts are read whole. Other columns of docs are ignored, whatever their names.
 
     Documents are dealt once to batches. Every block-th word of a document starts an indexed block of
     block = (window + 1) / 2 words, so each window of the document holds one whole. Each batch sends the distinct hashes of
@@ -69,11 +71,12 @@ def remove_repeats(docs: DataFrame, window: int = 13, block: int | None = None,
     """
     spark = docs.sparkSession
     block = block or (window + 1) // 2
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")] * texts
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *rest)
     size, rows = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     n_batches = max(1, int(-(-size // (batch_mb * 2**20))), -(-rows // 100_000))
     shards = max(1, -(-size // (6 * shard_words)))
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(n_batches)).cast("int")
+    spread = F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(n_batches)).cast("int")
     dealt = docs.withColumn("batch", spread).repartition(n_batches, "batch")
     probe_kind = "shard int, batch int, n int, keys binary, indexed binary, several binary"
     probe_schema = pa.schema([("shard", pa.int32()), ("batch", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("indexed", pa.binary()), ("several", pa.binary())])
@@ -165,7 +168,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, block: int | None = None,
                 out.append((r["shard"], r["batch"], int(less.sum()), packed(p[less], True), packed(w[less], False)))
         return rows_of(out, long_schema)
 
-    result = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())] + [("kept_text", pa.string())] * texts
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept_text", "row"] * texts
 
     def judged(t: pa.Table, answers: pa.Table) -> pa.Table:
         words = Words(t.column("text"))
@@ -197,27 +200,36 @@ def remove_repeats(docs: DataFrame, window: int = 13, block: int | None = None,
                 pieces = compress(pieces, kept[first_word[d] : first_word[d + 1]].tolist())
             joined = b" ".join(pieces)
             digests.append(hashlib.sha256(joined).hexdigest())
-            left.append(joined.decode() if texts and removed[d] else None)
+            if texts:
+                left.append(joined.decode("utf-8", "replace") if removed[d] else t.column("text")[d].as_py())
         columns = [t.column("doc_id").combine_chunks() if t.num_rows else pa.array([], pa.int64()), pa.array(count, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string())]
-        return pa.Table.from_arrays(columns + [pa.array(left, pa.string())] * texts, schema=pa.schema(result))
+        own = [pa.array(left, pa.string()), t.column("row").combine_chunks()] if texts else []
+        return pa.Table.from_arrays(columns + own, names=names)
 
     sent = dealt.groupBy("batch").applyInArrow(probes, probe_kind)
     found = sent.groupBy("shard").applyInArrow(hits, "batch int, shard int, n int, keys binary")
     long_kind = "shard int, batch int, n int, keys binary, docs binary"
     windows = dealt.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(extended, long_kind)
     answers = windows.groupBy("shard").applyInArrow(earliest, long_kind)
-    kind = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * texts
+    kind = T.StructType([T.StructField(n, t) for n, t in zip(names, [T.LongType()] * 3 + [T.StringType()] * 2, strict=False)])
+    kind = kind.add("row", docs.schema["row"].dataType) if texts else kind
     return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(judged, kind)
 
 
 def strip_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs without repeated passages: a text that loses words becomes its kept words, one space apart, and n_chars follows.
 
-    Documents that lose every word go; others stay as they are. Rows without doc_id stay as they are.
+    Documents that lose every word go; others stay as they are, and so do rows without doc_id. Rows that repeat a doc_id
+    keep what is left of their own text each. An empty table stays empty; extra columns, whatever their names, stay as they are.
     """
-    judged = remove_repeats(docs.where("doc_id is not null"), texts=True).where("n_removed > 0").select("doc_id", "n_words", "n_removed", "kept_text")
-    judged = judged.dropDuplicates(["doc_id"])
-    out = docs.join(judged, "doc_id", "left").where("n_removed is null or n_removed < n_words")
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
-    out = out.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else F.lit(None))
-    return out.withColumn("text", text).select(docs.columns)
+    own = remove_repeats(docs.where("doc_id is not null"), texts=True).where("n_removed = 0 or n_removed < n_words")
+
+    def column(c):
+        before, kind = F.col("row").getField(c), docs.schema[c].dataType
+        if c == "text":
+            return F.col("kept_text").cast(kind).alias(c)
+        if c == "n_chars":
+            return F.when(F.col("n_removed") > 0, F.length("kept_text").cast(kind)).otherwise(before).alias(c)
+        return before.alias(c)
+
+    return own.select([column(c) for c in docs.columns]).unionByName(docs.where("doc_id is null"))
