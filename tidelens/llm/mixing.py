@@ -44,24 +44,14 @@ def targets(sizes: DataFrame, cycle: int = 3, most: int = 3) -> DataFrame:
     return w.select("source", "source_size", "weight", F.least((F.col("source_size") * most).cast("double"), F.col("weight") * F.col("level")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, most: int = 3, cycle: int = 3, seed: int = 7, bins: int = 1024, per_bin: int = 20_000) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each of docs (doc_id, text, source).
-
-    size: words of the text (null: 0). A document's expected copies are its source's rate times its weight, one more
-    than the bits of its size, at most `most`; the rate makes expected words meet the source's target. The whole part
-    of that is taken for certain. The fraction p is an inclusion probability: documents are ranked by u/(1-u) over
-    p/(1-p), u a hash of doc_id, and taken in that order up to the words that remain (Pareto order sampling, its fixed size
-    counted in words); the document at the edge counts if half of it fits. So a source's words are within half a
-    document of its target, or one document where limits bind. Empty documents are never taken; rows that repeat a doc_id
-    share u and are ranked by size. Other columns are ignored. A null source is a source of its own.
+def plan(sizes: DataFrame, most: int, cycle: int, seed: int, bins: int, per_bin: int) -> DataFrame:
+    """What the mix does with each source, a row a source: source, source_size, target, rate, n_bins, edge, last.
 
-    A source of any size is never ranked whole: ranks are cut into bins (more for larger sources), and only the bin
-    at the edge is ordered.
+    sizes: (doc_id, source, size, bits). rate: expected copies of a document by its weight; edge: the bin of ranks in which the words run
+    out; last: (rank, size, doc_id) of the last document that is taken in it.
     """
-    d = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    d = table(d.withColumn("bits", F.when(F.col("size") > 0, F.length(F.bin("size")))), "sizes")
-    classes = d.groupBy("source", "bits").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-    sources = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size"), F.sum("n").alias("n_docs")).select("source", "source_size"), cycle, most)
+    classes = sizes.groupBy("source", "bits").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
+    sources = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), cycle, most)
     counts = classes.groupBy("source").agg(F.sum("n").alias("n_docs"))
     # the rate of each source: heavier classes reach the limit first
     c = classes.where("bits is not null").withColumn("w", (F.col("bits") + 1).cast("long"))
@@ -78,36 +68,90 @@ def mix_sources(docs: DataFrame, most: int = 3, cycle: int = 3, seed: int = 7, b
     facts = facts.alias("s").join(counts.alias("c"), same).select("s.*", F.greatest(F.lit(bins), F.ceil(F.col("n_docs") / per_bin) * 16).cast("long").alias("n_bins"))
     facts = table(facts, "sources")
 
-    e = per_source(d, facts).select("c.doc_id", "s.source", "size", "bits", "source_size", "target", "rate", "n_bins")
-    expected = F.when(F.col("size") > 0, F.least(F.lit(float(most)), F.col("rate") * (F.col("bits") + 1))).otherwise(F.lit(0.0))
-    e = e.withColumn("expected", expected).withColumn("whole", F.floor("expected")).withColumn("p", F.col("expected") - F.col("whole"))
-    u = uniform(seed, F.col("doc_id"))
-    odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
-    e = e.withColumn("rank", F.when(F.col("p") > 0, odds)).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * F.col("n_bins")))
-    e = e.select("doc_id", "source", "size", "source_size", "target", "whole", "rank", "bin")
-
+    e = ranked(with_facts(sizes, facts), most, seed)
     sums = e.groupBy("source", "bin").agg(F.sum(F.when(F.col("rank").isNotNull(), F.col("size")).otherwise(0)).alias("words"), F.sum(F.col("whole") * F.col("size")).alias("sure"), F.first("target").alias("target"))
     up = Window.partitionBy("source").orderBy("bin")
     sums = sums.withColumn("wanted", F.col("target") - F.sum("sure").over(Window.partitionBy("source")))
     sums = sums.where("bin is not null").withColumn("before", F.sum("words").over(up) - F.col("words"))
     edge = sums.where("before < wanted and before + words >= wanted").groupBy("source").agg(F.min("bin").alias("edge"), F.min("before").alias("before"), F.min("wanted").alias("wanted"))
     last = sums.groupBy("source").agg(F.max("wanted").alias("all_wanted"), F.max(F.col("before") + F.col("words")).alias("all_words"))
-    plan = last.alias("s").join(edge.alias("c"), same, "left").select("s.source", "before", "wanted", F.coalesce("edge", F.when(F.col("all_words") < F.col("all_wanted"), F.lit(2**62)).otherwise(F.lit(-1))).alias("edge"))
-    named = [f"c.{c}" for c in e.columns]
-    e = per_source(e, table(plan, "plan"), "left").select(*named, "edge", "before", "wanted")
-    at_edge = e.where("bin = edge")
-    ranked = at_edge.withColumn("sum", F.sum("size").over(Window.partitionBy("source").orderBy("rank", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)) + F.col("before"))
-    ranked = ranked.withColumn("more", (F.col("sum") - F.col("size") / 2 <= F.col("wanted")).cast("long"))
-    rest = e.where("bin is null or edge is null or bin != edge").withColumn("more", F.coalesce((F.col("bin") < F.col("edge")).cast("long"), F.lit(0)))
-    keep = ["doc_id", "source", "size", "source_size", "target", "whole", "more"]
-    out = rest.select(keep).unionByName(ranked.select(keep)).withColumn("copies", F.col("whole") + F.col("more"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
-
-
-def mix_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs as the mix takes them: each row as often as it has copies. Rows that repeat a doc_id count as one; rows without one go."""
-    copies = mix_sources(docs.where("doc_id is not null").dropDuplicates(["doc_id"])).where("copies > 0").select("doc_id", "copies")
-    return docs.join(copies, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(docs.columns)
+    edges = last.alias("s").join(edge.alias("c"), same, "left").select("s.source", "before", "wanted", F.coalesce("edge", F.when(F.col("all_words") < F.col("all_wanted"), F.lit(2**62)).otherwise(F.lit(-1))).alias("edge"))
+    edges = table(edges, "edges")
+    # only the bin at the edge is ordered; what is taken of it is a beginning, so its last document tells
+    order = Window.partitionBy("source").orderBy("rank", "size", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    at = with_facts(e, edges).where("bin = edge").withColumn("sum", F.sum("size").over(order) + F.col("before"))
+    taken = at.where(F.col("sum") - F.col("size") / 2 <= F.col("wanted")).groupBy("source").agg(F.max(F.struct("rank", "size", "doc_id")).alias("last"))
+    edges = edges.alias("s").join(taken.alias("c"), same, "left").select("s.source", "edge", "last")
+    return table(facts.alias("s").join(edges.alias("c"), same, "left").select("s.*", "edge", "last"), "plan")
+
+
+def with_facts(rows: DataFrame, facts: DataFrame, small: int = 100_000) -> DataFrame:
+    """rows with the columns of their source's row of facts: by broadcast if facts has at most so many rows, else by per_source()."""
+    added = [f"s.{c}" for c in facts.columns if c != "source"]
+    if facts.count() <= small:
+        both = rows.alias("c").join(F.broadcast(facts).alias("s"), F.col("c.source").eqNullSafe(F.col("s.source")), "left")
+    else:
+        both = per_source(rows, facts, "left")
+    return both.select([f"c.{c}" for c in rows.columns] + added)
+
+
+def ranked(e: DataFrame, most: int, seed: int) -> DataFrame:
+    """e (doc_id, size, bits and its source's facts) with whole, the copies taken for certain, and for the rest rank and bin."""
+    expected = F.when(F.col("size") > 0, F.least(F.lit(float(most)), F.col("rate") * (F.col("bits") + 1))).otherwise(F.lit(0.0))
+    e = e.withColumn("expected", expected).withColumn("whole", F.floor("expected")).withColumn("p", F.col("expected") - F.col("whole"))
+    u = uniform(seed, F.col("doc_id"))
+    odds = (u / (1 - u)) / (F.col("p") / (1 - F.col("p")))
+    return e.withColumn("rank", F.when(F.col("p") > 0, odds)).withColumn("bin", F.floor(F.col("rank") / (1 + F.col("rank")) * F.col("n_bins")))
+
+
+def copies_of(e: DataFrame, most: int, seed: int) -> DataFrame:
+    """e (doc_id, size, bits and its source's row of plan()) with copies. Each row is judged on its own."""
+    first = (F.col("bin") < F.col("edge")) | ((F.col("bin") == F.col("edge")) & (F.struct("rank", "size", "doc_id") <= F.col("last")))
+    return ranked(e, most, seed).withColumn("copies", F.col("whole") + F.coalesce(first.cast("long"), F.lit(0)))
+
+
+def sized(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def with_bits(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("bits", F.when(F.col("size") > 0, F.length(F.bin("size"))))
+
+
+def mix_sources(docs: DataFrame, most: int = 3, cycle: int = 3, seed: int = 7, bins: int = 1024, per_bin: int = 20_000) -> DataFrame:
+    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each of docs (doc_id, text, source).
+
+    size: words of the text (null: 0). A document's expected copies are its source's rate times its weight, one more
+    than the bits of its size, at most `most`; the rate makes expected words meet the source's target. The whole part
+    of that is taken for certain. The fraction p is an inclusion probability: documents are ranked by u/(1-u) over
+    p/(1-p), u a hash of doc_id, and taken in that order up to the words that remain (Pareto order sampling, its fixed size
+    counted in words); the document at the edge counts if half of it fits. So a source's words are within half a
+    document of its target, or one document where limits bind. Empty documents are never taken; rows that repeat a doc_id
+    share u and are ranked by size, equal ones being taken together; rows without doc_id are taken as often as is certain. An
+    empty table gives an empty result; very long texts are counted whole. Other columns are ignored, whatever their names. A null
+    source is a source of its own.
+
+    A source of any size is never ranked whole: ranks are cut into bins (more for larger sources), and only the bin
+    at the edge is ordered.
+    """
+    d = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), sized(F.col("text")).alias("size"))
+    d = table(with_bits(d), "sizes")
+    e = copies_of(with_facts(d, plan(d, most, cycle, seed, bins, per_bin)), most, seed)
+    return e.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+def mix_stage(spark, docs: DataFrame, sf_dir: str, most: int = 3, cycle: int = 3, seed: int = 7, bins: int = 1024, per_bin: int = 20_000) -> DataFrame:
+    """docs as the mix takes them: each row as often as it has copies, which follow from its own text, source and doc_id and the plan.
+
+    Rows that repeat a doc_id are taken by their own sizes; rows without one as often as is certain. An empty table stays empty;
+    extra columns, whatever their names, stay as they are.
+    """
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    own = F.col("row")
+    rows = with_bits(rows.select("row", own["doc_id"].cast("long").alias("doc_id"), own["source"].cast("string").alias("source"), sized(own["text"]).alias("size")))
+    sizes = table(with_bits(docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), sized(F.col("text")).alias("size"))), "sizes")
+    taken = copies_of(with_facts(rows, plan(sizes, most, cycle, seed, bins, per_bin)), most, seed).where("copies > 0")
+    return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select([own[c].alias(c) for c in docs.columns])
 
 
 #: The same mix for op2, in DuckDB's SQL.
