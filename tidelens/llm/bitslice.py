@@ -5,6 +5,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidelens.llm.shared import cut
+
 
 def slices(values: np.ndarray, bits: int) -> np.ndarray:
     """values (rows x attributes, unsigned) as bitmaps of rows: attribute, bit, words of 64 rows."""
@@ -60,33 +62,30 @@ def bits_of(bitmap: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.unpackbits(bitmap.view(np.uint8), bitorder="little"))
 
 
-def search(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, block_rows: int = 65_536, query_rows: int = 128) -> DataFrame:
+def search(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, block_rows: int = 16_384, query_rows: int = 2048) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of vectors (vec_id, embedding) whose vec_id is divisible by every, the k
     rows of greatest integer inner product, of floor(scale * x) of each component x; ties go to smaller vec_id.
 
     A query's candidates are all rows but those of its own vec_id. Rows that are null, hold null or non-finite
     components, or have no vec_id take no part; vectors of different lengths don't meet. Rows that repeat a vec_id are
-    candidates each and one query. Products must fit in 64 bits. Other columns are ignored.
+    candidates each and one query, by the least of their vectors. Products must fit in 64 bits. An empty table gives an empty
+    result; vectors may be of any length. Other columns are ignored, whatever their names.
 
-    Candidates are dealt to blocks of about block_rows rows by a hash of vec_id, so each block becomes one bit-sliced
-    index; queries are dealt to groups, each group meets each block once, and sends k rows a query and block on. A
-    group and a block are bounded, whatever the data.
+    Candidates are dealt to blocks of about block_rows rows by a hash of the row, so each block becomes one bit-sliced index;
+    queries are dealt to groups of about query_rows. Each group meets each block once: what is shipped is an index for each
+    query_rows queries and a row for each query and block, a small part of the query_rows * block_rows scores it serves, and k
+    rows a query and block come back. A group and a block are bounded, whatever the data.
     """
     v = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("x"))
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     v = v.where(F.col("vec_id").isNotNull() & (F.size("x") > 0) & F.forall("x", lambda x: F.coalesce(fine(x), F.lit(False))))
     v = v.select("vec_id", F.transform("x", lambda x: F.floor(x * scale).cast("long")).alias("q"), F.size("x").alias("dims"))
-    sizes = [(r.dims, r.n) for r in v.groupBy("dims").agg(F.count("*").alias("n")).collect()]  # one row a vector length
-    blocks = F.lit(1)
-    for dims, n in sizes:
-        blocks = F.when(F.col("dims") == dims, F.lit(-(-n // block_rows))).otherwise(blocks)
-    candidates = v.withColumn("block", F.pmod(F.xxhash64("vec_id"), blocks).cast("int"))
-    queries = v.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    groups = F.when(blocks > 0, F.lit(1))
-    for dims, n in sizes:
-        groups = F.when(F.col("dims") == dims, F.lit(-(-n // (every * query_rows)))).otherwise(groups)
-    queries = queries.withColumn("part", F.pmod(F.xxhash64("vec_id", F.lit(1)), groups).cast("int"))
-    queries = queries.withColumn("block", F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))))
+    asks = F.when(F.col("vec_id") % every == 0, 1)
+    sizes = cut(v.groupBy("dims").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks"), F.ceil(F.count(asks) / query_rows).cast("int").alias("parts")))
+    deal = lambda salt, n: F.pmod(F.xxhash64("vec_id", "q", F.lit(salt)), F.col(n)).cast("int")
+    candidates = v.join(sizes, "dims").select("vec_id", "q", "dims", deal(0, "blocks").alias("block"))
+    queries = v.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("dims", "q")).alias("own")).select("vec_id", "own.q", "own.dims")
+    queries = queries.join(sizes.where("parts > 0"), "dims").select("vec_id", "q", "dims", deal(1, "parts").alias("part"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
     index_schema = pa.schema([("dims", pa.int32()), ("block", pa.int32()), ("ids", pa.binary()), ("low", pa.binary()), ("slices", pa.binary()), ("bits", pa.int32())])
 
     def table(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -149,8 +148,7 @@ def search(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64, bl
 
     index = candidates.groupBy("dims", "block").applyInArrow(build, "dims int, block int, ids binary, low binary, slices binary, bits int")
     # each group of queries meets its copy of the block's index
-    parts = queries.select("dims", "block", "part").distinct()
-    copies = parts.join(index, ["dims", "block"]).select(F.col("dims").alias("d"), F.col("block").alias("b"), F.col("part").alias("p"), "ids", "low", "slices", "bits")
-    found = queries.groupBy("dims", "block", "part").cogroup(copies.groupBy("d", "b", "p")).applyInArrow(probe, "query_id long, vec_id long, score long")
+    copies = index.join(sizes.where("parts > 0"), "dims").select("dims", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "ids", "low", "slices", "bits")
+    found = queries.groupBy("dims", "block", "part").cogroup(copies.groupBy("dims", "block", "part")).applyInArrow(probe, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
