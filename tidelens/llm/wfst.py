@@ -1,6 +1,7 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer."""
 
 import zlib
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +13,57 @@ from tidelens.llm.shared import kept, small_batches
 SPACE = "▁"
 
 
+EPSILON, OTHER = "", None  # labels: reads nothing; any character without an arc of its own, which is copied
+INFINITE = float("inf")
+
+
+class Fst:
+    """A weighted transducer in the tropical semiring: for each state and input label its arcs (output, weight, next state)."""
+
+    def __init__(self):
+        self.arcs: list[dict] = [{}]
+
+    def add(self, state: int, label: str | None, output, weight: float, to: int | None = None) -> int:
+        """An arc, to a new state if to is None; returns the state that it leads to."""
+        if to is None:
+            to = len(self.arcs)
+            self.arcs.append({})
+        self.arcs[state].setdefault(label, []).append((output, weight, to))
+        return to
+
+
+def normaliser() -> Fst:
+    """State 0 puts SPACE before the text; state 1 turns each space into SPACE and copies other characters. All weights are 0."""
+    n = Fst()
+    n.add(0, EPSILON, SPACE, 0.0)
+    n.add(1, " ", SPACE, 0.0, 1)
+    n.add(1, OTHER, OTHER, 0.0, 1)
+    return n
+
+
+def segmenter(pieces: list[str]) -> Fst:
+    """From state 0 along the characters of each piece, and back to 0 with the piece as output, at a weight of 1.
+
+    Byte fallback: from state 0 any character that is no piece goes back to 0 with itself as output, at a weight of 1 for each
+    byte of its UTF-8 (OTHER stands for all of them; its weight here is that of the first byte).
+    """
+    s, at = Fst(), {"": 0}
+    for x in sorted(pieces):
+        for k in range(1, len(x) + 1):
+            if x[:k] not in at:
+                at[x[:k]] = s.add(at[x[: k - 1]], x[k - 1], EPSILON, 0.0)
+        s.add(at[x], EPSILON, x, 1.0, 0)
+    s.add(0, OTHER, OTHER, 1.0, 0)
+    return s
+
+
 class Transducer:
-    """The composition of normaliser, pieces and byte fallback, for BPE models without a character map.
+    """The composition of normaliser, segmenter into pieces with byte fallback, and neighbours, for BPE models without a character map.
 
-    Normaliser: a space becomes SPACE, one SPACE goes before the text. Pieces: a trie over characters, its accepting states emitting
-    a piece. Byte fallback: a character that is no piece emits the pieces of its UTF-8 bytes. In BPE, neighbours are only
-    right if merging their characters yields just these two; so a path's state is the piece last emitted, an arc
-    to the next piece has weight 0 if the two can stand side by side and infinity otherwise, and each piece adds 1. By the way merges are
-    ordered, the one path of finite weight is the BPE's result.
+    Neighbours: an acceptor whose state is the piece last emitted. In BPE, two pieces are only right side by side if merging their
+    characters yields just these two; its arc from a to b has weight 0 if so and infinity otherwise. Each piece costs 1 (a byte of
+    the fallback too). A text goes through the composition of the three, which is made state by state as the text needs it,
+    and takes the path of least total weight. By the way merges are ordered, one path is of finite weight: the BPE's result.
     """
 
     def __init__(self, model: str):
@@ -32,19 +76,21 @@ class Transducer:
         normal = [i for i in range(n) if not (p.is_byte(i) or p.is_control(i) or p.is_unknown(i) or p.is_unused(i))]
         self.score = {self.pieces[i]: p.get_score(i) for i in normal}
         self.ids = {self.pieces[i]: i for i in normal}
-        self.trie: dict = {}
-        for x in self.ids:
-            node = self.trie
-            for c in x:
-                node = node.setdefault(c, {})
-            node[""] = x
+        self.normaliser, arcs_of = normaliser(), segmenter(list(self.ids)).arcs
+        # the segmenter's states for quick steps: (next states by character or None, piece that ends here or None, its weight)
+        nodes: list[tuple[dict | None, str | None, float]] = [({} if len(arcs) > (EPSILON in arcs) else None, *next(((x, w) for x, w, _ in arcs.get(EPSILON, ())), (None, 0.0))) for arcs in arcs_of]
+        for (onward, *_), arcs in zip(nodes, arcs_of, strict=True):
+            if onward is not None:
+                onward.update({c: nodes[to] for c, ((_, _, to),) in arcs.items() if c not in (EPSILON, OTHER)})
+        self.start = nodes[0][0]
+        self.longest = max(map(len, self.ids))
         # neighbouring characters that no piece holds side by side: the composition falls apart there
         inside = {x[k : k + 2] for x in self.ids for k in range(len(x) - 1)}
         self.inside = inside
         # SPACE never follows another character within a piece, so words are composed on their own
         self.apart = not any(x.endswith(SPACE) and x[0] != SPACE for x in inside)
         self.alone: dict[str, bool] = {}
-        self.beside: dict[tuple[str, str], bool] = {}
+        self.beside: dict[tuple[str, str], float] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
         self.back = {i: b for b, i in self.bytes_.items()}
@@ -59,17 +105,15 @@ class Transducer:
             k = min(found)[1]
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
 
-    def fits(self, a: str, b: str) -> bool:
-        """Whether the arc from piece a to piece b has finite weight."""
-        if (own := self.alone.get(b)) is None:
-            own = self.alone[b] = self.merged(b) == [b]
-        if not a or not own:
-            return own
-        if (pair := self.beside.get((a, b))) is None:
-            if len(self.beside) > 2_000_000:
+    def neighbours(self, a: str, b: str) -> float:
+        """The weight of the arc from piece a ("": the start) to piece b."""
+        if (weight := self.beside.get((a, b))) is None:
+            if len(self.beside) > 400_000:
                 self.beside.clear()
-            pair = self.beside[a, b] = self.side_by_side(a, b)
-        return pair
+            if (own := self.alone.get(b)) is None:
+                own = self.alone[b] = self.merged(b) == [b]
+            weight = self.beside[a, b] = 0.0 if own and (not a or self.side_by_side(a, b)) else INFINITE
+        return weight
 
     def side_by_side(self, a: str, b: str) -> bool:
         """Whether merging a + b gives a and b: no merge on the way crosses the place between them."""
@@ -93,43 +137,63 @@ class Transducer:
         return rank[0] is None
 
     def path(self, text: str) -> list[str]:
-        """The shortest path through the composition with text: characters are positions, states the piece that ends there.
+        """The shortest path of segmenter and neighbours for normalised text: the pieces (or single characters, for the fallback).
 
-        What is right for a whole is right for its beginnings, so a position has one state of finite weight at most, and
-        one path leads there. The search goes depth first, long arcs first, and leaves a position for good if no path of finite weight
-        goes on from it.
+        States of the composition that read nothing are (position, last piece). They are taken in order of weight plus the least that
+        can follow, a piece for every so many characters as the longest has, the farthest of equals first. From each, the segmenter's
+        arcs are followed through the text and back to its state 0; a state that is reached keeps the least weight and where it
+        came from. The first state taken at the end of the text has the least weight of all.
         """
-        n, trie, beside, fits = len(text), self.trie, self.beside, self.fits
-        dead, out, waiting, at, a = bytearray(n + 1), [], [], 0, ""
-        arcs = None
+        n, root, beside, longest = len(text), self.start, self.beside, self.longest
+        best: dict[tuple[int, str], tuple[float, int, str]] = {(0, ""): (0.0, 0, "")}
+        waiting, at, a = [(0.0, 0, "")], 0, ""
         while True:
-            if arcs is None:
-                arcs, node, end = [], trie.get(text[at]), at + 1
-                if node is None or "" not in node:
-                    arcs.append(text[at])
-                while node is not None:
-                    if (b := node.get("")) is not None:
-                        arcs.append(b)
-                    if end == n:
-                        break
-                    node = node.get(text[end])
-                    end += 1
-            if arcs:
-                b = arcs.pop()
-                end = at + len(b)
-                if dead[end]:
-                    continue
-                ok = beside.get((a, b))
-                if fits(a, b) if ok is None else ok:
-                    out.append(b)
-                    if end == n:
-                        return out
-                    waiting.append(arcs)
-                    at, a, arcs = end, b, None
+            _, at, a = heappop(waiting)
+            at = -at
+            if at == n:
+                break
+            before = best[at, a][0]
+            onward, end, b = root, at, text[at]
+            node = onward.get(b)
+            if node is None or node[1] is None:
+                onward, weight, end = node and node[0], float(len(b.encode("utf-8", "replace"))), at + 1
             else:
-                dead[at] = 1
-                at -= len(out.pop())
-                a, arcs = out[-1] if out else "", waiting.pop()
+                onward, b, weight = node
+                end += 1
+            while True:
+                if b is not None:
+                    beyond = beside.get((a, b))
+                    if beyond is None:
+                        beyond = self.neighbours(a, b)
+                    if beyond < INFINITE:
+                        total = before + weight + beyond
+                        state = (end, b)
+                        if state not in best or total < best[state][0]:
+                            best[state] = (total, at, a)
+                            heappush(waiting, (total - (end - n) // longest, -end, b))
+                if not onward or end == n or (node := onward.get(text[end])) is None:
+                    break
+                onward, b, weight = node
+                end += 1
+        out = []
+        while at:
+            out.append(a)
+            _, at, a = best[at, a]
+        return out[::-1]
+
+    def normal(self, text: str, state: int) -> str:
+        """The output of the normaliser for text, from one of its states."""
+        arcs, out = self.normaliser.arcs, []
+        while EPSILON in arcs[state]:
+            output, _, state = arcs[state][EPSILON][0]
+            out.append(output)
+        other = arcs[state][OTHER]
+        for c in text:
+            (output, _, to), = arcs[state].get(c, other)
+            if to != state:
+                state, other = to, arcs[to][OTHER]
+            out.append(c if output is OTHER else output)
+        return "".join(out)
 
     def split(self, text: str) -> list[str]:
         """text cut wherever no piece could cross."""
@@ -140,31 +204,46 @@ class Transducer:
         edges = [0, *edges, len(text)]
         return [text[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
-    def composed(self, word: str) -> tuple[int, ...]:
-        """The ids of a stretch of text between two places that no piece crosses."""
+    def composed(self, text: str, state: int) -> tuple[int, ...]:
+        """The ids of a stretch of text, the normaliser being in a state. It is cut where no piece crosses."""
+        split = self.split(self.normal(text, state))
+        if len(split) == 1:
+            return self.ids_of(split[0])
         out: list[int] = []
-        for part in self.split(word):
+        for part in split:
             found = self.parts.get(part)
             if found is None:
-                pieces = self.path(part)
-                found = tuple(i for p in pieces for i in ([self.ids[p]] if p in self.ids else [self.bytes_[b] for b in p.encode("utf-8", "replace")]))
-                self.parts[part] = found
+                found = self.ids_of(part)
+                if len(part) < 64:
+                    self.parts[part] = found
             out += found
         return tuple(out)
 
+    def ids_of(self, part: str) -> tuple[int, ...]:
+        """The output of the shortest path: ids of pieces, or of the bytes of what is none."""
+        out, ids = [], self.ids
+        for p in self.path(part):
+            if p in ids:
+                out.append(ids[p])
+            else:
+                out += [self.bytes_[b] for b in p.encode("utf-8", "replace")]
+        return tuple(out)
+
     def encode(self, text: str) -> list[int]:
-        """The ids of a text."""
+        """The ids of a text. Where no piece can cross from a word to the next, each distinct word is composed once."""
         if not text:
             return []
-        s = SPACE + text.replace(" ", SPACE)
-        if max(len(self.words), len(self.parts)) > 800_000:
+        if max(len(self.words), len(self.parts)) > 200_000:
             self.words.clear()
             self.parts.clear()
-        out: list[int] = []
-        for word in s.replace(SPACE, "\0" + SPACE).split("\0")[1:] if self.apart and "\0" not in s and SPACE * 2 not in s else [s]:
+        if not self.apart or SPACE in text or "\0" in text or "  " in text or text[0] == " ":
+            return list(self.composed(text, 0))
+        first, *words = text.replace(" ", "\0 ").split("\0")
+        out = list(self.composed(first, 0))
+        for word in words:
             ids = self.words.get(word)
             if ids is None:
-                ids = self.composed(word)
+                ids = self.composed(word, 1)
                 if len(word) < 64:
                     self.words[word] = ids
             out += ids
@@ -183,8 +262,8 @@ def encode_documents(docs: DataFrame, model: str, ids: bool = True) -> DataFrame
     """(doc_id, n_chars, n_pieces, ids_crc32, round_trip) and ids, those of the pieces, of docs (doc_id, text).
 
     ids_crc32: of the ids as little-endian unsigned 32-bit integers. round_trip: whether decoding gives the text again, but for SPACE
-    characters in it, which become spaces. A null or empty text has no pieces. Rows are independent: repeats and ties count as often.
-    Other columns are ignored.
+    characters in it, which become spaces. A null or empty text has no pieces; very long texts are encoded whole. Rows are independent: rows
+    that repeat a doc_id, or have none, get a row each. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
 
     def run(batches):
@@ -207,7 +286,10 @@ def encode_documents(docs: DataFrame, model: str, ids: bool = True) -> DataFrame
 
 
 def piece_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as ids, by the public model of 32,000 pieces."""
+    """The documents as ids, by the public model of 32,000 pieces: the columns of encode_documents(), not those of docs.
+
+    Rows that repeat a doc_id get a row each, and so do those without one or without text; an empty table gives an empty result.
+    """
     import public_tokenizers
 
     return encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model"))
