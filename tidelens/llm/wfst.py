@@ -233,7 +233,7 @@ class Transducer:
         """The ids of a text. Where no piece can cross from a word to the next, each distinct word is composed once."""
         if not text:
             return []
-        if max(len(self.words), len(self.parts)) > 200_000:
+        if max(len(self.words), 5 * len(self.parts)) > 500_000:
             self.words.clear()
             self.parts.clear()
         if not self.apart or SPACE in text or "\0" in text or "  " in text or text[0] == " ":
