@@ -279,6 +279,8 @@ def encode_documents(docs: DataFrame, model: str, ids: bool = True) -> DataFrame
                 columns.append(pa.array(coded, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
+        for known in (t.words, t.parts, t.beside):  # the worker keeps the transducer, not what this task's words took
+            known.clear()
 
     small_batches(docs.sparkSession)
     kind = "doc_id long, n_chars long, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * ids
