@@ -150,7 +150,7 @@ query("j08_nearest_within", "select s_suppkey, arg_min(gauge_id, (d, gauge_id))
     lambda t: T.nearest(t.supplier.select("s_suppkey", (C("s_suppkey") * 41.5).alias("x"), (C("s_suppkey") * 13.5).alias("y")), t.gauges, 400.0, "s_suppkey", "gauge_id").select("s_suppkey", "other"))
 query("j21_outside_domain", "select user_id, count(*) as n from events where user_id not in (select s_suppkey from supplier) group by 1")(
     lambda t: t.events.join(t.supplier, C("user_id") == C("s_suppkey"), "left_anti").groupBy("user_id").agg(F.count("*").alias("n")))
-query("j22_idw_rain", "select bi, bj, round(coalesce(avg(total) filter (d <= 1e-6), sum(total / (d * d)) filter (d > 1e-6) / sum(1 / (d * d)) filter (d > 1e-6)), 6) as rain from (select bi, bj, total, sqrt((bi * 100 - g.x) ** 2 + (bj * 100 - g.y) ** 2) as d from {blocks}, {gauges} g where bi % 5 = 0 and bj % 5 = 0 and gauge_id < 50) group by 1, 2")(
+query("j22_idw_rain", "select bi, bj, round(coalesce(avg(total) filter (d <= 1e-6), sum(total / (d * d)) filter (d > 1e-6) / sum(1 / (d * d)) filter (d > 1e-6)), 6) as rain from (select bi, bj, total, sqrt((bi * 100 - g.x) ** 2 + (bj * 100 - g.y) ** 2) as d from {blocks}, {gauges} g) group by 1, 2")(
     lambda t: T.idw(t.blocks.select("bi", "bj", (C("bi") * 100).cast("double").alias("x"), (C("bj") * 100).cast("double").alias("y")), t.gauges.select(C("x").cast("double").alias("x"), C("y").cast("double").alias("y"), "total")).select("bi", "bj", r6(C("rain"), "rain")))
 query("j27_outcome_compare", "select coalesce(a.o_orderkey, b.o_orderkey) as k, a.o_totalprice is not distinct from b.p or abs(a.o_totalprice - b.p) <= 1e-6 as same from orders a full join (select o_orderkey, case when o_orderkey % 10 = 0 then o_totalprice + 1 else o_totalprice end as p from orders where o_orderkey % 7 <> 0) b using (o_orderkey)")(
     lambda t: t.orders.select(C("o_orderkey").alias("k"), "o_totalprice").join(t.orders.where("o_orderkey % 7 <> 0").select(C("o_orderkey").alias("k"), F.when(C("o_orderkey") % 10 == 0, C("o_totalprice") + 1).otherwise(C("o_totalprice")).alias("p")), "k", "full").select("k", (C("o_totalprice").eqNullSafe(C("p")) | (F.abs(C("o_totalprice") - C("p")) <= 1e-6)).alias("same")))
@@ -237,12 +237,12 @@ query("a49_contingency", "with c as (select count(*) filter (d and o) as hits, c
     lambda t: T.contingency(t.blocks.where("label >= 0"), C("score") >= 25, C("label") == 1).select("hits", "misses", "false_alarms", "rest", *(F.round(c, 6).alias(c) for c in ("hit_rate", "far", "csi", "bias"))))
 
 
-@query("a50_shift_null", "select s as shift, round(sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)), 6) as auc from (select *, sum(neg) over (partition by s order by score) - neg as below from (select s, b.score, sum(a.label)::double as pos, sum(1 - a.label)::double as neg from {blocks} a cross join range(1, 50, 7) r(s) join {blocks} b on b.bi = (a.bi + s) % 50 and b.bj = a.bj where a.label >= 0 group by 1, 2)) group by 1")
+@query("a50_shift_null")  # shifts are drawn by a hash that DuckDB lacks; tests compare with brute force
 def _(t):
     return T.shift_null(t.blocks, "score", "label")
 
 
-query("a52_correlogram", "select h as lag, count(*) as pairs, round(corr(a.score, b.score), 6) as corr from {blocks} a cross join (values (1), (2), (5)) l(h) join {blocks} b on (b.bi = a.bi + h and b.bj = a.bj) or (b.bi = a.bi and b.bj = a.bj + h) group by 1")(
+query("a52_correlogram", "with l as (select unnest(range(1, least(max(bi) - min(bi) + 1, max(bj) - min(bj) + 1) // 2 + 1)) as lag from {blocks}), p as (select lag, a.score as v, b.score as w from {blocks} a cross join l join {blocks} b on b.bi = a.bi + lag and b.bj = a.bj union all select lag, a.score, b.score from {blocks} a cross join l join {blocks} b on b.bi = a.bi and b.bj = a.bj + lag), o as (select l.lag, count(v) as pairs, case when count(v) >= 30 and not isnan(corr(v, w)) then corr(v, w) end as corr from l left join p using (lag) group by 1) select lag, pairs, round(corr, 6) as corr, (select min(lag) from o where corr <= 0.05) as range_lag from o")(
     lambda t: T.correlogram(t.blocks, "score").select("lag", "pairs", r6(C("corr"), "corr"), "range_lag"))
 query("a53_class_medians", "select label, quantile_cont(score, 0.5) as median from {blocks} group by 1")(lambda t: t.blocks.groupBy("label").agg(F.percentile("score", 0.5).alias("median")))
 query("a58_destinations", "select p_brand, count(*) as n from part group by 1")(lambda t: t.part.groupBy("p_brand").agg(F.count("*").alias("n")))

@@ -168,8 +168,6 @@ query("g03_edge_depths", "select edge_id, max(depth_m) as max_depth_m, round(avg
     lambda t: t.edges.select("edge_id", F.explode(F.array("u", "v")).alias("n")).join(t.slices.where("time_s = 68400"), C("cell_id") == F.concat(L("c"), C("n").cast("string"))).groupBy("edge_id").agg(F.max("depth_m").alias("max_depth_m"), F.round(F.avg("depth_m"), 6).alias("mean_depth_m")))
 query("g12_grid", "select i as gx, j as gy from range((select floor(max(x + w) / 500)::bigint + 1 from {footprints})) a(i) cross join range((select floor(max(y + h) / 500)::bigint + 1 from {footprints})) b(j)")(
     lambda t: t.footprints.agg(F.floor(F.max(C("x") + C("w")) / 500).alias("nx"), F.floor(F.max(C("y") + C("h")) / 500).alias("ny")).select(F.explode(F.sequence(L(0).cast("long"), C("nx"))).alias("gx"), "ny").select("gx", F.explode(F.sequence(L(0).cast("long"), C("ny"))).alias("gy")))
-query("n08_cut_off_reason", f"with o as (select distinct unnest([u, v]) as n from {{edges}} e join (select edge_id, {CLOSED} as closed from {STATES} where mode = 0 and time_s = 68400) s using (edge_id) where walk_allowed and not closed) select trip_id, case when person % 200 not in (select n from o) then 'origin' when trip_id % 200 not in (select n from o) then 'destination' end as reason from {{trips}}")
-# The line above registers nothing: its SQL lacks no_path and judges nodes 0 to 199 only.
 @query("n08_cut_off_reason")
 def _(t):
     """Trips run from nodes of the edges, dealt by person and trip over all of them; closed roads may leave an end out, or the ends apart."""
