@@ -5,7 +5,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.shared import kept, small_batches
+from tidelens.llm.shared import freed, kept, small_batches
 
 UNDETERMINED = "und"
 
@@ -91,7 +91,7 @@ def learn(docs: DataFrame, dims: int, seed: int) -> dict[str, np.ndarray]:
         for lang, v in sums.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * dims), pa.array(np.arange(dims, dtype=np.int32)), pa.array(v)], ["lang", "dim", "x"])
 
-    rows = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(run, "lang string, dim int, x long")
+    rows = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(freed(run), "lang string, dim int, x long")
     rows = rows.groupBy("lang", "dim").agg(F.sum("x").alias("x")).collect()  # languages times dims numbers
     out: dict[str, np.ndarray] = {}
     for r in rows:
@@ -153,7 +153,7 @@ def compared(docs: DataFrame, found: Profiles, dims: int = 1024, seed: int = 5)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "held_out", "lang")), *out], ["doc_id", "held_out", "lang", "lang_pred", "score", "likeness", "size"])
 
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out(F.col("doc_id").cast("long")).alias("held_out"), F.col("lang").cast("string"))
-    return d.mapInArrow(run, "doc_id long, held_out boolean, lang string, lang_pred string, score double, likeness double, size int")
+    return d.mapInArrow(freed(run), "doc_id long, held_out boolean, lang string, lang_pred string, score double, likeness double, size int")
 
 
 def limits(found: DataFrame, quantile: float, slack: float) -> dict[tuple[str, int], float]:
@@ -199,4 +199,4 @@ def keep_languages(spark, docs: DataFrame, sf_dir: str, quantile: float = 0.01,
             judged = [found.judge(n, v) for n, v in space.bundles(batch.column(at).cast(pa.string()).to_pylist())]
             yield batch.filter(pa.array([lang != UNDETERMINED and like >= least.get((lang, size), -1.0) for lang, _, like, size in judged], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(freed(run), docs.schema)

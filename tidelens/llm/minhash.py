@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.shared import Words, components, cut, kept, mix, small_batches, split_by_ids, table
+from tidelens.llm.shared import components, cut, freed, kept, mix, small_batches, split_by_ids, table, Words
 
 WIDTH, BANDS, ROWS, UNIVERSE = 5, 40, 5, 1 << 20
 
@@ -70,7 +70,7 @@ def signatures(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: in
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *map(pa.array, sums.T), listed], ["doc_id", "n_shingles", "set_a", "set_b", "bands"])
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
 
 
 def near(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -105,7 +105,7 @@ def like_hub(pairs: DataFrame, texts: DataFrame, width: int, percent: int, chunk
     hubs = sizes.select("a", F.col("a").alias("b"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     rows = dealt.withColumn("own", F.lit(1)).unionByName(hubs.withColumn("own", F.lit(0)))
     rows = rows.join(texts.withColumnRenamed("doc_id", "b"), "b").repartition("a", "part").sortWithinPartitions("a", "part", "own")
-    return rows.select("a", "b", "part", "own", "text").mapInArrow(run, "a long, b long").distinct()
+    return rows.select("a", "b", "part", "own", "text").mapInArrow(freed(run), "a long, b long").distinct()
 
 
 def uneven(rows: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def between_components(rows: DataFrame, texts: DataFrame, width: int, percent: i
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in links()], pa.int64()) for k in (0, 1)], ["a", "b"])
 
     dealt = r.join(texts, "doc_id").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "doc_id")
-    return dealt.select("bucket", "i", "j", "doc_id", "component", "role", "own", "text").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("bucket", "i", "j", "doc_id", "component", "role", "own", "text").mapInArrow(freed(run), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = 75, bands: int = BANDS, rows: int = ROWS, universe: int = UNIVERSE, seed: int = 1) -> DataFrame:

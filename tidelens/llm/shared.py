@@ -52,6 +52,16 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def freed(run: Callable) -> Callable:
+    """run, a function for mapInArrow, that gives memory that Arrow no longer uses back at its end, as the worker lives on."""
+
+    def done(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return done
+
+
 def kept(key: tuple, make: Callable):
     """What a Python worker keeps from task to task: make() the first time, then the same."""
     store = sys.modules.setdefault("_tidelens_kept", types.ModuleType("_tidelens_kept")).__dict__

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidelens.llm.shared import kept, small_batches
+from tidelens.llm.shared import freed, kept, small_batches
 
 SPACE = "▁"
 
@@ -284,7 +284,7 @@ def encode_documents(docs: DataFrame, model: str, ids: bool = True) -> DataFrame
 
     small_batches(docs.sparkSession)
     kind = "doc_id long, n_chars long, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * ids
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, kind)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(freed(run), kind)
 
 
 def piece_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
