@@ -283,18 +283,19 @@ def check(rows: DataFrame, check_id: str, observed: Column, threshold: float = 0
     return o.select(F.lit(check_id).alias("check_id"), F.lit(float(threshold)).alias("threshold"), F.round("observed", 6).alias("observed"), (F.col("observed") <= threshold).alias("passed"))
 
 
-def distances(edges: DataFrame, sources: DataFrame, cutoff: float, per_job: int = 4, most: int = 10_000) -> DataFrame:
+def distances(edges: DataFrame, sources: DataFrame, cutoff: float, per_job: int = 4) -> DataFrame:
     """(source, node, cost): least cost from each of sources (source, node) along both directions of edges (u, v, cost).
 
     Edges with an edge_id also give prev_edge, the edge by which the node is reached (null at the source; of ties the least id).
-    Frontier relaxation: only nodes whose cost fell go on, several steps a job, the state checkpointed in the shared folder.
+    Frontier relaxation: only nodes whose cost fell go on, several steps a job, until none falls, the state checkpointed
+    in the shared folder. Costs must not be negative.
     """
     named = "edge_id" in edges.columns
     edges = edges if named else edges.withColumn("edge_id", F.lit(None).cast("string"))
     both = edges.select(F.col("u").alias("node"), F.col("v").alias("to"), "cost", "edge_id").unionByName(edges.select(F.col("v").alias("node"), F.col("u").alias("to"), "cost", "edge_id"))
     both = held(both.groupBy("node", "to").agg(F.min(F.struct("cost", "edge_id")).alias("s")).select("node", "to", "s.*"))
     best = held(sources.select("source", "node", F.lit(0.0).alias("cost"), F.lit(None).cast(edges.schema["edge_id"].dataType).alias("prev_edge"), F.lit(True).alias("fresh")))
-    for _ in range(0, most, per_job):
+    while True:
         for _ in range(per_job):
             moved = best.where("fresh").alias("a").join(both.alias("b"), "node").select("a.source", F.col("b.to").alias("node"), (F.col("a.cost") + F.col("b.cost")).alias("cost"), F.col("b.edge_id").alias("prev_edge"), F.lit(True).alias("fresh")).where(F.col("cost") <= cutoff)
             all_ = best.withColumn("old", F.col("cost")).withColumn("fresh", F.lit(False)).unionByName(moved.withColumn("old", F.lit(None).cast("double")))
