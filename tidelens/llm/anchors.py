@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidelens.llm.shared import Words, mix
+from tidelens.llm.shared import Words, freed_group, freed_groups, mix
 
 NO_ID = 2**63 - 1
 
@@ -206,14 +206,14 @@ def remove_repeats(docs: DataFrame, window: int = 13, block: int | None = None,
         own = [pa.array(left, pa.string()), t.column("row").combine_chunks()] if texts else []
         return pa.Table.from_arrays(columns + own, names=names)
 
-    sent = dealt.groupBy("batch").applyInArrow(probes, probe_kind)
-    found = sent.groupBy("shard").applyInArrow(hits, "batch int, shard int, n int, keys binary")
+    sent = dealt.groupBy("batch").applyInArrow(freed_group(probes), probe_kind)
+    found = sent.groupBy("shard").applyInArrow(freed_group(hits), "batch int, shard int, n int, keys binary")
     long_kind = "shard int, batch int, n int, keys binary, docs binary"
-    windows = dealt.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(extended, long_kind)
-    answers = windows.groupBy("shard").applyInArrow(earliest, long_kind)
+    windows = dealt.groupBy("batch").cogroup(found.groupBy("batch")).applyInArrow(freed_groups(extended), long_kind)
+    answers = windows.groupBy("shard").applyInArrow(freed_group(earliest), long_kind)
     kind = T.StructType([T.StructField(n, t) for n, t in zip(names, [T.LongType()] * 3 + [T.StringType()] * 2, strict=False)])
     kind = kind.add("row", docs.schema["row"].dataType) if texts else kind
-    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(judged, kind)
+    return dealt.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(freed_groups(judged), kind)
 
 
 def strip_repeats(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """What the operators share: the cluster's shared folder, connected components, and words as arrays of hashes."""
 
+import ctypes
 import re
 import sys
 import tempfile
@@ -46,26 +47,59 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Arrow batches of few rows, as texts may be long; Spark bounds their bytes (spark.sql.execution.arrow.maxBytesPerBatch). The session
-    keeps the setting, as it is read when a query runs."""
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "8m") -> None:
+    """Arrow batches of few rows and few bytes, as texts may be long; a longer text is a batch alone. The session keeps the settings, as
+    they are read when a query runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
+
+
+def release() -> None:
+    """Gives memory that this Python process no longer uses back to the system, as Spark's workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
 
 
 def freed(run: Callable) -> Callable:
-    """run, a function for mapInArrow, that gives memory that Arrow no longer uses back at its end, as the worker lives on."""
+    """run, a function for mapInArrow, that gives unused memory back at its end."""
 
     def done(batches):
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
+        release()
+
+    return done
+
+
+def freed_group(run: Callable) -> Callable:
+    """run, a function for applyInArrow of a group, that gives unused memory back at its end."""
+
+    def done(rows):
+        out = run(rows)
+        release()
+        return out
+
+    return done
+
+
+def freed_groups(run: Callable) -> Callable:
+    """The same for a function of two co-grouped tables."""
+
+    def done(left, right):
+        out = run(left, right)
+        release()
+        return out
 
     return done
 
 
 def kept(key: tuple, make: Callable):
-    """What a Python worker keeps from task to task: make() the first time, then the same."""
-    store = sys.modules.setdefault("_tidelens_kept", types.ModuleType("_tidelens_kept")).__dict__
+    """What a Python worker keeps from task to task: make() the first time, then the same, until a task asks for another key. A task
+    uses one key only, so a worker holds what one stage needs and not what those before it left."""
+    store = sys.modules.setdefault("_tidelens_kept", types.ModuleType("_tidelens_kept")).__dict__.setdefault("held", {})
     if key not in store:
+        store.clear()
         store[key] = make()
     return store[key]
 
