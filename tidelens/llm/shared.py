@@ -157,17 +157,20 @@ _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    """A bijection of unsigned 64-bit integers that spreads every bit."""
+    """A bijection of unsigned 64-bit integers that spreads every bit. Works on a copy in place, as the arrays may be large."""
     x = x + np.uint64(salt * 0x9E3779B97F4A7C15 & 2**64 - 1)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 class Words:
     """The words of a column of texts (null: none), read from its UTF-8 bytes.
 
-    start, end: places of the words in data; first: number of words before each document, and of all at the end;
+    data: the bytes; at: where documents start in them; first: number of words before each document, and of all at the end;
     hashes: 64 bits a word. lower: A-Z count as a-z.
     """
 
@@ -186,19 +189,20 @@ class Words:
         full = at[1:] > at[:-1]
         before[at[:-1][full]] = True
         after[at[1:][full] - 1] = True
-        self.start = np.flatnonzero(~apart & before)
-        self.end = np.flatnonzero(~apart & after) + 1
-        self.first = np.searchsorted(self.start, at)
-        self.hashes = self._hash(_LOWER[data] if lower else data)
+        start = np.flatnonzero(~apart & before)
+        end = np.flatnonzero(~apart & after) + 1
+        del apart, before, after
+        self.first = np.searchsorted(start, at)
+        self.hashes = self._hash(_LOWER[data] if lower else data, start, end)
 
-    def _hash(self, data: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    def _hash(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, block: int = 1 << 16) -> np.ndarray:
         """Each word's bytes, eight at a time."""
         padded = np.concatenate([data, np.zeros(8, np.uint8)])
         eight = np.ndarray((len(data) + 1,), np.dtype("<u8"), padded, strides=(1,))
-        out = np.empty(len(self.start), np.uint64)
+        out = np.empty(len(starts), np.uint64)
         for k in range(0, len(out), block):
-            start = self.start[k : k + block]
-            length = self.end[k : k + block] - start
+            start = starts[k : k + block]
+            length = ends[k : k + block] - start
             h = mix((eight[start] & _MASK[np.minimum(length, 8)]) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
             more, done = np.flatnonzero(length > 8), 8
             while len(more):
