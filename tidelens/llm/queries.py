@@ -3,8 +3,9 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidelens.llm import anchors, bitslice, hdlang, imatch, linkgraph, minhash, mixing, tokenfile, toxicity, wfst
+from tidelens.llm import align, anchors, archives, bitslice, codes, hdlang, imatch, linkgraph, minhash, mixing, tokenfile, toxicity, wfst
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +56,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archives.archive_pages(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return align.align_documents(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = codes.compress(read(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_link_graph": op1_link_graph,
     "op2_pareto_mix": op2_pareto_mix,
@@ -66,8 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_anchors": op8_anchors,
     "op9_piece_transducer": op9_piece_transducer,
     "op10_toxicity": op10_toxicity,
+    "op11_archives": op11_archives,
+    "op12_alignment": op12_alignment,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLES: dict[str, str] = {
     "op1_link_graph": linkgraph.judge_sql(),
     "op2_pareto_mix": mixing.MIX_SQL,
+    "op11_archives": archives.ARCHIVE_SQL,
 }

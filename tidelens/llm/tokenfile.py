@@ -29,14 +29,16 @@ class Encoder:
     batch, from one such space to the next, is cut by the tokenizer's pattern once, and each distinct part goes through the
     library's model once; ids are then gathered by offsets. Texts in which a space is followed by white space or ends the text, that
     hold an added token, or control characters, go through the library whole, and so do all where the tokenizer is of another kind.
+    plain: strings of special tokens within a text are ordinary text.
     """
 
-    def __init__(self, path: str, dtype: str):
+    def __init__(self, path: str, dtype: str, plain: bool = False):
         import regex
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.dtype = Tokenizer.from_file(path), np.dtype(dtype)
+        self.tokenizer.encode_special_tokens = plain
         with open(path, encoding="utf-8") as f:
             kind = json.load(f)
         cut = kind.get("pre_tokenizer") or {}
