@@ -148,7 +148,7 @@ def write(pages: DataFrame, out: str, date: Column | None = None, least_bytes: i
                 if stream is None:
                     store.create_dir(top, recursive=True)
                     name, n, size = f"pages-{uuid.uuid4().hex}.warc.gz", 0, 0
-                    stream = store.open_output_stream(f"{top}/{name}", buffer_size=1 << 20)
+                    stream = store.open_output_stream(f"{top}/{name}", compression=None, buffer_size=1 << 20)
                     stream.write(zipped(record("warcinfo", [("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", row[2]), ("WARC-Filename", name), ("Content-Type", "application/warc-fields")], b"format: WARC File Format 1.1\r\n"), level))
                 raw = zipped(page_record(*row), level)
                 stream.write(raw)
@@ -222,7 +222,7 @@ def runs(archives: DataFrame, out: str, block: int = 4096, step: int = 32) -> Da
         for b in batches:
             for path in b.column("path").to_pylist():
                 found = []
-                with store.open_input_stream(f"{top}/{path}") as f:
+                with store.open_input_stream(f"{top}/{path}", compression=None) as f:
                     for start, length, raw in members(iter(lambda: f.read(1 << 20), b"")):
                         row = capture(raw)
                         if row:
