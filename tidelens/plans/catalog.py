@@ -305,15 +305,6 @@ query("g09_departure", f"select person_id, {U.format('warned')} < 0.8 as warned,
     lambda t: t.persons.select("person_id", (V.uniform(9, "warned", C("person_id")) < 0.8).alias("warned"), (V.uniform(9, "compliant", C("person_id")) < 0.7).alias("compliant"), F.floor(600 * V.uniform(9, "delay", C("person_id"))).alias("delay_s")))
 query("n01_mode_graph", f"select least(u, v) as a, greatest(u, v) as b, round(min(length_m / (speed_walk_mps * f)), 6) as cost from (select e.u, e.v, e.length_m, e.speed_walk_mps, s.f from {{edges}} e join (select edge_id, {FACTOR} as f from {STATES} where mode = 0 and time_s = 68400) s using (edge_id) where walk_allowed and s.f > 0) group by 1, 2")(
     lambda t: t.edges.where("walk_allowed").join(states(t).where("mode = 0 and time_s = 68400 and speed_multiplier > 0").select("edge_id", "speed_multiplier"), "edge_id").groupBy(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.round(F.min(C("length_m") / (C("speed_walk_mps") * C("speed_multiplier"))), 6).alias("cost")))
-@query("n03_travel_times")
-def _(t):
-    """Seconds on foot, up to 1,200 (1,500 m), from the node nearest to each gauge, with the last edge of the way."""
-    walk = t.edges.where("walk_allowed").select("u", "v", (C("length_m") / C("speed_walk_mps")).alias("cost"), "edge_id")
-    nodes = walk.select(F.explode(F.array("u", "v")).alias("node")).distinct().select("node", (50.0 * (C("node") % 50)).alias("x"), (50.0 * F.floor(C("node") / 50)).alias("y"))
-    at = P.nearest_any(t.gauges.select("gauge_id", "x", C("y").cast("double").alias("y")), nodes, 500.0, "gauge_id", "node")
-    return T.distances(walk, at.where("other is not null").select(C("other").alias("source"), C("other").alias("node")).distinct(), 1200.0)
-
-
 query("n06_components", None)(lambda t: T.components(t.edges.where("walk_allowed").select("u", "v")))
 
 # --- checks -----------------------------------------------------------------------------------------------------------

@@ -1,5 +1,7 @@
 """Domain tables derived from the given ones, as SQL that Spark and DuckDB read alike."""
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -33,6 +35,15 @@ SQL = {
     "trips": "select o_orderkey as trip_id, o_custkey as person, o_orderkey * 37 % 86400 as depart_s, case o_orderkey % 2 when 0 then 0 else 3 end as mode, o_totalprice as cost from {orders}",
     "tags": """select p_partkey as id, case p_partkey % 4 when 0 then concat(cast(p_size as string), ' ft') when 1 then concat(cast(p_size as string), '.5 m') when 2 then cast(p_size as string) else 'no' end as height_text,
         case p_partkey % 3 when 0 then cast(p_size % 30 as string) when 1 then concat(cast(p_size % 9 as string), ';2') else null end as level_text from {part}""",
+    "ways": """select concat('w', cast(k as string)) as way_id, highway, cx + k * 7 % 41 as x0, cy + k * 13 % 37 as y0, cx + k * 7 % 41 + k * 17 % 160 - 60 as x1, cy + k * 13 % 37 + 3 * size - 40 as y1,
+        cx + k * 7 % 41 + k * 17 % 160 - 60 + k * 29 % 140 - 80 as x2, cy + k * 13 % 37 + 3 * size - 40 + k * 31 % 120 - 30 as y2 from (select p_partkey as k, p_size as size, 60 * (p_partkey % 50) as cx, 60 * cast(floor(p_partkey / 50) as bigint) as cy,
+        case p_partkey % 5 when 0 then 'residential' when 1 then 'primary' when 2 then 'footway' when 3 then 'motorway' else 'river' end as highway from {part})""",
+    "wet_edges": "select e.edge_id, p.year from ({edges}) e join (select * from ({pixels}) q where code >= 2) p on p.px_row = cast(floor(e.k / 50) as bigint) % 200 and p.px_col = e.k % 50",
+    "homes": "select person_id, weight, (cast(floor(k / 40) as bigint) % 40) * 50 + k % 40 as place from ({persons}) p",
+    "journeys": """select 10 * l_orderkey + l_linenumber as trip_id, l_orderkey * 37 % 86400 as depart_s, l_suppkey as origin, cast(500 * (l_suppkey % 10) as double) as ox, cast(500 * floor(l_suppkey / 10) as double) as oy,
+        10 * l_partkey + l_linenumber as destination, cast(50 * (l_partkey % 50) + 20 * l_linenumber as double) as dx, cast(50 * floor(l_partkey / 50) + 130 * (l_linenumber % 3) as double) as dy from {lineitem}""",
+    "carriers": "select p_partkey as id, p_partkey % 2 as dir, 100 * (p_partkey % 97) as off, p_partkey * 37 % 5000 as lo, p_partkey * 37 % 5000 + 20 + 7 * p_size as hi from {part}",
+    "stretches": "select o_orderkey as id, o_orderkey % 2 as dir, 100 * (o_orderkey % 97) as off, o_orderkey * 53 % 5000 as lo, o_orderkey * 53 % 5000 + 30 + o_custkey % 90 as hi from {orders}",
     "footprints": "select p_partkey as id, cast(60 * (p_partkey % 50) as double) as x, 60 * floor(p_partkey / 50) as y, cast(5 + p_size % 40 as double) as w, cast(5 + p_partkey % 30 as double) as h, p_brand as use_class from {part}",
 }
 
@@ -46,7 +57,7 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in SQL:
             names = [t for t in TABLES + list(SQL) if f"{{{t}}}" in SQL[name]]
-            return self.spark.sql(SQL[name].replace("({times}) t", "{times} t").replace("({edges})", "{edges}"), **{t: getattr(self, t) for t in names})
+            return self.spark.sql(re.sub(r"\(({\w+})\)", r"\1", SQL[name]), **{t: getattr(self, t) for t in names})
         if name.startswith("_"):
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
