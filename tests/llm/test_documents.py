@@ -5,6 +5,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -320,3 +321,47 @@ def test_urls_far_from_a_blocked_host(spark):
     edges = spark.createDataFrame([("a", "b", 1), ("b", "a", 1)], "src string, dst string, n long")
     got = {r.host: r.trust for r in linkgraph.propagate(seeds, edges).collect()}
     assert abs(got["a"] - 0.15 / (1 - 0.85**2)) < 1e-5 and abs(got["b"] - 0.15 * 0.85 / (1 - 0.85**2)) < 1e-5
+
+
+def test_sets_near_in_a_block():
+    """An index of a block finds all near sets, by brute force, and joined() makes the same groups as all links."""
+    rnd = random.Random(1)
+    for _ in range(120):
+        base = [rnd.randrange(60) for _ in range(30)]
+        sets = [{b for b in base if rnd.random() < rnd.choice([0.5, 0.8, 0.95])} | {rnd.randrange(1000) for _ in range(rnd.randrange(4))} or {1} for _ in range(rnd.randrange(2, 14))]
+        sets = [np.array(sorted(s), np.uint64) for s in sets]
+        for percent in (50, 75, 90, 100):
+            index = minhash.Prefixes(sets, percent)
+            for x in [*sets, np.array([5000, 6000], np.uint64)]:
+                assert index.near(x).tolist() == [k for k, y in enumerate(sets) if minhash.near(x, y, percent)]
+        every = [(a, b) for a in range(len(sets)) for b in range(a) if minhash.near(sets[a], sets[b], 75)]
+        found = minhash.joined(list(range(1, len(sets))), list(range(len(sets))), list(range(len(sets))), sets, 75)
+        groups = []
+        for links in (every, found):
+            label = list(range(len(sets)))
+            for a, b in links:
+                label = [label[b] if v == label[a] else v for v in label]
+            groups.append([[label[a] == label[b] for a in range(len(sets))] for b in range(len(sets))])
+        assert groups[0] == groups[1] and len(found) < len(sets)
+
+
+def test_templates_and_planted_pairs(spark):
+    """Texts of one template, just below the limit, stay apart; pairs planted from the limit up are all found."""
+    words = [f"t{k}" for k in range(180)]
+
+    def filled(d, slots):
+        text = list(words)
+        for k in range(slots):
+            text[int((k + 0.5) * 180 / slots)] = f"u{d}_{k}"
+        return " ".join(text)
+
+    rnd = random.Random(5)
+    rows = [(d, filled(d, 6)) for d in range(400)]
+    for d in range(1000, 1600, 2):
+        text = [rnd.choice("abcdefghij") + str(rnd.randrange(10**6)) for _ in range(200)]
+        rows.append((d, " ".join(text)))
+        for k in rnd.sample(range(5), rnd.randrange(1, 6)):  # up to five words, each in five shingles: 0.77 at least
+            text[20 + 40 * k] = "new"
+        rows.append((d + 1, " ".join(text)))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(got[d] == d for d in range(400)) and all(got[d] == d - d % 2 for d in range(1000, 1600))

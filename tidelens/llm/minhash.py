@@ -116,12 +116,63 @@ def uneven(rows: DataFrame) -> DataFrame:
     return rows.join(sizes.select("bucket", F.col("top.component").alias("main"), "all_n", (F.col("all_n") - F.col("top.n")).alias("others_n")), "bucket")
 
 
+def runs_of(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first, first + 1, ... of each run, one run after the other."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+class Prefixes:
+    """The sets of a block with their shingles from the rarest on, and an index of those that a near set has to share one of.
+
+    Sets of n and m shingles are near only if they share `need` of them, and a set of n shares one of its first n - ceil(n * percent / 100) + 1
+    with any that is near (in an order that both have). Where the first that both share lies at places i and j, no more than
+    min(n - i, m - j) can be shared, so most pairs of texts made from one template end there.
+    """
+
+    def __init__(self, sets: list[np.ndarray], percent: int):
+        self.percent, self.size = percent, np.array([len(s) for s in sets])
+        self.first = np.cumsum(self.size) - self.size
+        self.tokens, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        self.rank = np.empty(len(self.tokens), np.int64)
+        self.rank[np.argsort(counts, kind="stable")] = np.arange(len(self.tokens))
+        owner = np.repeat(np.arange(len(sets)), self.size)
+        order = np.lexsort((self.rank[inverse], owner))
+        self.ranks = self.rank[inverse][order]
+        place = np.arange(len(owner)) - self.first[owner]
+        held = place < self.prefix(self.size)[owner]
+        by = np.argsort(self.ranks[held], kind="stable")
+        self.owner, self.place = owner[held][by], place[held][by]
+        self.at = np.searchsorted(self.ranks[held][by], np.arange(len(self.tokens) + 1))
+        self.mark = np.zeros(len(self.tokens), bool)
+
+    def prefix(self, n):
+        return n + (-n * self.percent // 100) + 1
+
+    def near(self, s: np.ndarray) -> np.ndarray:
+        """The numbers of all sets near s, by their full sets."""
+        n, percent = len(s), self.percent
+        found = np.searchsorted(self.tokens, s)
+        found = found[self.tokens[np.minimum(found, len(self.tokens) - 1)] == s]
+        ranks = np.sort(self.rank[found])
+        # shingles that no set of the block has are the rarest and come first
+        i = np.arange(n - len(ranks), min(self.prefix(n), n))
+        low, high = self.at[ranks[: len(i)]], self.at[ranks[: len(i)] + 1]
+        hit = runs_of(low, high - low)
+        owner, m = self.owner[hit], self.size[self.owner[hit]]
+        most = np.minimum(n - np.repeat(i, high - low), m - self.place[hit])
+        some = np.unique(owner[most * (100 + percent) >= percent * (n + m)])
+        if not len(some):
+            return some
+        self.mark[ranks] = True
+        m = self.size[some]
+        both = np.add.reduceat(self.mark[self.ranks[runs_of(self.first[some], m)]], np.cumsum(m) - m, dtype=np.int64)
+        self.mark[ranks] = False
+        return some[100 * both >= percent * (n + m - both)]
+
+
 def joined(active: list[int], others: list[int], label: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links (x, y), x of active and y of others, whose sets are near, as many as join what is not yet of one label: label[x] is
-    the component of x.
-
-    A set of n shingles that is near another shares one of any n - ceil(n * percent / 100) + 1 of its shingles with it,
-    so only those are looked up that fewest of the others have.
+    the component of x. No set is empty.
     """
     up: dict[int, int] = {}
 
@@ -130,19 +181,13 @@ def joined(active: list[int], others: list[int], label: list[int], sets: list[np
             c = up[c]
         return c
 
-    values = np.concatenate([sets[y] for y in others])
-    owner = np.repeat(np.array(others), [len(sets[y]) for y in others])
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
+    index = Prefixes([sets[y] for y in others], percent)
     out = []
     for x in active:
-        s = sets[x]
-        low, high = np.searchsorted(values, s, "left"), np.searchsorted(values, s, "right")
-        rare = np.argsort(high - low, kind="stable")[: len(s) - -(-len(s) * percent // 100) + 1]
-        found = {int(y) for a, b in zip(low[rare].tolist(), high[rare].tolist(), strict=True) for y in owner[a:b].tolist()}
-        for y in sorted(found):
+        for k in index.near(sets[x]).tolist():
+            y = others[k]
             a, b = root(label[x]), root(label[y])
-            if a != b and near(s, sets[y], percent):
+            if a != b:
                 up[a] = b
                 out.append((x, y))
     return out
