@@ -46,7 +46,7 @@ def crossings(segs: DataFrame, key: list[str], size: float) -> DataFrame:
     j = a.join(b, meet).select(
         F.col("a.id").alias("ia"), F.col("b.id").alias("ib"), *(v.alias(f"{n}{c}") for n, e in (("a", A), ("b", B)) for c, v in e.items()),
         (dx * ey - dy * ex).alias("den"), (rx * ey - ry * ex).alias("nt"), (rx * dy - ry * dx).alias("ns"), dx.alias("dx"), dy.alias("dy"), ex.alias("ex"), ey.alias("ey"))
-    j = j.withColumns({"t": F.when(F.col("den") != 0, F.col("nt") / F.col("den")), "s": F.when(F.col("den") != 0, F.col("ns") / F.col("den"))})
+    j = j.withColumns({"t": F.try_divide("nt", "den"), "s": F.try_divide("ns", "den")})
     apart = j.where("den != 0 and t between 0 and 1 and s between 0 and 1")
     at = lambda c: F.when(F.col("s") == 0, F.col(f"b{c}0")).when(F.col("s") == 1, F.col(f"b{c}1")).when(F.col("t") == 0, F.col(f"a{c}0")).when(F.col("t") == 1, F.col(f"a{c}1")).otherwise(F.col(f"a{c}0") + F.col("t") * F.col(f"d{c}"))
     apart = apart.withColumns({"x": at("x"), "y": at("y")})

@@ -39,6 +39,9 @@ SQL = {
         cx + k * 7 % 41 + k * 17 % 160 - 60 + k * 29 % 140 - 80 as x2, cy + k * 13 % 37 + 3 * size - 40 + k * 31 % 120 - 30 as y2 from (select p_partkey as k, p_size as size, 60 * (p_partkey % 50) as cx, 60 * cast(floor(p_partkey / 50) as bigint) as cy,
         case p_partkey % 5 when 0 then 'residential' when 1 then 'primary' when 2 then 'footway' when 3 then 'motorway' else 'river' end as highway from {part})""",
     "wet_edges": "select e.edge_id, p.year from ({edges}) e join (select * from ({pixels}) q where code >= 2) p on p.px_row = cast(floor(e.k / 50) as bigint) % 200 and p.px_col = e.k % 50",
+    "extents": """select p_partkey as id, 2010 + p_partkey % 3 as year, p_partkey % 2 = 0 as bent, cast(60 * (p_partkey % 50) + p_size % 7 as double) as x, cast(60 * floor(p_partkey / 50) + p_partkey % 11 as double) as y, cast(10 + 3 * p_size as double) as w, cast(20 + 2 * (p_partkey % 37) as double) as h from {part}""",
+    "ponds": "select id, x, y, w, h from ({footprints}) f where id % 7 = 0",
+    "outings": "select k, cast(100 * (k % 40) as double) as x, cast(100 * (cast(floor(k / 40) as bigint) % 40) as double) as y, cast(500 + k * 37 % 3000 as double) as preference from ({persons}) p",
     "homes": "select person_id, weight, (cast(floor(k / 40) as bigint) % 40) * 50 + k % 40 as place from ({persons}) p",
     "journeys": """select 10 * l_orderkey + l_linenumber as trip_id, l_orderkey * 37 % 86400 as depart_s, l_suppkey as origin, cast(500 * (l_suppkey % 10) as double) as ox, cast(500 * floor(l_suppkey / 10) as double) as oy,
         10 * l_partkey + l_linenumber as destination, cast(50 * (l_partkey % 50) + 20 * l_linenumber as double) as dx, cast(50 * floor(l_partkey / 50) + 130 * (l_linenumber % 3) as double) as dy from {lineitem}""",
