@@ -1,20 +1,32 @@
 """Operators on whole tables: joins, groupings, windows. Every one is a function from DataFrames to a DataFrame."""
 
+import re
 import tempfile
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions import values as V
 
 
-def held(rows: DataFrame) -> DataFrame:
-    """rows without their lineage, in the cluster's checkpoint folder (a temporary one where none is set, as in tests)."""
-    context = rows.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in local mode, else an error."""
+    context = spark.sparkContext
+    path = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir is to name a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="tidelens-")
     if not context.getCheckpointDir():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidelens-"))
+        context.setCheckpointDir(path)
+    return path
+
+
+def held(rows: DataFrame) -> DataFrame:
+    """rows without their lineage, in the folder that driver and executors share."""
+    shared_folder(rows.sparkSession)
     return rows.checkpoint()
 
 
@@ -267,7 +279,9 @@ def movement(edges: DataFrame, states: DataFrame) -> DataFrame:
 def edge_states(edges: DataFrame, times: DataFrame, thresholds: dict[int, tuple[float, float, float, float]]) -> DataFrame:
     """State of each edge, time and mode from its greatest depth: thresholds are those of speed_factor by mode."""
     modes = F.explode(F.array(*(F.lit(m) for m in thresholds))).alias("mode")
-    e = edges.select("*", modes).join(F.broadcast(times)).withColumn("depth_m", F.col("max_depth_m") * F.col("multiplier"))
+    # times of a scenario are steps of one flood; as one array they go to every edge, whatever their number
+    steps = times.agg(F.sort_array(F.collect_list(F.struct(*times.columns)))).scalar()
+    e = edges.select("*", modes).withColumn("_t", F.explode(steps)).select(*edges.columns, "mode", "_t.*").withColumn("depth_m", F.col("max_depth_m") * F.col("multiplier"))
     factor = F.lit(None).cast("double")
     closing = F.lit(None).cast("double")
     for m, t in thresholds.items():
