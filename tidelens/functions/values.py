@@ -1,5 +1,7 @@
 """Column expressions on single values: draws, ids, grids, projections, texts, rules."""
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +23,26 @@ def normal(seed: int, stream: str, key: Column) -> Column:
     return F.sqrt(-2 * F.log(1 - u)) * F.cos(2 * F.pi() * v)
 
 
+def poisson(seed: int, stream: str, key: Column, mean: float) -> Column:
+    """A Poisson draw of a small mean: how many steps of the distribution lie at or below a uniform draw."""
+    u, term, total, n, out = uniform(seed, stream, key), math.exp(-mean), 0.0, 0, F.lit(0)
+    while n < mean or term > 2.0**-54:
+        total += term
+        out = out + (u >= F.lit(total)).cast("int")
+        n += 1
+        term *= mean / n
+    return out
+
+
+def categorical(seed: int, stream: str, key: Column, shares: list[tuple[str, float]]) -> Column:
+    """One of the values by their shares, which add up to 1."""
+    u, total, out = uniform(seed, stream, key), 0.0, None
+    for value, share in shares[:-1]:
+        total += share
+        out = F.when(u < F.lit(total), value) if out is None else out.when(u < F.lit(total), value)
+    return F.lit(shares[-1][0]) if out is None else out.otherwise(shares[-1][0])
+
+
 def stable_id(prefix: str, n: int, *parts: Column) -> Column:
     """prefix and n hex digits of a hash of parts."""
     return F.concat(F.lit(prefix), F.substring(F.sha2(F.concat_ws("|", *(p.cast("string") for p in parts)), 256), 1, n))
@@ -126,6 +148,12 @@ def _series() -> tuple[float, list[float], list[float]]:
     return radius, forth, back
 
 
+def _latitudes() -> list[float]:
+    """Coefficients from the conformal to the geographic latitude, to fourth order."""
+    n = FLAT / (2 - FLAT)
+    return [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
+
+
 def to_utm(lon: Column, lat: Column) -> tuple[Column, Column]:
     """Metres east and north in UTM zone 47 N."""
     radius, forth, _ = _series()
@@ -142,13 +170,11 @@ def to_utm(lon: Column, lat: Column) -> tuple[Column, Column]:
 def from_utm(x: Column, y: Column) -> tuple[Column, Column]:
     """Longitude and latitude of metres in UTM zone 47 N."""
     radius, _, back = _series()
-    n = FLAT / (2 - FLAT)
     xi0, eta0 = y / (K0 * radius), (x - E0) / (K0 * radius)
     xi = xi0 - sum((b * F.sin(2 * j * xi0) * F.cosh(2 * j * eta0) for j, b in enumerate(back, 1)), F.lit(0.0))
     eta = eta0 - sum((b * F.cos(2 * j * xi0) * F.sinh(2 * j * eta0) for j, b in enumerate(back, 1)), F.lit(0.0))
     chi = F.asin(F.sin(xi) / F.cosh(eta))
-    delta = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
-    lat = chi + sum((d * F.sin(2 * j * chi) for j, d in enumerate(delta, 1)), F.lit(0.0))
+    lat = chi + sum((d * F.sin(2 * j * chi) for j, d in enumerate(_latitudes(), 1)), F.lit(0.0))
     return LON0 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi))), F.degrees(lat)
 
 

@@ -154,7 +154,7 @@ def shift_null(blocks: DataFrame, score: str, label: str, n: int = 999, seed: in
     """
     i0, j0, nx, ny = sides(blocks)
     known = held(blocks.where(F.col(label).isin(0, 1)).select((F.col("bi") - i0).alias("i"), (F.col("bj") - j0).alias("j"), F.col(score).alias("score"), F.col(label).alias("label")))
-    draws = blocks.sparkSession.range(1, max(nx * ny, 1)).orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n)
+    draws = blocks.sparkSession.range(1, max(nx * ny, 1)).orderBy(V.uniform(seed, "shift", F.col("id")), "id").limit(n)
     draws = held(draws.select(F.col("id").alias("shift"), F.floor(F.col("id") / max(ny, 1)).alias("di"), (F.col("id") % max(ny, 1)).alias("dj")))
     moved = known.select("i", "j", "label").crossJoin(F.broadcast(draws)).select(F.pmod(F.col("i") + F.col("di"), F.lit(max(nx, 1))).alias("i"), F.pmod(F.col("j") + F.col("dj"), F.lit(max(ny, 1))).alias("j"), "shift", "label")
     null = auc(moved.join(known.select("i", "j", "score"), ["i", "j"]), ["shift"], "score", "label").where("auc is not null")
@@ -333,3 +333,24 @@ def components(edges: DataFrame) -> DataFrame:
         label = new.select("node", "component")
         if new.where("component != old").isEmpty():
             return label
+
+
+def largest_component(edges: DataFrame) -> DataFrame:
+    """(node, component, size, largest) of edges (u, v): largest is the component of most nodes, of equal ones that of the least node."""
+    of = held(components(edges))
+    sizes = of.groupBy("component").agg(F.count("*").alias("size"))
+    top = sizes.agg(F.min_by("component", F.struct(-F.col("size"), "component"))).scalar()
+    return of.join(sizes, "component").select("node", "component", "size", (F.col("component") == top).alias("largest"))
+
+
+def ordered_digest(rows: DataFrame, key: str, *values: str, bits: int = 12) -> DataFrame:
+    """One row (rows, digest) of rows in the order of key (a non-negative number, 48 bits) with their values, whatever their partitions.
+
+    Row hashes are joined in order by runs of 2^bits keys, run digests by runs of 2^bits runs, and so on, so no group holds more
+    than that many (where keys repeat: more, ties by hash).
+    """
+    at = rows.select(F.col(key).cast("long").alias("k"), F.sha2(F.concat_ws("|", F.col(key).cast("string"), *(F.col(v).cast("string") for v in values)), 256).alias("h"))
+    n = rows.agg(F.count("*")).scalar()
+    for _ in range(48 // bits):
+        at = at.groupBy(F.shiftright("k", bits).alias("k")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
+    return at.select(n.alias("rows"), F.col("h").alias("digest"))

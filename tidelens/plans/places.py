@@ -148,7 +148,7 @@ query("a46_persistence", "select sensor_id, coalesce(peak, -1.0::double) as pers
     lambda t: T.window_tally(t.readings, t.schedule, "sensor_id", "depth_m", C("ts") < F.expr("timestamp '2024-01-10 00:00:00'")).select("sensor_id", F.coalesce("peak", L(-1.0)).alias("persistence")))
 query("a57_worst_year", "select code, arg_max(year, (n, -year)) as worst, max(n) - min(n) as spread from (select year, code, count(*) as n from {pixels} group by 1, 2) group by 1")(
     lambda t: t.pixels.groupBy("year", "code").agg(F.count("*").alias("n")).groupBy("code").agg(F.max_by("year", F.struct("n", -C("year"))).alias("worst"), (F.max("n") - F.min("n")).alias("spread")))
-query("a60_mesh_conservation", "select time_s, 0::double as gap from (select unnest(range(0, 144)) * 600 as time_s, * from {activities}) where time_s >= start_s and time_s < end_s group by 1")(
+query("a60_mesh_conservation", "with a as (select unnest(range(0, 144)) * 600 as time_s, * from {activities} where start_s < 86400), n as (select * from a where time_s >= start_s and time_s < end_s), m as (select time_s, sum(w) as a from (select time_s, place, sum(weight) as w from (select time_s, user_id, arg_max(place, (start_s, event_id)) as place, arg_max(weight, (start_s, event_id)) as weight from n group by 1, 2) group by 1, 2) group by 1), u as (select time_s, sum(w) as b from (select time_s, user_id, max(weight) as w from n group by 1, 2) group by 1) select time_s, round(abs(a - b), 6) as gap from m join u using (time_s)")(
     lambda t: T.presence(t.activities.where("start_s < 86400"), "user_id", "place", "start_s", "end_s", "weight", 600, "event_id").where("time_s < 86400").groupBy("time_s").agg(F.sum("total").alias("a")).join(
         t.activities.where("start_s < 86400").select("user_id", "weight", "start_s", "end_s", F.explode(F.sequence(L(0).cast("long"), L(85800).cast("long"), L(600).cast("long"))).alias("time_s")).where("time_s >= start_s and time_s < end_s").groupBy("time_s", "user_id").agg(F.max("weight").alias("w")).groupBy("time_s").agg(F.sum("w").alias("b")), "time_s").select("time_s", F.round(F.abs(C("a") - C("b")), 6).alias("gap")))
 
@@ -168,7 +168,10 @@ query("g03_edge_depths", "select edge_id, max(depth_m) as max_depth_m, round(avg
     lambda t: t.edges.select("edge_id", F.explode(F.array("u", "v")).alias("n")).join(t.slices.where("time_s = 68400"), C("cell_id") == F.concat(L("c"), C("n").cast("string"))).groupBy("edge_id").agg(F.max("depth_m").alias("max_depth_m"), F.round(F.avg("depth_m"), 6).alias("mean_depth_m")))
 query("g12_grid", "select i as gx, j as gy from range((select floor(max(x + w) / 500)::bigint + 1 from {footprints})) a(i) cross join range((select floor(max(y + h) / 500)::bigint + 1 from {footprints})) b(j)")(
     lambda t: t.footprints.agg(F.floor(F.max(C("x") + C("w")) / 500).alias("nx"), F.floor(F.max(C("y") + C("h")) / 500).alias("ny")).select(F.explode(F.sequence(L(0).cast("long"), C("nx"))).alias("gx"), "ny").select("gx", F.explode(F.sequence(L(0).cast("long"), C("ny"))).alias("gy")))
-@query("n08_cut_off_reason")
+@query("n08_cut_off_reason", f"""with recursive walk as (select e.u, e.v from {{edges}} e join (select edge_id from {STATES} where mode = 0 and time_s = 68400 and not ({CLOSED})) s using (edge_id) where walk_allowed), adj as (select u as a, v as b from walk union select v, u from walk),
+c(node, component) using key (node) as (select distinct a, a from adj union select m.b, m.component from (select adj.b, min(c.component) as component from c join adj on adj.a = c.node group by 1) m join recurring.c k on k.node = m.b where m.component < k.component),
+t as (select trip_id, person % n as a, trip_id % n as b from {{trips}}, (select max(greatest(u, v)) + 1 as n from {{edges}}))
+select trip_id, case when x.node is null then 'origin' when y.node is null then 'destination' when x.component <> y.component then 'no_path' end as reason from t left join c x on x.node = a left join c y on y.node = b""")
 def _(t):
     """Trips run from nodes of the edges, dealt by person and trip over all of them; closed roads may leave an end out, or the ends apart."""
     open_ = t.edges.where("walk_allowed").join(states(t).where("mode = 0 and time_s = 68400 and not closed").select("edge_id"), "edge_id").select("u", "v")

@@ -4,7 +4,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidelens.functions import values as V
-from tidelens.plans.catalog import C, L, query, r6
+from tidelens.operators import tables as T
+from tidelens.plans import places  # noqa: F401 (its checks come before the report of all)
+from tidelens.plans.catalog import ORACLES, C, L, query, r6
 
 CORNERS = ((0.5, 0.5), (0, 0), (1, 0), (1, 1), (0, 1))
 
@@ -14,12 +16,8 @@ query("s16_latest_holding", "select o_orderstatus, arg_max(o_orderkey, (o_orderd
     lambda t: t.orders.groupBy("o_orderstatus").agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest")))
 
 
-@query("s23_table_digest", "select count(*) as buckets, sha256(string_agg(d, '' order by b)) as digest from (select b, sha256(string_agg(h, '' order by h)) as d from (select o_orderkey % 64 as b, sha256(concat_ws('|', o_orderkey::varchar, o_custkey::varchar)) as h from orders) group by 1)")
-def _(t):
-    """Row hashes are digested by bucket and the buckets' digests once more, so no task holds all rows of a large table's key range."""
-    rows = t.orders.select((C("o_orderkey") % 64).alias("b"), F.sha2(F.concat_ws("|", C("o_orderkey").cast("string"), C("o_custkey").cast("string")), 256).alias("h"))
-    buckets = rows.groupBy("b").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"))
-    return buckets.agg(F.count("*").alias("buckets"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+S23 = "with h0 as (select o_orderkey as k, sha256(concat_ws('|', o_orderkey::varchar, o_custkey::varchar, o_totalprice::varchar)) as h from orders), " + ", ".join(f"h{n} as (select k >> 12 as k, sha256(string_agg(h, '' order by k, h)) as h from h{n - 1} group by 1)" for n in range(1, 5)) + " select (select count(*) from orders) as rows, h as digest from h4"
+query("s23_table_digest", S23)(lambda t: T.ordered_digest(t.orders, "o_orderkey", "o_custkey", "o_totalprice"))
 
 
 # --- joins ------------------------------------------------------------------------------------------------------------
@@ -39,3 +37,6 @@ query("a56_case_shares", "select dest_id as case_id, sum(weight) as weight, " +
 query("g05_building_exposure", "select id, max(depth_m) as depth_m, coalesce(max(depth_m) >= 0.15, false) as flooded from (select id, floor((x + a * w) / 50) * 50 as cx, floor((y + b * h) / 50) * 50 as cy from {footprints} cross join (values (0.5, 0.5), (0, 0), (1, 0), (1, 1), (0, 1)) v(a, b)) left join (select x, y, depth_m from {slices} where time_s = 68400) s on s.x = cx and s.y = cy group by 1")(
     lambda t: t.footprints.select("id", F.explode(F.array(*(F.struct((F.floor((C("x") + a * C("w")) / 50) * 50).cast("double").alias("x"), (F.floor((C("y") + b * C("h")) / 50) * 50).cast("double").alias("y")) for a, b in CORNERS))).alias("p")).select("id", "p.*").join(
         t.slices.where("time_s = 68400").select("x", C("y").cast("double").alias("y"), "depth_m"), ["x", "y"], "left").groupBy("id").agg(F.max("depth_m").alias("depth_m")).withColumn("flooded", F.coalesce(C("depth_m") >= 0.15, L(False))))
+
+# --- checks: the report of all of them ----------------------------------------------------------------------------------
+ORACLES["q16_report"] = " union all by name ".join(f"select * from ({ORACLES[q]})" for q in sorted(ORACLES) if q.startswith("q"))
