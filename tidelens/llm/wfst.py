@@ -57,6 +57,10 @@ def segmenter(pieces: list[str]) -> Fst:
     return s
 
 
+#: For pieces of which nothing is known yet.
+NONE: dict[str, float] = {}
+
+
 class Transducer:
     """The composition of normaliser, segmenter into pieces with byte fallback, and neighbours, for BPE models without a character map.
 
@@ -77,6 +81,8 @@ class Transducer:
         self.score = {self.pieces[i]: p.get_score(i) for i in normal}
         self.ids = {self.pieces[i]: i for i in normal}
         self.normaliser, arcs_of = normaliser(), segmenter(list(self.ids)).arcs
+        # states that are never left and copy what has no arc: their output by character
+        self.loops = [{ord(c): output for c, ((output, _, _),) in arcs.items() if c} if OTHER in arcs and EPSILON not in arcs and all(to == k for ((_, _, to),) in arcs.values()) and arcs[OTHER][0][0] is OTHER else None for k, arcs in enumerate(self.normaliser.arcs)]
         # the segmenter's states for quick steps: (next states by character or None, piece that ends here or None, its weight)
         nodes: list[tuple[dict | None, str | None, float]] = [({} if len(arcs) > (EPSILON in arcs) else None, *next(((x, w) for x, w, _ in arcs.get(EPSILON, ())), (None, 0.0))) for arcs in arcs_of]
         for (onward, *_), arcs in zip(nodes, arcs_of, strict=True):
@@ -90,7 +96,8 @@ class Transducer:
         # SPACE never follows another character within a piece, so words are composed on their own
         self.apart = not any(x.endswith(SPACE) and x[0] != SPACE for x in inside)
         self.alone: dict[str, bool] = {}
-        self.beside: dict[tuple[str, str], float] = {}
+        self.beside: dict[str, dict[str, float]] = {}
+        self.sides = 0
         self.words: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
         self.back = {i: b for b, i in self.bytes_.items()}
@@ -107,14 +114,22 @@ class Transducer:
 
     def neighbours(self, a: str, b: str) -> float:
         """The weight of the arc from piece a ("": the start) to piece b."""
-        if (weight := self.beside.get((a, b))) is None:
-            if len(self.beside) > 400_000:
-                self.beside.clear()
+        after = self.beside.setdefault(a, {})
+        if (weight := after.get(b)) is None:
+            if self.sides > 400_000:
+                self.forget()
+                after = self.beside.setdefault(a, {})
             if (own := self.alone.get(b)) is None:
                 own = self.alone[b] = self.merged(b) == [b]
-            weight = self.beside[a, b] = 0.0 if own and (not a or self.side_by_side(a, b)) else INFINITE
+            weight = after[b] = 0.0 if own and (not a or self.side_by_side(a, b)) else INFINITE
+            self.sides += 1
         return weight
 
+    def forget(self) -> None:
+        """Drops what is known of pieces side by side."""
+        self.beside.clear()
+        self.sides = 0
+
     def side_by_side(self, a: str, b: str) -> bool:
         """Whether merging a + b gives a and b: no merge on the way crosses the place between them."""
         score, parts, edge = self.score.get, list(a + b), len(a)
@@ -152,7 +167,7 @@ class Transducer:
             at = -at
             if at == n:
                 break
-            before = best[at, a][0]
+            before, after = best[at, a][0], beside.get(a, NONE)
             onward, end, b = root, at, text[at]
             node = onward.get(b)
             if node is None or node[1] is None:
@@ -162,9 +177,9 @@ class Transducer:
                 end += 1
             while True:
                 if b is not None:
-                    beyond = beside.get((a, b))
+                    beyond = after.get(b)
                     if beyond is None:
-                        beyond = self.neighbours(a, b)
+                        beyond, after = self.neighbours(a, b), beside[a]
                     if beyond < INFINITE:
                         total = before + weight + beyond
                         state = (end, b)
@@ -187,7 +202,9 @@ class Transducer:
         while EPSILON in arcs[state]:
             output, _, state = arcs[state][EPSILON][0]
             out.append(output)
-        other = arcs[state][OTHER]
+        other = arcs[state].get(OTHER)
+        if (same := self.loops[state]) is not None:
+            return "".join(out) + text.translate(same)
         for c in text:
             (output, _, to), = arcs[state].get(c, other)
             if to != state:
@@ -279,7 +296,7 @@ def encode_documents(docs: DataFrame, model: str, ids: bool = True) -> DataFrame
                 columns.append(pa.array(coded, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
-        for known in (t.words, t.parts, t.beside):  # the worker keeps the transducer, not what this task's words took
+        for known in (t.words, t.parts):  # the worker keeps the transducer and its neighbours, not what this task's words took
             known.clear()
 
     small_batches(docs.sparkSession)
