@@ -126,8 +126,8 @@ class Bags:
 class Scorer:
     """What each word adds to the log odds, looked up by word, and the scores of texts by it."""
 
-    def __init__(self, lean: np.ndarray, constant: float, span: int, most: int = 500_000):
-        self.lean, self.constant, self.span, self.most = lean, constant, span, most
+    def __init__(self, lean: np.ndarray, constant: float, span: int, limit: float = 0.5, most: int = 500_000):
+        self.lean, self.constant, self.span, self.limit, self.most = lean, constant, span, limit, most
         self.place: dict[str, int] = {}
         self.sums, self.sizes = np.zeros(0), np.zeros(0, np.int64)
 
@@ -138,18 +138,18 @@ class Scorer:
         self.sizes = np.concatenate([self.sizes, n])
 
     def scores(self, texts: list[str | None]) -> list[float]:
-        """The probability of class 1 of each text's highest stretch; without words, that of the constant."""
+        """The probability of class 1 of each text's highest stretch, moved so that limit becomes a half; without words, that of the constant."""
         if len(self.place) > self.most:
-            self.__init__(self.lean, self.constant, self.span, self.most)
+            self.__init__(self.lean, self.constant, self.span, self.limit, self.most)
         split = [words_of(t) for t in texts]
         new = {w for words in split for w in words}.difference(self.place)
         if new:
             self._add(list(new))
-        out = []
+        out, moved = [], float(np.log((1 - self.limit) / self.limit))
         for words in split:
             at = np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))
             first = np.arange(0, len(at), self.span)
-            best = (np.add.reduceat(self.sums[at], first) / np.add.reduceat(self.sizes[at], first)).max() if len(at) else 0.0
+            best = (np.add.reduceat(self.sums[at], first) / np.add.reduceat(self.sizes[at], first)).max() + moved if len(at) else 0.0
             out.append(float(best) + self.constant)
         return (1 / (1 + np.exp(-np.clip(out, -60, 60)))).tolist()
 
@@ -183,13 +183,23 @@ def fit(rows: list, buckets: int, dims: int, span: int, epochs: int, blind: int,
     return model
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 3000, buckets: int = 1 << 16, dims: int = 16, span: int = 8, epochs: int = 14, blind: int = 6, rate: float = 0.2, seed: int = 3) -> DataFrame:
+def averaged(rows: list, models: int, buckets: int, dims: int, span: int, epochs: int, blind: int, rate: float, seed: int) -> tuple[np.ndarray, float] | None:
+    """What rows add and the constant, as means of several classifiers of the same rows from other seeds; None without rows of both kinds."""
+    made = [fit(rows, buckets, dims, span, epochs, blind, rate, seed + k) for k in range(models)]
+    if made[0] is None:
+        return None
+    lean, constant = zip(*(m.lean() for m in made), strict=True)
+    return np.mean(lean, axis=0), float(np.mean(constant))
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 3000, buckets: int = 1 << 16, dims: int = 16, span: int = 8, epochs: int = 10, blind: int = 6, rate: float = 0.4, seed: int = 3, models: int = 4, limit: float = 0.2) -> DataFrame:
     """(doc_id, held_out, score, predicted) of docs (doc_id, text) for toxicity, learned from labels (doc_id, toxic).
 
     A word is an average of rows of a table of embeddings, one for itself and each of its character runs, so a misspelling
     shares most of a word's rows. A stretch of span words averages the rows of its words; a linear softmax gives its log
-    odds; a text scores as its highest stretch, whole texts being read: words of more than 40 characters in overlapping
-    pieces. An empty or null text scores as an empty average; of equal stretches any gives the score.
+    odds, a mean of several such classifiers of other seeds; a text scores as its highest stretch, whole texts being read: words of more
+    than 40 characters in overlapping pieces. Scores are moved so that the probability limit becomes 0.5: it is above that of words that were
+    never seen, and was chosen on an inner split of training rows. An empty or null text scores as an empty average; of equal stretches any gives the score.
 
     The classifier is fitted on a bounded sample of the labelled rows not held out: as many toxic as other ones, sample in
     all, those of least hash of doc_id, their texts whole. Labels that are null take no part; of several labels of a doc_id the toxic one
@@ -199,12 +209,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, sample: int = 3000, bucke
     spark = docs.sparkSession
     small_batches(spark)
     d = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    model = fit(drawn(d, labels, sample), buckets, dims, span, epochs, blind, rate, seed)
-    shared = spark.sparkContext.broadcast(model and model.lean())
+    shared = spark.sparkContext.broadcast(averaged(drawn(d, labels, sample), models, buckets, dims, span, epochs, blind, rate, seed))
     key = uuid.uuid4().hex
 
     def run(batches):
-        scorer = kept(("toxicity", key), lambda: Scorer(*shared.value, span)) if shared.value else None
+        scorer = kept(("toxicity", key), lambda: Scorer(*shared.value, span, limit)) if shared.value else None
         for b in batches:
             scores = scorer.scores(b.column("text").to_pylist()) if scorer else [0.0] * len(b)
             columns = [b.column("doc_id"), b.column("held_out"), pa.array(scores, pa.float64()), pa.array([int(x >= 0.5) for x in scores], pa.int32())]
