@@ -354,3 +354,30 @@ def ordered_digest(rows: DataFrame, key: str, *values: str, bits: int = 12) -> D
     for _ in range(48 // bits):
         at = at.groupBy(F.shiftright("k", bits).alias("k")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
     return at.select(n.alias("rows"), F.col("h").alias("digest"))
+
+
+def denominators(parts: dict[str, DataFrame], whole: str, key: str, weight: str) -> DataFrame:
+    """(name, n, weight, share, holds) of named populations (key, weight): share of the whole's weight; holds: a part of it that weighs no more."""
+    named = None
+    for name, rows in parts.items():
+        one = rows.select(F.lit(name).alias("name"), key, weight)
+        named = one if named is None else named.unionByName(one)
+    known = parts[whole].select(F.col(key).alias("_k")).distinct()
+    judged = named.join(known, F.col(key) == F.col("_k"), "left")
+    total = parts[whole].agg(F.sum(weight)).scalar()
+    g = judged.groupBy("name").agg(F.count("*").alias("n"), F.sum(weight).alias(weight), F.count_if(F.col("_k").isNull()).alias("_out"))
+    return g.select("name", "n", weight, V.ratio(F.col(weight), total).alias("share"), ((F.col("_out") == 0) & (F.col(weight) <= total)).alias("holds"))
+
+
+def page(rows: DataFrame, key: str, after, n: int) -> DataFrame:
+    """The first n of rows whose key is beyond after, in order, each with next_after, the last one's key; null if the page is the last."""
+    ahead = held(rows.where(F.col(key) > F.lit(after)).orderBy(key).limit(n + 1))
+    last = ahead.agg(F.when(F.count("*") > n, F.get(F.sort_array(F.collect_list(key)), F.lit(n - 1)))).scalar()  # of n + 1 rows
+    return ahead.orderBy(key).limit(n).withColumn("next_after", last)
+
+
+def common(a: DataFrame, b: DataFrame, layer: str) -> DataFrame:
+    """(layer, k): the keys that both have; one row without a key where none is common."""
+    both = held(a.intersect(b))
+    none = a.sparkSession.range(1 if both.isEmpty() else 0).select(F.lit(None).cast(both.schema["k"].dataType).alias("k"))
+    return both.unionByName(none).select(F.lit(layer).alias("layer"), "k")

@@ -207,8 +207,24 @@ query("a18_within_minutes", "select sum(weight) filter (event_time_s - 64800 <=
 query("a19_state_shares", "select state, count(*) as n, sum(weight) as weight, round(sum(weight) / (select sum(weight) from {states}), 6) as share from {states} group by 1")(lambda t: T.shares(t.states, "state", "weight").withColumn("share", F.round("share", 6)))
 query("a20_reason_weights", "select reason, sum(weight) as weight from {states} where reason is not null group by 1")(lambda t: t.states.where("reason is not null").groupBy("reason").agg(F.sum("weight").alias("weight")))
 query("a21_traversals", "select dest_id as edge, sum(weight) as weight from {states} where state = 'arrived' group by 1")(lambda t: t.states.where("state = 'arrived'").groupBy(C("dest_id").alias("edge")).agg(F.sum("weight").alias("weight")))
-query("a22_denominators", "select 'full' as name, count(*) as n, sum(weight) as weight from {persons} union all select 'sample', count(*), sum(weight) from {persons} where k % 4 = 0 union all select 'cohort', count(*), sum(weight) from {persons} where k % 8 = 0")(
-    lambda t: t.persons.select(F.explode(F.array_compact(F.array(L("full"), F.when(C("k") % 4 == 0, "sample"), F.when(C("k") % 8 == 0, "cohort")))).alias("name"), "weight").groupBy("name").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")))
+SIX = """d as (select 'full' as name, k, weight from {persons} union all select 'sample', k, weight from {persons} where k % 4 = 0 union all select 'present', k, weight from {persons} p where exists (select 1 from {activities} a where a.user_id = p.k and a.start_s <= 64800 and a.end_s > 64800)
+ union all select 'exposed', k, weight from {persons} p where exists (select 1 from {homes} h join {wet_edges} w on w.edge_id = concat('u', h.place::varchar) where h.person_id = p.person_id and w.year = 2010)
+ union all select 'cohort', k, weight from {persons} p where k % 4 = 0 and exists (select 1 from {homes} h join {wet_edges} w on w.edge_id = concat('u', h.place::varchar) where h.person_id = p.person_id and w.year = 2010)
+ union all select 'states', p.k, p.weight from {persons} p where exists (select 1 from {states} s where s.person = p.k))"""
+query("a22_denominators", f"with {SIX} select name, count(*) as n, sum(weight) as weight, round(sum(weight) / (select sum(weight) from {{persons}}), 6) as share, (select count(*) from d o where o.name = d.name and o.k not in (select k from {{persons}})) = 0 and sum(weight) <= (select sum(weight) from {{persons}}) as holds from d group by name")(
+    lambda t: denominators(t))
+
+
+def denominators(t: Tables) -> DataFrame:
+    """Rows and weights of six populations, their shares of all, and whether each is part of all and weighs no more."""
+    p = t.persons.select("k", "person_id", "weight")
+    here = t.activities.where("start_s <= 64800 and end_s > 64800").select(C("user_id").alias("k"))
+    wet = t.wet_edges.where("year = 2010").select("edge_id")
+    exposed = t.homes.select("person_id", F.concat(L("u"), C("place").cast("string")).alias("edge_id")).join(wet, "edge_id", "left_semi").select("person_id")
+    parts = {"full": p, "sample": p.where("k % 4 = 0"), "present": p.join(here, "k", "left_semi"), "exposed": p.join(exposed, "person_id", "left_semi"), "cohort": p.where("k % 4 = 0").join(exposed, "person_id", "left_semi"), "states": p.join(t.states.select(C("person").alias("k")), "k", "left_semi")}
+    return T.denominators({n: d.select("k", "weight") for n, d in parts.items()}, "full", "k", "weight").select("name", "n", "weight", r6(C("share"), "share"), "holds")
+
+
 query("a24_conservation", "select round(abs(sum(weight) - (select sum(l_quantity) from lineitem)), 6) as gap, count(*) filter (state not in ('arrived', 'shelter_in_place', 'unreachable', 'refuge_full')) as bad from {states}")(
     lambda t: t.states.agg(F.round(F.abs(F.sum("weight") - t.lineitem.agg(F.sum("l_quantity")).scalar()), 6).alias("gap"), F.count_if(~C("state").isin("arrived", "shelter_in_place", "unreachable", "refuge_full")).alias("bad")))
 query("a25_band_summary", "select band, count(*) as n, round(avg(s), 6) as mean, count(*) filter (s is null) as nulls, min(s) as low, quantile_cont(s, 0.5) as median, max(s) as high from (select p_size / 50::double as s, case when p_size >= 37.5 then 'very_high' when p_size >= 25 then 'high' when p_size >= 12.5 then 'moderate' else 'low' end as band from part) group by 1")(
@@ -311,12 +327,14 @@ query("t01_top_edges", "select dest_id, sum(weight) as weight from {states} grou
 query("t02_largest_footprints", "select id, w * h as area from {footprints} order by 2 desc, 1 limit 3")(lambda t: t.footprints.select("id", (C("w") * C("h")).alias("area")).orderBy(C("area").desc(), "id").limit(3))
 query("t04_wettest_cells", "select cell_id, max(depth_m) as depth_m from {slices} group by 1 order by 2 desc, 1 limit 20")(lambda t: t.slices.groupBy("cell_id").agg(F.max("depth_m").alias("depth_m")).orderBy(C("depth_m").desc(), "cell_id").limit(20))
 query("t05_highest_risk", "select p_partkey, p_size from part order by p_size desc, p_partkey limit 25")(lambda t: t.part.orderBy(C("p_size").desc(), "p_partkey").select("p_partkey", "p_size").limit(25))
-query("t06_keyset_page", "select p_partkey from part where p_partkey > 50 order by 1 limit 31")(lambda t: t.part.where("p_partkey > 50").orderBy("p_partkey").select("p_partkey").limit(31))
+query("t06_keyset_page", "with p as (select p_partkey, row_number() over (order by p_partkey) as r from part where p_partkey > 50) select p_partkey, case when (select count(*) from p) > 30 then (select p_partkey from p where r = 30) end as next_after from p where r <= 30")(
+    lambda t: T.page(t.part.select("p_partkey"), "p_partkey", 50, 30))
 query("t07_thinned", "select id from (select id, row_number() over (partition by floor(x / 1000), floor(y / 1000) order by id) as r from {footprints}) where r = 1")(
     lambda t: T.ranked(t.footprints.withColumns({"bx": F.floor(C("x") / 1000), "by": F.floor(C("y") / 1000)}), ["bx", "by"], [C("id")]).select("id"))
 query("t08_newest", "select arg_max(o_orderkey, (o_orderdate, o_orderkey)) as newest from orders")(lambda t: t.orders.agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("newest")))
 query("u01_union_layers", "select edge_id as id from {edges} union all select cell_id from {slices}")(lambda t: t.edges.select(C("edge_id").alias("id")).unionByName(t.slices.select(C("cell_id").alias("id"))))
-query("u03_common_ids", "select c_custkey as k from customer intersect select o_custkey from orders")(lambda t: t.customer.select(C("c_custkey").alias("k")).intersect(t.orders.select("o_custkey")))
+query("u03_common_ids", "with c as (select c_custkey as k from customer intersect select o_custkey from orders), n as (select c_custkey as k from customer intersect select -o_custkey - 1 from orders) select 'orders' as layer, k from c union all select 'none', null where not exists (select 1 from n)")(
+    lambda t: T.common(t.customer.select(C("c_custkey").alias("k")), t.orders.select(C("o_custkey").alias("k")), "orders").unionByName(T.common(t.customer.select(C("c_custkey").alias("k")), t.orders.select((-C("o_custkey") - 1).alias("k")), "none")))
 query("u04_missing_orphans", "select 'missing' as kind, count(*) as n from customer where c_custkey not in (select o_custkey from orders) union all select 'orphan', count(*) from orders where o_custkey not in (select c_custkey from customer)")(
     lambda t: t.customer.join(t.orders, C("c_custkey") == C("o_custkey"), "left_anti").agg(L("missing").alias("kind"), F.count("*").alias("n")).unionByName(t.orders.join(t.customer, C("c_custkey") == C("o_custkey"), "left_anti").agg(L("orphan").alias("kind"), F.count("*").alias("n"))))
 query("u05_first_of_key", "select user_id, min(event_id) as event_id, count(*) - 1 as repeats from events group by 1")(lambda t: t.events.groupBy("user_id").agg(F.min("event_id").alias("event_id"), (F.count("*") - 1).alias("repeats")))
