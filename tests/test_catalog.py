@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tidelens.functions import values as V
 from tidelens.operators import places as P
 from tidelens.operators import tables as T
-from tidelens.plans import areas, catalog, network, places, records, registry, runs  # noqa: F401
+from tidelens.plans import areas, catalog, network, people, places, records, registry, runs  # noqa: F401
 from tidelens.sources.derived import Tables
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
