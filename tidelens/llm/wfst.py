@@ -222,12 +222,12 @@ class Transducer:
         return [text[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
     def composed(self, text: str, state: int) -> tuple[int, ...]:
-        """The ids of a stretch of text, the normaliser being in a state. It is cut where no piece crosses."""
-        split = self.split(self.normal(text, state))
-        if len(split) == 1:
-            return self.ids_of(split[0])
+        """The ids of a stretch of text, the normaliser being in a state. A long one is cut where no piece crosses."""
+        text = self.normal(text, state)
+        if len(text) <= 24:
+            return self.ids_of(text)
         out: list[int] = []
-        for part in split:
+        for part in self.split(text):
             found = self.parts.get(part)
             if found is None:
                 found = self.ids_of(part)
