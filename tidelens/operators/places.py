@@ -8,9 +8,9 @@ from tidelens.operators.tables import components, held, nearest
 
 
 def buckets(rows: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> DataFrame:
-    """rows once for each bucket (bx, by) that a box touches."""
+    """rows once for each bucket (bx, by) that a box touches. Joins on them shuffle: Spark's estimate does not know how many rows there are, so it would broadcast them."""
     span = lambda a, b: F.explode(F.sequence(F.floor(a / size), F.floor(b / size)))
-    return rows.withColumn("bx", span(x0, x1)).withColumn("by", span(y0, y1))
+    return rows.withColumn("bx", span(x0, x1)).withColumn("by", span(y0, y1)).hint("merge")
 
 
 def nearest_any(points: DataFrame, others: DataFrame, size: float, point_id: str, other_id: str) -> DataFrame:

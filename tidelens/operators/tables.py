@@ -252,7 +252,7 @@ def nearest(points: DataFrame, others: DataFrame, size: float, point_id: str, ot
     near = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
     o = others.select(F.col(other_id).alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), near.alias("n")).select("other", "ox", "oy", (F.floor(F.col("ox") / size) + F.col("n.i")).alias("bx"), (F.floor(F.col("oy") / size) + F.col("n.j")).alias("by"))
     p = points.withColumns({"bx": cell("x"), "by": cell("y")})
-    j = p.join(o, ["bx", "by"], "left").withColumn("d", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")))
+    j = p.join(o.hint("merge"), ["bx", "by"], "left").withColumn("d", F.hypot(F.col("x") - F.col("ox"), F.col("y") - F.col("oy")))
     best = j.groupBy(point_id).agg(F.min(F.when(F.col("d") <= size, F.struct("d", "other"))).alias("b"))
     return best.select(point_id, F.col("b.other").alias("other"), F.col("b.d").alias("d"))
 
