@@ -77,14 +77,14 @@ def union_areas(shapes: DataFrame, group: list[str], size: float) -> DataFrame:
     sloped = s.where("x1 > x0").withColumn("m", slope).withColumn("c", F.col("y0") - F.col("m") * F.col("x0"))
     corners = s.select(*place, F.explode(F.array("x0", "x1")).alias("x"))
     border = sloped.where("m != 0").select(*place, "x0", "x1", F.explode(F.array(*(F.try_divide(edge - F.col("c"), F.col("m")) for edge in (south, south + size)))).alias("x")).where("x > x0 and x < x1").select(*place, "x")
-    a, b = sloped.alias("a"), sloped.alias("b")
+    a, b = sloped.alias("a"), sloped.hint("merge").alias("b")
     meet = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in group] + [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("bx", "by")] + [F.col("a.m") < F.col("b.m")]
     cross = a.join(b, meet).select(*(F.col(f"a.{c}") for c in place), F.try_divide(F.col("b.c") - F.col("a.c"), F.col("a.m") - F.col("b.m")).alias("x"), F.greatest("a.x0", "b.x0").alias("lo"), F.least("a.x1", "b.x1").alias("hi")).where("x > lo and x < hi").select(*place, "x")
     frame = s.select(*place).distinct().select(*place, F.explode(F.array(west, west + size)).alias("x"))
     breaks = corners.unionByName(border).unionByName(cross).where((F.col("x") > west) & (F.col("x") < west + size)).unionByName(frame).distinct()
     slabs = breaks.withColumn("next", F.lead("x").over(Window.partitionBy(*place).orderBy("x"))).where("next > x")
     slabs = slabs.select(*place, F.col("x").alias("left"), (F.col("next") - F.col("x")).alias("width"), ((F.col("x") + F.col("next")) / 2).alias("mid"))
-    p, q = slabs.alias("p"), sloped.alias("q")
+    p, q = slabs.alias("p"), sloped.hint("merge").alias("q")
     same = [F.col(f"p.{c}").eqNullSafe(F.col(f"q.{c}")) for c in group] + [F.col(f"p.{c}") == F.col(f"q.{c}") for c in ("bx", "by")]
     hits = p.join(q, [*same, F.col("q.x0") < F.col("p.mid"), F.col("q.x1") > F.col("p.mid")]).select(*(F.col(f"p.{c}") for c in place), "left", "width", "id", (F.col("q.m") * F.col("mid") + F.col("q.c")).alias("y"))
     up = Window.partitionBy(*place, "left", "id").orderBy("y")
