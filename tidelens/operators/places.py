@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions import values as V
-from tidelens.operators.tables import components, held, nearest
+from tidelens.operators.tables import components, held
 
 
 def buckets(rows: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, size: float) -> DataFrame:
@@ -13,25 +13,60 @@ def buckets(rows: DataFrame, x0: Column, y0: Column, x1: Column, y1: Column, siz
     return rows.withColumn("bx", span(x0, x1)).withColumn("by", span(y0, y1)).hint("merge")
 
 
+def closest(points: DataFrame, things: DataFrame, key: str, name: str, distance: Column, size: float) -> DataFrame:
+    """(key, d, name): for each of points (key, x, y) the nearest of things (name, lx, ly, hx, hy: its box, and what distance needs), at any distance; ties by name.
+
+    Things lie in cells of size metres by their lower corner, cells in ever larger ones, 4 by 4 in one, each with the box of all it holds. From the
+    few largest down, a point keeps the cells whose box may hold its nearest: each side of a box is touched by something, which bounds the
+    distance from above. So a point meets few cells of each level, however far its nearest is. All places have to be finite.
+    """
+    ends = ("lx", "ly", "hx", "hy")
+    t = held(things.withColumns({"cx": F.floor(F.col("lx") / size), "cy": F.floor(F.col("ly") / size)}))
+    box = [(F.min if c[0] == "l" else F.max)(c).alias(c) for c in ends]
+    levels = [held(t.groupBy("cx", "cy").agg(*box))]
+    while levels[-1].limit(17).count() > 16:
+        levels.append(held(levels[-1].groupBy(F.shiftright("cx", 2).alias("cx"), F.shiftright("cy", 2).alias("cy")).agg(*box)))
+
+    def bounded(rows: DataFrame) -> DataFrame:
+        """rows (key, x, y, most, cx, cy, box) that may hold the nearest; most: the square of what it is at most, with room for rounding."""
+        sq = lambda a: a * a
+        near, side, far = {}, {}, {}
+        for c in "xy":
+            at, low, high = F.col(c), F.col(f"l{c}"), F.col(f"h{c}")
+            near[c] = F.greatest(low - at, at - high, F.lit(0.0))
+            side[c], far[c] = F.least(F.abs(at - low), F.abs(at - high)), F.greatest(F.abs(at - low), F.abs(at - high))
+        most = F.least(sq(side["x"]) + sq(far["y"]), sq(side["y"]) + sq(far["x"])) * (1 + 1e-9)
+        r = rows.withColumns({"least": sq(near["x"]) + sq(near["y"]), "most": F.least("most", most)}).withColumn("most", F.min("most").over(Window.partitionBy(key)))
+        return r.where("least <= most").select(key, "x", "y", "most", "cx", "cy")
+
+    left = bounded(points.select(key, "x", "y", F.lit(float("inf")).alias("most")).crossJoin(F.broadcast(levels[-1])))
+    for k in range(len(levels) - 2, -1, -1):
+        inner = levels[k].select("*", F.shiftright("cx", 2).alias("px"), F.shiftright("cy", 2).alias("py")).hint("merge")
+        outer = left.select(key, "x", "y", "most", F.col("cx").alias("px"), F.col("cy").alias("py"))
+        left = held(bounded(outer.join(inner, ["px", "py"])))
+    best = left.join(t.hint("merge"), ["cx", "cy"]).groupBy(key).agg(F.min(F.struct(distance.alias("d"), name)).alias("b"))
+    return best.select(key, "b.d", f"b.{name}")
+
+
 def nearest_any(points: DataFrame, others: DataFrame, size: float, point_id: str, other_id: str) -> DataFrame:
     """(point_id, other, d): each point's nearest other at any distance, ties by id; none if there are no others.
 
-    Buckets double until every point has a match; only points without one go on. Points without finite
+    Each place is searched for once, however many points share it; of others at one place the least id counts. Points without finite
     coordinates match none, others without them are not matched.
     """
-    placed = F.col("x").isNotNull() & F.col("y").isNotNull() & (F.abs("x") < float("inf")) & (F.abs("y") < float("inf"))
-    others = held(others.select(other_id, "x", "y").where(placed))
-    points = points.select(point_id, "x", "y")
-    none = [F.lit(None).cast(others.schema[other_id].dataType).alias("other"), F.lit(None).cast("double").alias("d")]
+    placed = F.coalesce((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")), F.lit(False))
+    at = [F.col(c).cast("double").alias(c) for c in "xy"]
+    others = others.where(placed).select(F.col(other_id).alias("other"), *at).groupBy("x", "y").agg(F.min("other").alias("other"))
+    others = held(others.where("other is not null"))
+    points = points.select(point_id, *at)
+    none = [F.lit(None).cast(others.schema["other"].dataType).alias("other"), F.lit(None).cast("double").alias("d")]
     if others.isEmpty():
         return points.select(point_id, *none)
-    out, left = points.where(~F.coalesce(placed, F.lit(False))).select(point_id, *none), held(points.where(placed))
-    while not left.isEmpty():
-        found = held(nearest(left, others, size, point_id, other_id))
-        out = out.unionByName(found.where("other is not null"))
-        left = held(left.join(found.where("other is null"), point_id, "left_semi"))
-        size *= 2
-    return out
+    places = points.where(placed).select("x", "y").distinct().select(F.struct("x", "y").alias("place"), "x", "y")
+    things = others.select("other", *(F.col(c).alias(f"{e}{c}") for e in "lh" for c in "xy"))
+    dx, dy = (F.col(c) - F.col(f"l{c}") for c in "xy")
+    found = held(closest(places, things, "place", "other", F.sqrt(dx * dx + dy * dy), size / 4)).select("place.x", "place.y", "other", "d")
+    return points.where(~placed).select(point_id, *none).unionByName(points.where(placed).join(found, ["x", "y"]).select(point_id, "other", "d"))
 
 
 def inside(points: DataFrame, rings: DataFrame, size: float, point_id: str, ring_id: str) -> DataFrame:
