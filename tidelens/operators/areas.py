@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidelens.functions import values as V
-from tidelens.operators.places import buckets, inside, line_distance
+from tidelens.operators.places import buckets, closest, inside, line_distance
 from tidelens.operators.tables import held
 
 ENDS = ("x0", "y0", "x1", "y1")
@@ -18,28 +18,31 @@ def sides(rings: DataFrame, *keys: str) -> DataFrame:
     return s.select(*keys, *(F.col(f"p.{e}.{c}").cast("double").alias(f"{c}{k}") for k, e in enumerate("ab") for c in "xy"))
 
 
-def mask_distance(points: DataFrame, lines: DataFrame, rings: DataFrame, key: str, size: float) -> DataFrame:
+def mask_distance(points: DataFrame, lines: DataFrame, rings: DataFrame, key: str, size: float, cutoff: float | None = None) -> DataFrame:
     """(key, d): how far each of points (key, x, y) is from the nearest of lines (x0, y0, x1, y1) and rings (ring_id, ring), at any distance.
 
-    0 within a ring. Null where a point has no place or there is no mask. Rings of search double from size metres until all points have met
-    something; only those that have not go on.
+    0 within a ring. Null where a point has no place or there is no mask. The search goes down from large cells to ones of size / 4 metres. With a
+    cutoff d is null beyond it, and points meet lines in buckets of that size.
     """
     placed = F.coalesce((F.abs("x") < float("inf")) & (F.abs("y") < float("inf")), F.lit(False))
     points = points.select(key, "x", "y").distinct()
-    mask = held(lines.select(*ENDS).unionByName(sides(rings)).distinct())
-    out = points.where(~placed).select(key, F.lit(None).cast("double").alias("d"))
-    left = points.where(placed)
+    none = F.lit(None).cast("double").alias("d")
+    known = F.lit(True)
+    for c in ENDS:
+        known = known & (F.abs(c) < float("inf"))
+    mask = held(lines.select(*ENDS).unionByName(sides(rings)).where(known).distinct())
     if mask.isEmpty():
-        return points.select(key, F.lit(None).cast("double").alias("d"))
+        return points.select(key, none)
+    left = held(points.where(placed))
     within = held(inside(left, rings, size, key, "ring_id").select(key).distinct())
-    out = out.unionByName(within.select(key, F.lit(0.0).alias("d")))
+    out = points.where(~placed).select(key, none).unionByName(within.select(key, F.lit(0.0).alias("d")))
     left = held(left.join(within, key, "left_anti"))
-    while not left.isEmpty():
-        found = held(line_distance(left, mask, size, key))
-        out = out.unionByName(found.where("d is not null"))
-        left = held(left.join(found.where("d is null"), key, "left_semi"))
-        size *= 2
-    return out
+    if cutoff is not None:
+        return out.unionByName(line_distance(left, mask, cutoff, key))
+    box = [f(F.col(f"{c}0"), F.col(f"{c}1")).alias(f"{e}{c}") for e, f in (("l", F.least), ("h", F.greatest)) for c in "xy"]
+    things = mask.select(F.struct(*ENDS).alias("line"), *ENDS, *box)
+    d = V.segment_distance(*(F.col(c) for c in ("x", "y", *ENDS)))
+    return out.unionByName(closest(left, things, key, "line", d, size / 4).select(key, "d"))
 
 
 def lattice(areas: DataFrame, step: float) -> DataFrame:
