@@ -1,5 +1,7 @@
 """Distances from masks, depth surfaces, areas of unions, and choices among places."""
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,7 +57,9 @@ def lattice(areas: DataFrame, step: float) -> DataFrame:
 def depth_surface(areas: DataFrame, lines: DataFrame, rings: DataFrame, peak_m: float, decay_m: float, step: float = 50.0, least_m: float = 0.01) -> DataFrame:
     """(x, y, distance_m, depth_m) on a lattice over areas: peak at water, falling by exp(-distance / decay), where it is above least_m."""
     cells = lattice(areas, step).distinct().withColumn("cell", F.struct("x", "y"))
-    d = mask_distance(cells, lines, rings, "cell", 4 * step)
+    # beyond reach the depth is not above least_m, so nothing there is asked for its distance
+    reach = max(decay_m, 1.0) * math.log(peak_m / least_m) * (1 + 1e-9) if peak_m > least_m > 0 else None
+    d = mask_distance(cells, lines, rings, "cell", 4 * step, reach)
     depth = V.decayed(F.lit(peak_m), F.col("d"), F.lit(decay_m))
     return d.select("cell.x", "cell.y", F.col("d").alias("distance_m"), depth.alias("depth_m")).where(F.col("depth_m") > least_m)
 
