@@ -3,6 +3,7 @@
 import heapq
 import math
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -92,7 +93,9 @@ def longest_overlap(segs: DataFrame, ways: DataFrame, key: list[str], way_id: st
     """(key, way_id, overlap_m): for each of segs (key, x0, y0, x1, y1) the way whose segments on the same line share most with it; ties to the least id.
 
     A line is known by its direction and its distance from the origin, both rounded to step; along it segments are intervals, which meet
-    in stretches of size metres. Segments without an overlap of positive length have no row.
+    in stretches of size metres. Ways with one interval on a line, the rule, are compared whole: one that lies within another of a lesser id
+    never wins, so few of them are left, and of a stretch only each segment's best goes on. Parts of other ways are added up.
+    Segments without an overlap of positive length have no row.
     """
 
     def placed(rows: DataFrame) -> DataFrame:
@@ -103,13 +106,42 @@ def longest_overlap(segs: DataFrame, ways: DataFrame, key: list[str], way_id: st
         r = rows.withColumns({"cx": cx, "cy": cy})
         along = [F.col(f"x{k}") * F.col("cx") + F.col(f"y{k}") * F.col("cy") for k in (0, 1)]
         r = r.withColumns({"lo": F.least(*along), "hi": F.greatest(*along), "off": F.col("x0") * F.col("cy") - F.col("y0") * F.col("cx")})
-        return r.withColumns({"line": F.struct(F.floor(F.col("cx") * 1e6 + 0.5).alias("c"), F.floor(F.col("cy") * 1e6 + 0.5).alias("s"), F.floor(F.col("off") / step + 0.5).alias("o")), "bin": F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size)))})
-
-    a = placed(segs).select(*key, "line", "bin", "lo", "hi")
-    b = placed(segments(ways, way_id)).select(F.col(way_id).alias("_way"), "seg", "line", "bin", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
+        return r.withColumns({"line": F.struct(F.floor(F.col("cx") * 1e6 + 0.5).alias("c"), F.floor(F.col("cy") * 1e6 + 0.5).alias("s"), F.floor(F.col("off") / step + 0.5).alias("o"))})
+
+    def binned(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bin", F.explode(F.sequence(F.floor(F.col("lo") / size), F.floor(F.col("hi") / size)))).hint("merge")
+
+    def longest(rows: pa.Table, ways: pa.Table) -> pa.Table:
+        ways = ways.sort_by("_way")
+        lo, hi, lo_b, hi_b = (t[c].to_numpy() for t in (rows, ways) for c in ("lo", "hi"))
+        keep = np.zeros(0, int)
+        for at in range(0, len(ways), 512):
+            c = np.arange(at, min(at + 512, len(ways)))
+            c = c[~((lo_b[keep] <= lo_b[c, None]) & (hi_b[keep] >= hi_b[c, None])).any(axis=1)]
+            within = (lo_b[c] <= lo_b[c, None]) & (hi_b[c] >= hi_b[c, None]) & (np.arange(len(c)) < np.arange(len(c))[:, None])
+            keep = np.concatenate([keep, c[~within.any(axis=1)]])
+        best, most = np.zeros(len(rows), int), np.zeros(len(rows))
+        for at in range(0, len(rows) if len(keep) else 0, 512):
+            s = slice(at, at + 512)
+            m = np.minimum(hi[s, None], hi_b[keep]) - np.maximum(lo[s, None], lo_b[keep])
+            first = np.argmax(np.floor(m * 1e6 + 0.5), axis=1)
+            best[s], most[s] = keep[first], m[np.arange(len(m)), first]
+        some = np.flatnonzero(most > 0)
+        out = rows.select(key).take(some)
+        return out.append_column("_way", ways["_way"].take(best[some])).append_column("m", pa.array(np.floor(most[some] * 1e6 + 0.5) / 1e6))
+
+    asked = placed(segs)
+    pieces = placed(segments(ways, way_id)).select(F.col(way_id).alias("_way"), "seg", "line", "lo", "hi")
+    pieces = held(pieces.withColumn("n", F.count("*").over(Window.partitionBy("_way", "line"))))
+    stretch = [F.col("line.c").alias("c"), F.col("line.s").alias("s"), F.col("line.o").alias("o"), "bin"]
+    alone = pieces.where("n = 1").groupBy("line", "lo", "hi").agg(F.min("_way").alias("_way"))
+    schema = ", ".join([f"`{k}` {segs.schema[k].dataType.simpleString()}" for k in key] + [f"_way {ways.schema[way_id].dataType.simpleString()}, m double"])
+    one = binned(asked).select(*key, *stretch, "lo", "hi").groupBy("c", "s", "o", "bin").cogroup(binned(alone).select(*stretch, "_way", "lo", "hi").groupBy("c", "s", "o", "bin")).applyInArrow(longest, schema)
+    a = binned(asked).select(*key, "line", "bin", "lo", "hi")
+    b = binned(pieces.where("n > 1")).select("_way", "seg", "line", "bin", F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"))
     shared = F.least("hi", "hi_b", (F.col("bin") + 1) * size) - F.greatest("lo", "lo_b", F.col("bin") * size)
     sums = a.join(b, ["line", "bin"]).where(shared > 0).groupBy(*key, "_way").agg(F.sum(shared).alias("m"))
-    best = sums.groupBy(*key).agg(F.min(F.struct((-F.round("m", 6)).alias("m"), "_way")).alias("b"))
+    best = sums.select(*key, "_way", "m").unionByName(one).groupBy(*key).agg(F.min(F.struct((-F.round("m", 6)).alias("m"), "_way")).alias("b"))
     return best.select(*key, F.col("b._way").alias(way_id), (-F.col("b.m")).alias("overlap_m"))
 
 
