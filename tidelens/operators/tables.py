@@ -117,7 +117,12 @@ def serialised(activities: DataFrame, person: str, start: str, end: str, tie: st
 
 def auc(rows: DataFrame, keys: list[str], score: str, label: str) -> DataFrame:
     """Area under the ROC curve by key, ties half; label 1 or 0, others left out. Null if a class is missing."""
-    g = rows.where(F.col(label).isin(0, 1)).groupBy(*keys, score).agg(F.sum(F.col(label).cast("double")).alias("pos"), F.sum((1 - F.col(label)).cast("double")).alias("neg"))
+    return auc_of(rows.where(F.col(label).isin(0, 1)).select(*keys, score, F.col(label).cast("double").alias("pos"), (1 - F.col(label)).cast("double").alias("neg")), keys, score)
+
+
+def auc_of(rows: DataFrame, keys: list[str], score: str) -> DataFrame:
+    """The same of rows (keys, score, pos, neg) that count labels."""
+    g = rows.groupBy(*keys, score).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     w = Window.partitionBy(*keys).orderBy(score)
     g = g.withColumn("below", F.sum("neg").over(w) - F.col("neg"))
     return g.groupBy(*keys).agg(V.ratio(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
@@ -151,13 +156,45 @@ def shift_null(blocks: DataFrame, score: str, label: str, n: int = 999, seed: in
     lands on an evaluated block (label 0 or 1). Shifts that leave a class out are undefined. k shifts reach the
     observed AUC: p_ge_observed = (1 + k) / (1 + defined shifts), share_ge_observed = k / defined shifts. Both and auc are null if the observed
     AUC is undefined or no shift is defined. Also the ranges of prevalence and of the evaluated blocks over the defined shifts.
+
+    The grid is cut into strips along its longer side. A task meets the scores of one strip with the labels of another and counts
+    labels by score for each shift that brings them together, so no rows of single blocks and shifts are written.
     """
     i0, j0, nx, ny = sides(blocks)
     known = held(blocks.where(F.col(label).isin(0, 1)).select((F.col("bi") - i0).alias("i"), (F.col("bj") - j0).alias("j"), F.col(score).alias("score"), F.col(label).alias("label")))
     draws = blocks.sparkSession.range(1, max(nx * ny, 1)).orderBy(V.uniform(seed, "shift", F.col("id")), "id").limit(n)
-    draws = held(draws.select(F.col("id").alias("shift"), F.floor(F.col("id") / max(ny, 1)).alias("di"), (F.col("id") % max(ny, 1)).alias("dj")))
-    moved = known.select("i", "j", "label").crossJoin(F.broadcast(draws)).select(F.pmod(F.col("i") + F.col("di"), F.lit(max(nx, 1))).alias("i"), F.pmod(F.col("j") + F.col("dj"), F.lit(max(ny, 1))).alias("j"), "shift", "label")
-    null = auc(moved.join(known.select("i", "j", "score"), ["i", "j"]), ["shift"], "score", "label").where("auc is not null")
+    draws = [(r.id, r.id // max(ny, 1), r.id % max(ny, 1)) for r in draws.collect()]  # n of them
+    axis, side, step = ("j", ny, 2) if ny >= nx else ("i", nx, 1)
+    strips = max(1, min(side, max(8, -(-known.count() // 1_000_000))))
+    width = -(-max(side, 1) // strips)
+    here, each = F.floor(F.col(axis) / width).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(strips - 1)))
+
+    def counts(scored: pa.Table, labelled: pa.Table) -> pa.Table:
+        parts = []
+        if len(scored) and len(labelled):
+            at = scored["i"].to_numpy() * ny + scored["j"].to_numpy()
+            order = np.argsort(at, kind="stable")
+            at, codes = at[order], scored["score"].combine_chunks().dictionary_encode(null_encoding="encode")
+            names, codes = codes.dictionary, codes.indices.to_numpy()[order]
+            i, j, label = (labelled[c].to_numpy() for c in ("i", "j", "label"))
+            to, of = scored["to"][0].as_py() * width, scored["of"][0].as_py() * width
+            for draw in draws:
+                gap = (of + draw[step] - to) % side
+                if width <= gap <= side - width:
+                    continue
+                moved = (i + draw[1]) % nx * ny + (j + draw[2]) % ny
+                first = np.searchsorted(at, moved)
+                n = np.searchsorted(at, moved, "right") - first
+                met = np.repeat(first, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                both, pos = (np.bincount(codes[met], weights=v, minlength=len(names)) for v in (None, np.repeat(label, n)))
+                some = np.flatnonzero(both)
+                parts.append(pa.table({"shift": pa.array(np.full(len(some), draw[0])), "score": names.take(pa.array(some)), "pos": pos[some].astype(float), "neg": (both - pos)[some].astype(float)}))
+        return pa.concat_tables(parts) if parts else pa.table({c: pa.array([], t) for c, t in (("shift", pa.int64()), ("score", scored.schema.field("score").type if len(scored) else kind), ("pos", pa.float64()), ("neg", pa.float64()))})
+
+    kind = known.select("score").limit(0).toArrow().schema.field("score").type
+    at = lambda *names: known.select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), *names)
+    pairs = at("score", here.alias("to"), each.alias("of")).groupBy("to", "of").cogroup(at(F.col("label").cast("long").alias("label"), here.alias("of"), each.alias("to")).groupBy("to", "of"))
+    null = auc_of(pairs.applyInArrow(counts, f"shift long, score {known.schema['score'].dataType.simpleString()}, pos double, neg double"), ["shift"], "score").where("auc is not null")
     observed = auc(known.withColumn("one", F.lit(1)), ["one"], "score", "label").select(F.col("auc").alias("observed"))
     all_ = F.col("n_pos") + F.col("n_neg")
     of = null.crossJoin(F.broadcast(observed)).agg(
@@ -165,7 +202,7 @@ def shift_null(blocks: DataFrame, score: str, label: str, n: int = 999, seed: in
         F.min(F.col("n_pos") / all_).alias("prevalence_low"), F.max(F.col("n_pos") / all_).alias("prevalence_high"), F.min(all_.cast("long")).alias("evaluable_low"), F.max(all_.cast("long")).alias("evaluable_high"))
     able = (F.col("defined") > 0) & F.col("auc").isNotNull()
     return of.crossJoin(observed.agg(F.max("observed").alias("auc"))).select(
-        "auc", F.lit(seed).alias("seed"), F.lit(draws.count()).cast("long").alias("n"), (F.lit(draws.count()) - F.col("defined")).alias("n_undefined"),
+        "auc", F.lit(seed).alias("seed"), F.lit(len(draws)).cast("long").alias("n"), (F.lit(len(draws)) - F.col("defined")).alias("n_undefined"),
         F.when(able, (1 + F.col("k")) / (1 + F.col("defined"))).alias("p_ge_observed"), F.when(able, V.ratio(F.col("k"), F.col("defined"))).alias("share_ge_observed"),
         "prevalence_low", "prevalence_high", "evaluable_low", "evaluable_high")
 
@@ -212,7 +249,7 @@ def sensor_label(tally: DataFrame, wet: float = 0.15) -> DataFrame:
     return tally.withColumn("label", F.when(F.col("peak") >= wet, "wet").when(F.col("arrived") * 10 >= F.col("scheduled") * 9, "dry").otherwise("unknown"))
 
 
-def idw(points: DataFrame, gauges: DataFrame, power: int = 2, size: int = 1024) -> DataFrame:
+def idw(points: DataFrame, gauges: DataFrame, power: int = 2, size: int = 16_384) -> DataFrame:
     """points with rain, the inverse-distance mean of all complete gauges (x, y, total); gauges at a point win.
 
     Points and gauges are dealt by hashes to groups of about size rows. Each pair of groups gives its points partial sums,
@@ -232,11 +269,23 @@ def idw(points: DataFrame, gauges: DataFrame, power: int = 2, size: int = 1024)
         x, y = (at.column(c).cast("double").to_numpy(zero_copy_only=False) for c in ("x", "y"))
         order = of.sort_by([("x", "ascending"), ("y", "ascending"), ("total", "ascending")])
         gx, gy, total = (order.column(c).to_numpy(zero_copy_only=False) for c in ("x", "y", "total"))
-        d = np.hypot(x[:, None] - gx, y[:, None] - gy)
-        on = d <= 1e-6
-        w = np.where(d > 1e-6, 1 / np.where(d > 1e-6, d, 1.0) ** power, 0.0)
+        got = np.zeros((4, len(at)))
+        # blocks of pairs that fit in a core's cache
+        for i in range(0, len(at), 16):
+            for j in range(0, len(of), 2048):
+                p, g = slice(i, i + 16), slice(j, j + 2048)
+                d2 = (x[p, None] - gx[g]) ** 2 + (y[p, None] - gy[g]) ** 2
+                if d2.min() > 1e-12:
+                    w = 1 / d2 if power == 2 else d2 ** (-power / 2)
+                else:  # some gauge is at a point, or a point has no place
+                    on = d2 <= 1e-12
+                    w = np.where(d2 > 1e-12, 1 / np.where(d2 > 1e-12, d2, 1.0) ** (power / 2), 0.0)
+                    got[2, p] += on.sum(axis=1)
+                    got[3, p] += on @ total[g]
+                got[0, p] += w.sum(axis=1)
+                got[1, p] += w @ total[g]
         out = at.drop_columns(["_p", "_g"])
-        for name, v in (("_w", w.sum(axis=1)), ("_wt", w @ total), ("_n", on.sum(axis=1).astype(float)), ("_nt", on @ total)):
+        for name, v in zip(("_w", "_wt", "_n", "_nt"), got, strict=True):
             out = out.append_column(name, pa.array(v, pa.float64()))
         return out
 
