@@ -129,8 +129,18 @@ def chosen(outings: DataFrame, candidates: DataFrame, key: str, seed: int, scale
         size *= 2
     c = held(c.select("*", *square()).withColumn("n", F.row_number().over(Window.partitionBy("bx", "by").orderBy("id")) - 1))
     sizes = c.groupBy("bx", "by").agg(F.count("*").alias("k"))
-    squares = held(sizes.agg(F.sort_array(F.collect_list(F.struct("bx", "by", "k"))).alias("s"))).scalar()  # at most `most` of them
-    out, left, turn = o.join(able.select(key), key, "left_anti").select(key, none), held(able), 0
+    tile = {"tx": F.floor(F.col("x") / size), "ty": F.floor(F.col("y") / size), "tt": F.floor(F.col("t") / scale_m)}
+    able = held(able.withColumns(tile))
+    out, left, turn = o.join(able.select(key), key, "left_anti").select(key, none), able, 0
+    # by how many squares it is away, a square is at least and at most so far from all places of a tile, at its nearest and at its farthest
+    away = [F.abs(F.col(f"b{v}") - F.col(f"t{v}")).cast("double") for v in "xy"]
+    reach = lambda f: size * F.hypot(*(f(k) for k in away))
+    near, far = (reach(lambda k: F.greatest(k - 1, F.lit(0.0))), reach(lambda k: k)), (reach(lambda k: F.greatest(k, F.lit(0.5))), reach(lambda k: k + 1))
+    low, high = F.col("tt") * scale_m, (F.col("tt") + 1) * scale_m
+    bound = lambda a, b: F.log(F.col("k").cast("double")) - (F.greatest(a, b, F.lit(0.0)) / scale_m) ** 2
+    met = able.select(*tile).distinct().crossJoin(F.broadcast(sizes)).withColumns({"most": bound(near[0] - high, low - far[1]), "least": bound(near[1] - low, high - far[0])})  # at most `most` sizes
+    met = met.withColumn("best", F.max("least").over(Window.partitionBy(*tile))).where("most >= best - 41")
+    squares = held(met.groupBy(*tile).agg(F.sort_array(F.collect_list(F.struct("bx", "by", "k"))).alias("squares")))
 
     def draw(salt, *of):
         return (F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), F.lit(turn), F.col(key), *of), F.lit(1 << 52)).cast("double") + 0.5) / 2.0**52
@@ -141,12 +151,12 @@ def chosen(outings: DataFrame, candidates: DataFrame, key: str, seed: int, scale
         far = F.hypot(*(F.greatest(F.col(v) - b[f"b{v}"] * size, (b[f"b{v}"] + 1) * size - F.col(v)) for v in "xy"))
         return F.greatest(near - F.col("t"), F.col("t") - far, F.lit(0.0)) / scale_m
 
-    while not left.isEmpty():
+    while n := left.count():
         race = F.transform("squares", lambda b: F.struct((F.log(b["k"].cast("double")) - gap(b) ** 2 - F.log(-F.log(draw("square", b["bx"], b["by"])))).alias("at"), b.alias("b")))
-        won = left.withColumn("squares", squares).withColumn("won", F.array_max(race)["b"]).drop("squares")
-        won = won.select(key, "x", "y", "t", "won.bx", "won.by", F.floor(draw("one") * F.col("won.k")).alias("n"), gap(F.col("won")).alias("bound"))
-        tried = won.alias("o").join(c.alias("c"), ["bx", "by", "n"]).select(f"o.{key}", "o.x", "o.y", "t", "id", "bound", ((F.hypot(F.col("o.x") - F.col("c.x"), F.col("o.y") - F.col("c.y")) - F.col("t")) / scale_m).alias("off"))
+        won = left.repartition(-(-n // 2000)).join(squares, list(tile)).withColumn("won", F.array_max(race)["b"]).drop("squares")
+        won = won.select(key, "x", "y", "t", *tile, "won.bx", "won.by", F.floor(draw("one") * F.col("won.k")).alias("n"), gap(F.col("won")).alias("bound"))
+        tried = won.alias("o").join(c.alias("c"), ["bx", "by", "n"]).select(f"o.{key}", "o.x", "o.y", "t", *tile, "id", "bound", ((F.hypot(F.col("o.x") - F.col("c.x"), F.col("o.y") - F.col("c.y")) - F.col("t")) / scale_m).alias("off"))
         tried = held(tried.withColumn("kept", F.log(draw("keep")) <= F.col("bound") ** 2 - F.col("off") ** 2))
         out = out.unionByName(tried.where("kept").select(key, F.col("id").alias("choice")))
-        left, turn = tried.where("not kept").select(key, "x", "y", "t"), turn + 1
+        left, turn = tried.where("not kept").select(key, "x", "y", "t", *tile), turn + 1
     return out
