@@ -1,6 +1,5 @@
 """Road networks: noding of ways, least costs from many starts, paths from predecessors, connectivity of many closures at once."""
 
-import heapq
 import math
 
 import numpy as np
@@ -166,77 +165,129 @@ def shortest(edges: DataFrame, starts: DataFrame, cells: DataFrame, cutoff: floa
     many nodes, which gives the cost from the nearest. closed is a bit mask of sources that may not use an edge, so that many closures
     of one network are searched at once. Of equal costs the least edge_id counts; nodes beyond the cutoff have no row.
 
-    Nodes lie in cells of bounded size. A task settles what has come into its cell, from the least cost up, and what crosses its border
-    goes to other cells in the next round, until nothing falls; so rounds follow cells on the way, not edges. Only cells that
-    get something work in a round. State and messages are held in the shared folder after each.
+    Nodes lie in cells of bounded size. A task relaxes all sources that have come into its cell together, by sweeps over the cell's edges, and
+    costs that fell at its border go to other cells in the next round, until nothing falls; so rounds follow cells on the way, not edges. Only
+    sources that get something work in a round. Between rounds a source's costs in a cell are one row, held in the shared folder.
     """
     node = edges.schema["u"].dataType.simpleString()
     name = edges.schema["edge_id"].dataType.simpleString()
     e = edges if "closed" in edges.columns else edges.withColumn("closed", F.lit(0).cast("long"))
     e = e.where("u is not null and v is not null and cost > 0")
     both = e.select("u", "v", "cost", "edge_id", "closed").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "cost", "edge_id", "closed"))
-    own, other = (cells.select(F.col("node").alias(c), F.col("cell").alias(k)) for c, k in (("u", "cell"), ("v", "to")))
-    roads = held(both.join(own, "u").join(other, "v").select("cell", "to", "u", "v", F.col("cost").cast("double").alias("cost"), "edge_id", "closed").repartition("cell"))
-    schema = f"kind int, cell string, source long, node {node}, cost double, prev_edge {name}, prev_node {node}"
+    other, own = (cells.select(F.col("node").alias(c), F.col("cell").alias(k)) for c, k in (("u", "from"), ("v", "cell")))
+    roads = held(both.join(other, "u").join(own, "v").select("cell", "from", "u", "v", F.col("cost").cast("double").alias("cost"), "edge_id", "closed").repartition("cell"))
+    schema = f"kind int, cell string, source long, nodes array<{node}>, costs array<double>, prev array<int>"
     columns = [c.split()[0] for c in schema.split(", ")]
-    none = [F.lit(None).cast(name).alias("prev_edge"), F.lit(None).cast(node).alias("prev_node")]
-    news = held(starts.select(F.col("source").cast("long").alias("source"), "node").distinct().join(cells, "node").select(F.lit(1).alias("kind"), "cell", "source", "node", F.lit(0.0).alias("cost"), *none))
+    at = held(starts.select(F.col("source").cast("long").alias("source"), "node").distinct().join(cells, "node"))
+    # kind 0: costs at all nodes of a cell, in order; 1: costs at nodes across the border; 2: a start
+    news = held(at.select(F.lit(2).alias("kind"), "cell", "source", F.array("node").alias("nodes"), F.array(F.lit(0.0)).alias("costs"), F.array().cast("array<int>").alias("prev")))
     known = news.limit(0)
+    types = [f.type for f in edges.sparkSession.createDataFrame([], schema).toArrow().schema]
+
+    def lists(values, sizes, kind) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values, kind.value_type)).cast(kind)
+
+    def placed(near: pa.Table):
+        """Edges in the order of their ids, and the cell's nodes with each edge's."""
+        near = near.sort_by([(c, "ascending") for c in ("edge_id", "u", "v", "cost")])
+        return near, *np.unique(near["v"].to_numpy(), return_inverse=True)
 
     def settle(rows: pa.Table, near: pa.Table) -> pa.Table:
-        roads: dict = {}
-        for u, v, to, cost, edge, closed in zip(*(near[c].to_pylist() for c in ("u", "v", "to", "cost", "edge_id", "closed")), strict=True):
-            roads.setdefault(u, []).append((v, to, cost, edge, closed))
-        cell = rows["cell"][0].as_py()
-        best: dict = {}
-        fresh: dict = {}
-        for kind, source, at, cost, edge, prev in zip(*(rows[c].to_pylist() for c in ("kind", "source", "node", "cost", "prev_edge", "prev_node")), strict=True):
-            (fresh if kind else best).setdefault((source, at), []).append((cost, edge, prev))
-        best = {k: v[0] for k, v in best.items()}
-        heap, out = [], {}
-        for key, offers in fresh.items():
-            offer, had = min(offers, key=rank), best.get(key)
-            if had is None or rank(offer) < rank(had):
-                best[key] = offer
-                if had is None or offer[0] < had[0]:
-                    heapq.heappush(heap, (offer[0], key))
-        while heap:
-            cost, key = heapq.heappop(heap)
-            if cost > best[key][0]:
-                continue
-            source, at = key
-            for v, to, more, edge, closed in roads.get(at, ()):
-                total = cost + more
-                if closed >> source & 1 or total > cutoff:
-                    continue
-                to_key, offer = (source, v), (total, edge, at)
-                if to != cell:
-                    if to_key not in out or rank(offer) < rank(out[to_key][1]):
-                        out[to_key] = to, offer
-                    continue
-                had = best.get(to_key)
-                if had is None or rank(offer) < rank(had):
-                    best[to_key] = offer
-                    if had is None or total < had[0]:
-                        heapq.heappush(heap, (total, to_key))
-        table = [(0, cell, *k, *v) for k, v in best.items()] + [(1, to, *k, *v) for k, (to, v) in out.items()]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*table, strict=True), types, strict=True)], columns)
-
-    # arrow types of the schema, by an empty table
-    types = [f.type for f in news.limit(0).select(*columns).toArrow().schema]
+        if not len(rows) or not len(near):
+            return pa.Table.from_arrays([pa.array([], t) for t in types], columns)
+        near, nodes, head = placed(near)
+        cell, tail, cost_of, closed = rows["cell"][0].as_py(), near["u"].to_numpy(), near["cost"].to_numpy(), near["closed"].to_numpy()
+        beyond = np.array(near["from"].to_pylist(), dtype=object)
+        inner, outer = np.flatnonzero(beyond == cell), np.flatnonzero(beyond != cell)
+        inner = inner[np.argsort(head[inner], kind="stable")]
+        first = np.flatnonzero(np.diff(head[inner], prepend=-1))
+        to, start, w = head[inner[first]], np.searchsorted(nodes, tail[inner]), cost_of[inner][:, None]
+        outside, at_outside = np.unique(tail[outer], return_inverse=True)
+        borders = []
+        for x in sorted(set(beyond[outer])):
+            mine = outer[beyond[outer] == x]
+            inside, k = np.unique(head[mine], return_inverse=True)
+            least = np.full(len(inside), np.inf)
+            np.minimum.at(least, k, cost_of[mine])
+            borders.append((x, inside, least[:, None]))
+        flat = {c: (lambda v: (v.offsets.to_numpy(), v.values.to_numpy()))(rows[c].combine_chunks()) for c in ("nodes", "costs", "prev")}
+        part = lambda c, r: flat[c][1][flat[c][0][r] : flat[c][0][r + 1]]
+        kinds, of = rows["kind"].to_numpy(), rows["source"].to_numpy()
+        every, tables, none = np.unique(of), [], len(near)
+        for low in range(0, len(every), 256):
+            sources = every[low : low + 256]
+            n = len(sources)
+            old, before, come = np.full((len(nodes), n), np.inf), np.full((len(nodes), n), none), np.full((len(outside), n), np.inf)
+            begun = []
+            for r in np.flatnonzero((of >= sources[0]) & (of <= sources[-1])):
+                k = np.searchsorted(sources, of[r])
+                if kinds[r] == 0:
+                    old[:, k], before[:, k] = part("costs", r), part("prev", r)
+                elif kinds[r] == 1:
+                    i = np.searchsorted(outside, part("nodes", r))
+                    come[i, k] = np.minimum(come[i, k], part("costs", r))
+                else:
+                    i = min(np.searchsorted(nodes, part("nodes", r)[0]), len(nodes) - 1)
+                    begun += [(i, k)] if nodes[i] == part("nodes", r)[0] else []
+            cost = old.copy()
+            for i, k in begun:
+                cost[i, k] = 0.0
+            shut = (closed[:, None] >> np.minimum(sources, 63)) & 1 == 1 if closed.any() else None
+
+            def offered(of_costs, w, which, cols, shut=shut):
+                offers = of_costs + w
+                offers[offers > cutoff] = np.inf
+                if shut is not None:
+                    offers[shut[np.ix_(which, cols)]] = np.inf
+                return offers
+
+            cols = np.arange(n)
+            across = offered(come[at_outside], cost_of[outer][:, None], outer, cols)
+            np.minimum.at(cost, head[outer], across)
+            cols = cols[(cost < old).any(axis=0)]
+            while len(cols) and len(inner):
+                now = cost[:, cols]
+                best = np.minimum.reduceat(offered(now[start], w, inner, cols), first, axis=0)
+                fell = (best < now[to]).any(axis=0)
+                now[to] = np.minimum(now[to], best)
+                cost[:, cols] = now
+                cols = cols[fell]
+            # of the edges that give a cost the least; none at a start
+            prev = np.where(cost < old, none, before)
+            if len(inner):
+                offers = offered(cost[start], w, inner, np.arange(n))
+                prev[to] = np.minimum(prev[to], np.minimum.reduceat(np.where(offers == cost[head[inner]], inner[:, None], none), first, axis=0))
+            np.minimum.at(prev, head[outer], np.where(across == cost[head[outer]], outer[:, None], none))
+            prev[(cost == 0) | np.isinf(cost)] = none
+            some = np.flatnonzero(np.isfinite(cost).any(axis=0))
+            size = np.full(len(some), len(nodes))
+            tables.append([np.zeros(len(some)), [cell] * len(some), sources[some], lists(nodes[:0], size * 0, types[3]), lists(cost[:, some].T.ravel(), size, types[4]), lists(prev[:, some].T.ravel(), size, types[5])])
+            for x, inside, least in borders:
+                k, i = np.nonzero(((cost[inside] < old[inside]) & (cost[inside] + least <= cutoff)).T)
+                sent, size = np.unique(k, return_counts=True)
+                tables.append([np.ones(len(sent)), [x] * len(sent), sources[sent], lists(nodes[inside[i]], size, types[3]), lists(cost[inside[i], k], size, types[4]), lists(prev[:0].ravel(), size * 0, types[5])])
+        return pa.concat_tables([pa.Table.from_arrays([v if isinstance(v, pa.Array) else pa.array(v).cast(t) if len(v) else pa.array([], t) for v, t in zip(row, types, strict=True)], columns) for row in tables])
+
+    def spread(rows: pa.Table, near: pa.Table) -> pa.Table:
+        if not len(rows) or not len(near):
+            return pa.Table.from_arrays([pa.array([], t) for t in (pa.int64(), types[3].value_type, pa.float64(), ids, types[3].value_type)], ["source", "node", "cost", "prev_edge", "prev_node"])
+        near, nodes, _ = placed(near)
+        cost, prev = (rows[c].combine_chunks().flatten().to_numpy().reshape(len(rows), len(nodes)) for c in ("costs", "prev"))
+        r, i = np.nonzero(np.isfinite(cost))
+        by = pa.array(prev[r, i], mask=prev[r, i] == len(near))
+        kept = [rows["source"].combine_chunks().take(pa.array(r)), pa.array(nodes[i], types[3].value_type), pa.array(cost[r, i]), *(near[c].combine_chunks().take(by) for c in ("edge_id", "u"))]
+        return pa.Table.from_arrays(kept, ["source", "node", "cost", "prev_edge", "prev_node"])
+
+    ids = roads.select("edge_id").limit(0).toArrow().schema.field("edge_id").type
     while not news.isEmpty():
-        active = news.select("cell").distinct()
-        here = known.join(active, "cell", "left_semi").unionByName(news).select(*columns)
-        moved = held(here.groupBy("cell").cogroup(roads.join(active, "cell", "left_semi").groupBy("cell")).applyInArrow(lambda a, b: settle(a, b) if len(a) else a, schema))
-        known = held(known.join(active, "cell", "left_anti").unionByName(moved.where("kind = 0")))
+        active = news.select("cell", "source").distinct()
+        here = known.join(active, ["cell", "source"], "left_semi").unionByName(news).select(*columns)
+        moved = held(here.groupBy("cell").cogroup(roads.join(news.select("cell").distinct(), "cell", "left_semi").groupBy("cell")).applyInArrow(settle, schema))
+        known = held(known.join(active, ["cell", "source"], "left_anti").unionByName(moved.where("kind = 0")))
         news = moved.where("kind = 1")
-    return known.select("source", "node", "cost", "prev_edge", "prev_node")
-
-
-def rank(offer: tuple) -> tuple:
-    """Offers by cost, then by edge; the start itself, without an edge, before all."""
-    cost, edge, _ = offer
-    return (cost, edge is not None, edge)
+    found = known.groupBy("cell").cogroup(roads.groupBy("cell")).applyInArrow(spread, f"source long, node {node}, cost double, prev_edge {name}, prev_node {node}")
+    alone = at.join(roads.select(F.col("v").alias("node")).distinct(), "node", "left_anti")
+    return found.unionByName(alone.select("source", "node", F.lit(0.0).alias("cost"), F.lit(None).cast(name).alias("prev_edge"), F.lit(None).cast(node).alias("prev_node")))
 
 
 def path_edges(found: DataFrame, asked: DataFrame) -> DataFrame:

@@ -122,7 +122,7 @@ def journeys(t) -> DataFrame:
     nodes = T.held(nodes_of(walk(t)))
     j = t.journeys
     for key, x, y, name in (("origin", "ox", "oy", "o_node"), ("destination", "dx", "dy", "d_node")):
-        near = P.nearest(j.select(key, C(x).alias("x"), C(y).alias("y")).distinct(), nodes, 250.0, key, "node")
+        near = T.nearest(j.select(key, C(x).alias("x"), C(y).alias("y")).distinct(), nodes, 250.0, key, "node")
         j = j.join(near.select(key, C("other").alias(name)), key, "left")
     return T.held(j.select("trip_id", "depart_s", "o_node", "d_node"))
 
