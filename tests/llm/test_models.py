@@ -72,6 +72,26 @@ def test_transducer_like_library():
         assert ids == p.encode(x) and t.decode(ids) == x.replace("▁", " ")
 
 
+def test_stretches_of_words_are_composed_once():
+    """A word with other characters around it takes no search of its own, and gives what the library gives."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    p, t = sentencepiece.SentencePieceProcessor(model_file=path), wfst.Transducer(path)
+    asked, search = [], t.path
+    t.path = lambda x: asked.append(x) or search(x)
+    text = "a tiinghe tiinghe, tiinghe. (tiinghe) tiinghe.\ntiinghe### 12tiinghe tiinghe_3² ²tiinghe½ tiinghe\u0301 e\u0301. x ."
+    assert t.encode(text) == p.encode(text)
+    assert sorted(x for x in asked if "tiinghe" in x) == ["tiinghe", "▁tiinghe"]
+    t.words, t.older = {}, t.words
+    assert t.encode(text) == p.encode(text) and sum("tiinghe" in x for x in asked) == 2
+    t.words |= {f" x{k}x": (1,) for k in range(500_000)}
+    assert t.encode(text + " new") == p.encode(text + " new") and len(t.words) < 100 and len(t.older) >= 500_000
+    rnd = random.Random(8)
+    parts = [*" ,.#12²½_-'\n\x00", "the", "ing", "é", "日本", "ß", "İ", "ﬁ", "\u0301", "😀", "º", "ः", "़", "क", "thr", "².", "(", ")"]
+    for _ in range(4000):
+        x = "".join(rnd.choices(parts, k=rnd.randrange(40)))
+        assert t.encode(x) == p.encode(x)
+
+
 def test_shortest_path_is_the_least_of_all():
     """All segmentations of a short text, weighed by the arcs: the path has the least weight, and only one is finite."""
     t = wfst.Transducer(public_tokenizers.path("piece_bpe_32k.model"))

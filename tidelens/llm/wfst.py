@@ -1,5 +1,6 @@
 """SentencePiece encoding and decoding with a weighted finite-state transducer."""
 
+import re
 import zlib
 from heapq import heappop, heappush
 
@@ -95,10 +96,17 @@ class Transducer:
         self.inside = inside
         # SPACE never follows another character within a piece, so words are composed on their own
         self.apart = not any(x.endswith(SPACE) and x[0] != SPACE for x in inside)
+        # nor does a letter stand beside another character; letters that do in this model count as others
+        pairs, letters = [x for x in inside if SPACE not in x], {c for x in inside for c in x if c.isalpha()}
+        while mixed := {c for x in pairs if (x[0] in letters) != (x[1] in letters) for c in x} & letters:
+            letters -= mixed
+        letter = "".join(map(re.escape, sorted(letters)))
+        self.stretches = re.compile(f" ?[{letter}]+| ?[^ {letter}]+| " if letter else " ?[^ ]+| ").findall
         self.alone: dict[str, bool] = {}
         self.beside: dict[str, dict[str, float]] = {}
         self.sides = 0
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, tuple[int, ...]] = {}  # those of late, and those before them
+        self.older: dict[str, tuple[int, ...]] = {}
         self.parts: dict[str, tuple[int, ...]] = {}
         self.back = {i: b for b, i in self.bytes_.items()}
 
@@ -160,14 +168,11 @@ class Transducer:
         came from. The first state taken at the end of the text has the least weight of all.
         """
         n, root, beside, longest = len(text), self.start, self.beside, self.longest
-        best: dict[tuple[int, str], tuple[float, int, str]] = {(0, ""): (0.0, 0, "")}
-        waiting, at, a = [(0.0, 0, "")], 0, ""
-        while True:
-            _, at, a = heappop(waiting)
-            at = -at
-            if at == n:
-                break
-            before, after = best[at, a][0], beside.get(a, NONE)
+        least: dict[tuple[int, str], float] = {}
+        best: dict[tuple[int, str], tuple[int, str]] = {}
+        waiting, at, a, before = [], 0, "", 0.0
+        while at < n:
+            after = beside.get(a, NONE)
             onward, end, b = root, at, text[at]
             node = onward.get(b)
             if node is None or node[1] is None:
@@ -183,17 +188,20 @@ class Transducer:
                     if beyond < INFINITE:
                         total = before + weight + beyond
                         state = (end, b)
-                        if state not in best or total < best[state][0]:
-                            best[state] = (total, at, a)
-                            heappush(waiting, (total - (end - n) // longest, -end, b))
+                        if total < least.get(state, INFINITE):
+                            least[state] = total
+                            best[state] = (at, a)
+                            heappush(waiting, (total - (end - n) // longest, -end, b, total))
                 if not onward or end == n or (node := onward.get(text[end])) is None:
                     break
                 onward, b, weight = node
                 end += 1
+            _, at, a, before = heappop(waiting)
+            at = -at
         out = []
         while at:
             out.append(a)
-            _, at, a = best[at, a]
+            at, a = best[at, a]
         return out[::-1]
 
     def normal(self, text: str, state: int) -> str:
@@ -250,8 +258,7 @@ class Transducer:
         """The ids of a text. Where no piece can cross from a word to the next, each distinct word is composed once."""
         if not text:
             return []
-        if max(len(self.words), 5 * len(self.parts)) > 500_000:
-            self.words.clear()
+        if len(self.parts) > 100_000:
             self.parts.clear()
         if not self.apart or SPACE in text or "\0" in text or "  " in text or text[0] == " ":
             return list(self.composed(text, 0))
@@ -259,13 +266,24 @@ class Transducer:
         out = list(self.composed(first, 0))
         for word in words:
             ids = self.words.get(word)
-            if ids is None:
-                ids = self.composed(word, 1)
-                if len(word) < 64:
-                    self.words[word] = ids
-            out += ids
+            out += self.word(word) if ids is None else ids
         return out
 
+    def word(self, word: str) -> tuple[int, ...]:
+        """The ids of a word after the first that is not among those of late. Its stretches of letters and of others are composed on their own."""
+        ids = self.older.get(word)
+        if ids is None:
+            stretches = self.stretches(word)
+            if len(stretches) < 2:
+                ids = self.composed(word, 1)
+            else:
+                ids = tuple([i for x in stretches for i in self.words.get(x) or self.word(x)])
+        if len(word) < 32:
+            if len(self.words) >= 500_000:
+                self.words, self.older = {}, self.words
+            self.words[word] = ids
+        return ids
+
     def decode(self, ids: list[int]) -> str:
         """The output side reversed: pieces to characters, runs of byte pieces to UTF-8, SPACE to a space, the first one dropped."""
         pieces, back = self.pieces, self.back
@@ -296,8 +314,7 @@ def encode_documents(docs: DataFrame, model: str, ids: bool = True) -> DataFrame
                 columns.append(pa.array(coded, pa.list_(pa.int32())))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
-        for known in (t.words, t.parts):  # the worker keeps the transducer and its neighbours, not what this task's words took
-            known.clear()
+        t.parts.clear()  # the worker keeps the transducer, its neighbours and words of late
 
     small_batches(docs.sparkSession)
     kind = "doc_id long, n_chars long, n_pieces long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * ids
