@@ -83,7 +83,7 @@ def edge_table(ways: DataFrame, way_id: str, size: float = 100.0) -> DataFrame:
     """The edge table of ways (way_id, points, highway): noded pieces with an id, class, access and speed by mode; ways of other classes are left out."""
     speeds = F.create_map(*(v for c, (w, d) in CLASSES.items() for v in (F.lit(c), F.struct(F.lit(w).cast("double").alias("walk"), F.lit(d).cast("double").alias("drive")))))
     known = ways.where(F.col("highway").isin(*CLASSES))
-    pieces = noded(known, way_id, size).join(known.select(way_id, "highway"), way_id)
+    pieces = noded(known, way_id, size).join(known.select(way_id, "highway").hint("merge"), way_id)  # all ways, so not to be broadcast by an estimate
     speed = F.try_element_at(speeds, F.col("highway"))
     return pieces.select(F.concat_ws("_", way_id, "seg", "piece").alias("edge_id"), way_id, "u", "v", "length_m", "highway", speed["walk"].isNotNull().alias("walk_allowed"), speed["drive"].isNotNull().alias("vehicle_allowed"), speed["walk"].alias("speed_walk_mps"), speed["drive"].alias("speed_vehicle_mps"))
 
